@@ -1,4 +1,4 @@
 """The query catalogue: importing this package registers every query."""
 
 from ..registry import REGISTRY  # noqa: F401
-from . import attribution, stats  # noqa: F401
+from . import attribution, inventory, quality, spend, stats  # noqa: F401

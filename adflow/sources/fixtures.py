@@ -185,3 +185,22 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.attribution import enrich_clicks
 
     return enrich_clicks(raw_clicks(spark, sf_dir), impressions(spark, sf_dir))
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spend counter as the serving side holds it: increments recorded
+    only up to 20:00 UTC (the rest were lost), and campaigns with
+    ``campaign_id % 7 = 0`` never recorded at all."""
+    from ..operators.spend import campaign_spend
+
+    imp = impressions(spark, sf_dir).filter(F.hour("ts") < 20)
+    return (campaign_spend(imp).filter(F.col("campaign_id") % 7 != 0)
+            .select("campaign_id", "day", "spent_usd"))
+
+
+def legacy_ad_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old ad-keyed spend counters; keys 200..210 name no existing ad."""
+    imp = impressions(spark, sf_dir)
+    key = (F.col("impression_id") * 7 + F.col("user_id")) % 211
+    return (imp.groupBy(key.alias("ad_id"), F.to_date("ts").alias("day"))
+            .agg((F.sum(F.round(F.col("win_price") * 1000).cast("bigint")) / 1e6).alias("spent_usd")))
