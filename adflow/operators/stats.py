@@ -60,53 +60,94 @@ def global_ctr(total_impressions, total_clicks) -> "F.Column":
             .otherwise(F.lit(K.DEFAULT_GLOBAL_CTR)))
 
 
-def ctr_stats(pairs: DataFrame) -> dict[str, DataFrame]:
-    """Split the rollup into the three lookup tables plus a 1-row global table."""
+def ctr_stats(pairs: DataFrame, materialize: bool = False) -> dict[str, DataFrame]:
+    """Split the rollup into the three lookup tables plus a 1-row global table.
+
+    With ``materialize`` the rollup is checkpointed once (it is small: one
+    row per pair, ad and placement) and the four tables are cheap filters.
+    """
     r = ctr_rollup(pairs)
+    if materialize:
+        from .materialize import checkpoint
+
+        r = checkpoint(r)
     glob = (r.filter(F.col("level") == LEVEL_GLOBAL)
             .select(global_ctr(F.coalesce("impressions", F.lit(0)), F.coalesce("clicks", F.lit(0)))
                     .alias("global_ctr")))
-    return {
+    out = {
         LEVEL_PAIR: r.filter(F.col("level") == LEVEL_PAIR).select("ad_id", "placement_id", "impressions", "clicks"),
         LEVEL_AD: r.filter(F.col("level") == LEVEL_AD).select("ad_id", "impressions", "clicks"),
         LEVEL_PLACEMENT: r.filter(F.col("level") == LEVEL_PLACEMENT).select("placement_id", "impressions", "clicks"),
         LEVEL_GLOBAL: glob,
     }
+    if materialize:
+        from .materialize import broadcast_if_small
+
+        counts = {row["level"]: row["n"] for row in r.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
+        for lvl in (LEVEL_PAIR, LEVEL_AD, LEVEL_PLACEMENT):
+            out[lvl] = broadcast_if_small(out[lvl], rows=counts.get(lvl, 0))
+    return out
 
 
 def ctr_stats_from_logs(impressions: DataFrame, clicks: DataFrame, as_of: str,
-                        lookback_days: int = K.STATS_LOOKBACK_DAYS) -> dict[str, DataFrame]:
-    return ctr_stats(ctr_pair(ctr_pair_daily(impressions, clicks), as_of, lookback_days))
+                        lookback_days: int = K.STATS_LOOKBACK_DAYS, materialize: bool = False) -> dict[str, DataFrame]:
+    return ctr_stats(ctr_pair(ctr_pair_daily(impressions, clicks), as_of, lookback_days), materialize)
 
 
 # J5 -- attach smoothed priors to (ad, placement) rows; unseen keys get global CTR.
-def with_priors(candidates: DataFrame, stats: dict[str, DataFrame],
-                strength: float = K.PRIOR_STRENGTH) -> DataFrame:
-    """Left joins against the three small lookup tables.
-
-    The lookup tables have one row per ad / placement / pair of the inventory,
-    so they are bounded by inventory size, not traffic; Spark's size-checked
-    auto-broadcast picks a broadcast hash join for them and falls back to a
-    shuffle join if a snapshot were ever larger than the threshold.
-    The 1-row global table is joined as a scalar subquery.
-    """
+def _global(stats: dict[str, DataFrame]):
     g = stats[LEVEL_GLOBAL].select(F.first("global_ctr").alias("g")).scalar()
+    return F.coalesce(g, F.lit(K.DEFAULT_GLOBAL_CTR))
+
+
+def attach_ad_prior(df: DataFrame, stats: dict[str, DataFrame], strength: float = K.PRIOR_STRENGTH) -> DataFrame:
     ad = stats[LEVEL_AD].select("ad_id", F.col("impressions").alias("_ai"), F.col("clicks").alias("_ac"))
+    return (df.join(ad, "ad_id", "left")
+            .withColumn("ad_ctr_prior", X.smoothed_ctr("_ai", "_ac", _global(stats), strength))
+            .drop("_ai", "_ac"))
+
+
+def attach_placement_prior(df: DataFrame, stats: dict[str, DataFrame],
+                           strength: float = K.PRIOR_STRENGTH) -> DataFrame:
     pl = stats[LEVEL_PLACEMENT].select("placement_id", F.col("impressions").alias("_li"),
                                        F.col("clicks").alias("_lc"))
+    return (df.join(pl, "placement_id", "left")
+            .withColumn("placement_ctr_prior", X.smoothed_ctr("_li", "_lc", _global(stats), strength))
+            .drop("_li", "_lc"))
+
+
+def attach_pair_prior(df: DataFrame, stats: dict[str, DataFrame], strength: float = K.PRIOR_STRENGTH) -> DataFrame:
     pr = stats[LEVEL_PAIR].select("ad_id", "placement_id", F.col("impressions").alias("_pi"),
                                   F.col("clicks").alias("_pc"))
-    g_col = F.coalesce(g, F.lit(K.DEFAULT_GLOBAL_CTR))
-    return (candidates
-            .join(ad, "ad_id", "left")
-            .join(pl, "placement_id", "left")
-            .join(pr, ["ad_id", "placement_id"], "left")
-            .withColumn("global_ctr", g_col)
-            .withColumn("ad_ctr_prior", X.smoothed_ctr("_ai", "_ac", "global_ctr", strength))
-            .withColumn("placement_ctr_prior", X.smoothed_ctr("_li", "_lc", "global_ctr", strength))
-            .withColumn("pair_ctr_prior", X.smoothed_ctr("_pi", "_pc", "global_ctr", strength))
+    return (df.join(pr, ["ad_id", "placement_id"], "left")
+            .withColumn("pair_ctr_prior", X.smoothed_ctr("_pi", "_pc", _global(stats), strength))
             .withColumn("pair_impressions", F.coalesce(F.col("_pi"), F.lit(0)).cast("bigint"))
-            .drop("_ai", "_ac", "_li", "_lc", "_pi", "_pc"))
+            .drop("_pi", "_pc"))
+
+
+def with_priors(candidates: DataFrame, stats: dict[str, DataFrame],
+                strength: float = K.PRIOR_STRENGTH) -> DataFrame:
+    """Left joins against the three lookup tables of a stats snapshot.
+
+    The lookup tables are bounded by inventory x placements, not traffic;
+    once the snapshot is materialised (``materialize_stats``) Spark knows
+    their size and its size-checked auto-broadcast picks a broadcast hash
+    join, falling back to a shuffle join beyond the threshold.
+    The 1-row global table enters as a scalar subquery.
+    """
+    out = attach_ad_prior(candidates, stats, strength)
+    out = attach_placement_prior(out, stats, strength)
+    out = attach_pair_prior(out, stats, strength)
+    return out.withColumn("global_ctr", _global(stats))
+
+
+def materialize_stats(stats: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Cut the lineage of a stats snapshot once (reliable checkpoint), so
+    the four lookup tables are read from one small materialised rollup
+    instead of re-aggregating the logs for every lookup."""
+    from .materialize import checkpoint
+
+    return {k: checkpoint(v) for k, v in stats.items()}  # for snapshots built elsewhere
 
 
 # W5 -- running per-key counters strictly before each row (point-in-time prior).

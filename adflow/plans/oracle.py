@@ -80,7 +80,8 @@ FIXTURE_CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(320 + (e.event_id % 8) * 240 AS INTEGER) AS viewport_width,
                epoch_ms(e.ts) AS timestamp_ms,
                e.ts AS server_ts,
-               w.words AS page_keywords
+               w.words AS page_keywords,
+               (e.event_id * 7 + e.user_id) % 200 AS served_ad_id
         FROM events e
         LEFT JOIN part_words w ON w.p_partkey = CAST(json_extract_string(e.props, '$.k') AS BIGINT)
         WHERE e.event_type <> 'click'"""),

@@ -150,6 +150,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"),
         F.col("ts").alias("server_ts"),
         F.get_json_object("props", "$.k").cast("bigint").alias("_kw_part"),
+        ((eid * 7 + uid) % N_ADS).alias("served_ad_id"),
     )
     words = _part_words(spark, sf_dir).select(
         F.col("p_partkey").alias("_kw_part"), F.col("words").alias("page_keywords"))
