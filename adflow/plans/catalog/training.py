@@ -92,23 +92,22 @@ def downsample_counts(spark, d):
     return rows[0].unionByName(rows[1])
 
 
-_AUC_SQL = """
-    (SELECT (sum(CASE WHEN label = 1 THEN rk + (c - 1) / 2.0 END) - P * (P + 1) / 2.0) / (P * (n - P))
-     FROM (SELECT label, p, rank() OVER (ORDER BY p) AS rk, count(*) OVER (PARTITION BY p) AS c,
-                  sum(label) OVER () AS P, count(*) OVER () AS n FROM t) r
-     GROUP BY P, n)"""
-
-
 register("t", ("cal_test_v",), "SELECT least(greatest(baseline, 1e-7), 1 - 1e-7) AS p, label FROM cal_test_v")
+register("auc_v", ("t",), """
+    SELECT CASE WHEN max(n_pos) > 0 AND max(n) > max(n_pos) THEN
+                (sum(CASE WHEN label = 1 THEN rk + (c - 1) / 2.0 END) - max(n_pos) * (max(n_pos) + 1) / 2.0)
+                / (max(n_pos) * (max(n) - max(n_pos))) END AS auc
+    FROM (SELECT label, p, rank() OVER (ORDER BY p) AS rk, count(*) OVER (PARTITION BY p) AS c,
+                 sum(label) OVER () AS n_pos, count(*) OVER () AS n FROM t) r""")
 
 
-@query("eval_metrics", ("A9", "F12"), with_views(("t",), f"""
+@query("eval_metrics", ("A9", "F12"), with_views(("t", "auc_v"), """
     SELECT round(avg(-(label * ln(p) + (1 - label) * ln(1 - p))), 6) AS log_loss,
-           round({_AUC_SQL}, 6) AS auc,
+           round(max(a.auc), 6) AS auc,
            round(sum(p) / greatest(CAST(sum(label) AS DOUBLE), 1e-9), 6) AS calibration_ratio,
            round(avg(p), 6) AS mean_predicted, round(avg(label), 6) AS mean_actual,
            count(*) AS n_rows, CAST(sum(label) AS BIGINT) AS n_positives
-    FROM t"""))
+    FROM t CROSS JOIN auc_v a"""))
 def eval_metrics(spark, d):
     test = _split(spark, d).filter(F.col("calib_half") == "test") \
         .withColumn("baseline", X.gate_baseline("features"))
