@@ -78,7 +78,7 @@ FIXTURE_CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN e.event_id % 6 < 3 THEN 'mobile' WHEN e.event_id % 6 < 5 THEN 'desktop'
                     ELSE 'tablet' END AS device_type,
                CAST(320 + (e.event_id % 8) * 240 AS INTEGER) AS viewport_width,
-               epoch_ms(e.ts) AS timestamp_ms,
+               epoch_us(e.ts) // 1000 AS timestamp_ms,
                e.ts AS server_ts,
                w.words AS page_keywords,
                (e.event_id * 7 + e.user_id) % 200 AS served_ad_id
