@@ -2,4 +2,4 @@
 
 from ..registry import REGISTRY  # noqa: F401
 from . import attribution, stats, spend, inventory, quality  # noqa: F401  (registration order = CTE deps)
-from . import auction, training, functions, ingest  # noqa: F401
+from . import auction, training, functions, ingest, streaming  # noqa: F401

@@ -103,13 +103,18 @@ def publishers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _served_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "events").filter(F.col("event_type") != "click")
+def _events(spark: SparkSession, sf_dir: str, events: DataFrame | None) -> DataFrame:
+    """The events table, or a given (possibly streaming) events DataFrame."""
+    return events if events is not None else read_table(spark, sf_dir, "events")
 
 
-def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _served_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    return _events(spark, sf_dir, events).filter(F.col("event_type") != "click")
+
+
+def impressions(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Impression log rows (no feature vector; see ``logged_impressions``)."""
-    e = _served_events(spark, sf_dir)
+    e = _served_events(spark, sf_dir, events)
     eid, uid = F.col("event_id"), F.col("user_id")
     ad_id = (eid * 7 + uid) % N_ADS
     n_cand = F.lit(2) + eid % 5
@@ -134,9 +139,9 @@ def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imp.join(camp, "campaign_id", "left")
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def requests(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Bid requests: the same events as impressions, with page keywords."""
-    e = _served_events(spark, sf_dir)
+    e = _served_events(spark, sf_dir, events)
     eid, uid = F.col("event_id"), F.col("user_id")
     req = e.select(
         eid.alias("request_id"),
@@ -157,9 +162,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return req.join(words, "_kw_part", "left").drop("_kw_part")
 
 
-def raw_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_clicks(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Click events as received: (impression_id, ts); may be orphans or repeats."""
-    e = read_table(spark, sf_dir, "events").filter(F.col("event_type") == "click")
+    e = _events(spark, sf_dir, events).filter(F.col("event_type") == "click")
     eid = F.col("event_id")
     return e.select(
         (eid - 1 - (eid * 7919) % 20).alias("impression_id"),
