@@ -73,7 +73,8 @@ def eligible_ads(ctx: DataFrame, inventory: DataFrame, inventory_rows: int | Non
         j = ctx.join(F.broadcast(inv), "device_type", "inner")
     else:
         salted_req = ctx.withColumn("_salt", F.pmod(F.xxhash64("request_id"), F.lit(SALT_BUCKETS)))
-        salted_inv = inv.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))).cast("bigint"))
+        salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALT_BUCKETS - 1).cast("bigint"))
+        salted_inv = inv.withColumn("_salt", F.explode(salts))
         j = salted_req.join(salted_inv, ["device_type", "_salt"], "inner").drop("_salt")
     return j.filter(F.col("target_cpm") >= F.col("request_floor"))
 

