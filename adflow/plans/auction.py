@@ -80,21 +80,26 @@ def eligible_ads(ctx: DataFrame, inventory: DataFrame, inventory_rows: int | Non
 
 
 def baseline_scorer(cands: DataFrame) -> DataFrame:
-    """serving baseline when no model is loaded."""
+    """serving baseline when no model is loaded (needs no feature vector)."""
     return cands.withColumn("predicted_ctr", X.baseline_ctr("pair_ctr_prior", "keyword_overlap")) \
                 .withColumn("model_version", F.lit("baseline"))
 
 
 def score_candidates(cands: DataFrame, stats: dict[str, DataFrame],
                      scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """J5 pair prior -> F9 features -> CTR -> F13 bid value.
+    """J5 pair prior -> CTR -> F13 bid value.
 
     Ad and placement priors are attached before the candidate join (to the
     small inventory and to the requests), so only the pair prior is joined
-    at candidate granularity."""
-    with_p = S.attach_pair_prior(cands, stats)
-    feats = with_features(with_p)
-    scored = (scorer or baseline_scorer)(feats)
+    at candidate granularity. The 17-float vector is assembled per candidate
+    only for a model scorer (``scorer.needs_features``); the baseline needs
+    just the keyword overlap, and the vector is then built for winners only.
+    """
+    c = S.attach_pair_prior(cands, stats)
+    c = c.withColumn("keyword_overlap", X.keyword_overlap("target_keywords", "page_keywords"))
+    if scorer is not None and getattr(scorer, "needs_features", False):
+        c = with_features(c)
+    scored = (scorer or baseline_scorer)(c)
     return scored.withColumn("bid_value", X.bid_value("predicted_ctr", "target_cpm"))
 
 
@@ -111,20 +116,27 @@ def md5_key(*cols) -> "F.Column":
 
 
 CANDIDATE_FIELDS = ("ad_id", "campaign_id", "advertiser_id", "predicted_ctr", "bid_value", "target_cpm",
-                    "floor_price", "features", "model_version", "publisher_id", "placement_id",
-                    "device_type", "request_ts")
+                    "floor_price", "model_version", "publisher_id", "placement_id", "device_type", "request_ts")
+# Inputs of the feature vector, carried with the winner so the vector is
+# assembled after the auction (or the vector itself when a model scored it).
+FEATURE_INPUTS = ("page_keywords", "target_keywords", "created_at", "daily_budget_usd", "spent_today_usd",
+                  "ad_ctr_prior", "placement_ctr_prior", "pair_ctr_prior", "pair_impressions", "features")
 
 
 # W1 + W2 + F14-F16 -- winner, runner-up, exploration, price, propensity.
 def auction(scored: DataFrame, epsilon: float = K.EXPLORATION_EPSILON, seed: int = 7) -> DataFrame:
-    cand = F.struct(*[F.col(c) for c in CANDIDATE_FIELDS])
+    """One shuffle on ``request_id`` for the ranking: the window holds only
+    ``row_number`` so Catalyst plans a WindowGroupLimit that keeps the top 2
+    per request map-side; the grouping after it reuses that partitioning.
+    The candidate count (and the exploration pick) is a partial aggregate."""
+    fields = [c for c in CANDIDATE_FIELDS + FEATURE_INPUTS if c in scored.columns]
+    cand = F.struct(*[F.col(c) for c in fields])
     w = Window.partitionBy("request_id").orderBy(F.col("bid_value").desc(), F.col("ad_id").asc())
-    # Only row_number in this window, so Catalyst plans a WindowGroupLimit.
-    top = (scored.select("request_id", cand.alias("c"), "bid_value", "ad_id")
+    top = (scored.select("request_id", *fields)
            .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 2))
     top2 = top.groupBy("request_id").agg(
-        F.max(F.when(F.col("_rn") == 1, F.col("c"))).alias("first"),
-        F.max(F.when(F.col("_rn") == 2, F.col("c"))).alias("second"))
+        F.max(F.when(F.col("_rn") == 1, cand)).alias("first"),
+        F.max(F.when(F.col("_rn") == 2, F.col("bid_value"))).alias("second_bid"))
     aggs = [F.count(F.lit(1)).alias("n_candidates")]
     if epsilon > 0:
         aggs.append(F.min_by(cand, md5_key("request_id", "ad_id", F.lit(seed))).alias("pick"))
@@ -133,29 +145,30 @@ def auction(scored: DataFrame, epsilon: float = K.EXPLORATION_EPSILON, seed: int
     n = F.col("n_candidates")
     if epsilon > 0:
         explore = (n > 1) & (md5_uniform("request_id", F.lit(seed)) < F.lit(float(epsilon)))
+        j = j.withColumn("is_exploration", explore)
+        j = j.withColumn("w", F.when(F.col("is_exploration"), F.col("pick")).otherwise(F.col("first")))
     else:
-        explore = F.lit(False)
-    j = j.withColumn("is_exploration", explore)
-    winner = F.when(F.col("is_exploration"), F.col("pick")).otherwise(F.col("first")) if epsilon > 0 \
-        else F.col("first")
-    j = j.withColumn("w", winner)
+        j = j.withColumn("is_exploration", F.lit(False)).withColumn("w", F.col("first"))
     wf = lambda f: F.col("w")[f]
     single = F.least(wf("floor_price"), wf("target_cpm"))
-    second_price = X.clearing_cpm(F.col("first.predicted_ctr"), F.col("second.bid_value"),
+    second_price = X.clearing_cpm(F.col("first.predicted_ctr"), F.col("second_bid"),
                                   F.col("first.floor_price"), F.col("first.target_cpm"))
     price = (F.when(F.col("is_exploration"), single)
-             .when(F.col("second").isNotNull(), second_price)
+             .when(F.col("second_bid").isNotNull(), second_price)
              .otherwise(single))
     price = F.greatest(price, F.lit(0.0))
-    return j.select(
+    out = j.select(
         "request_id",
-        *[wf(f).alias(f) for f in CANDIDATE_FIELDS],
+        *[wf(f).alias(f) for f in fields],
         price.alias("win_price"),
         X.cost_usd(price).alias("cost_usd"),
         "is_exploration",
         X.serve_propensity(n, F.col("is_exploration"), epsilon).alias("serve_propensity"),
         "n_candidates",
     )
+    if "features" not in fields and all(c in fields for c in FEATURE_INPUTS[:-1]):
+        out = with_features(out).drop("keyword_overlap")
+    return out
 
 
 # R1 -- the whole batch auction.
@@ -165,7 +178,8 @@ def run_auctions(requests: DataFrame, inventory: DataFrame, stats: dict[str, Dat
                  inventory_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns (results: one row per filled request, no_fill requests)."""
     ctx = S.attach_placement_prior(request_context(requests), stats)
-    inv = S.attach_ad_prior(inventory.select(*SCORING_COLUMNS), stats)
+    inv = S.attach_ad_prior(inventory.select(*SCORING_COLUMNS), stats) \
+        .withColumn("target_keywords", X.ad_keyword_set("target_keywords"))  # once per ad, not per candidate
     cands = eligible_ads(ctx, inv, inventory_rows)
     if ledger is not None:
         cands = P.filter_by_budget(cands, ledger)
