@@ -124,37 +124,46 @@ FEATURE_INPUTS = ("page_keywords", "target_keywords", "created_at", "daily_budge
 
 
 # W1 + W2 + F14-F16 -- winner, runner-up, exploration, price, propensity.
-def auction(scored: DataFrame, epsilon: float = K.EXPLORATION_EPSILON, seed: int = 7) -> DataFrame:
-    """One shuffle on ``request_id`` for the ranking: the window holds only
-    ``row_number`` so Catalyst plans a WindowGroupLimit that keeps the top 2
-    per request map-side; the grouping after it reuses that partitioning.
-    The candidate count (and the exploration pick) is a partial aggregate."""
+def auction(scored: DataFrame, epsilon: float = K.EXPLORATION_EPSILON, seed: int = 7,
+            candidate_counts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One pass over the candidates, one shuffle on ``request_id``.
+
+    Whether a request explores is decided from its id before ranking
+    (``u < epsilon``). Exploring requests rank their candidates by a seeded
+    hash (the top one is a uniform pick), the others by (bid desc, ad_id).
+    The window holds only ``row_number`` with a ``<= 2`` filter, so Catalyst
+    plans a WindowGroupLimit that keeps two rows per request map-side. The
+    candidate count comes from ``candidate_counts`` (small per-device/day
+    tables, no second pass) or else from a partial aggregate.
+    """
     fields = [c for c in CANDIDATE_FIELDS + FEATURE_INPUTS if c in scored.columns]
     cand = F.struct(*[F.col(c) for c in fields])
-    w = Window.partitionBy("request_id").orderBy(F.col("bid_value").desc(), F.col("ad_id").asc())
-    top = (scored.select("request_id", *fields)
-           .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 2))
+    if epsilon > 0:
+        explore_pre = md5_uniform("request_id", F.lit(seed)) < F.lit(float(epsilon))
+        key = F.when(F.col("_explore"), md5_key("request_id", "ad_id", F.lit(seed)).cast("double")) \
+               .otherwise(-F.col("bid_value"))
+    else:
+        explore_pre = F.lit(False)
+        key = -F.col("bid_value")
+    sc = scored.select("request_id", *fields).withColumn("_explore", explore_pre)
+    w = Window.partitionBy("request_id").orderBy(key.asc(), F.col("ad_id").asc())
+    top = sc.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 2)
     top2 = top.groupBy("request_id").agg(
         F.max(F.when(F.col("_rn") == 1, cand)).alias("first"),
-        F.max(F.when(F.col("_rn") == 2, F.col("bid_value"))).alias("second_bid"))
-    aggs = [F.count(F.lit(1)).alias("n_candidates")]
-    if epsilon > 0:
-        aggs.append(F.min_by(cand, md5_key("request_id", "ad_id", F.lit(seed))).alias("pick"))
-    counts = scored.groupBy("request_id").agg(*aggs)
-    j = top2.join(counts, "request_id", "inner")
-    n = F.col("n_candidates")
-    if epsilon > 0:
-        explore = (n > 1) & (md5_uniform("request_id", F.lit(seed)) < F.lit(float(epsilon)))
-        j = j.withColumn("is_exploration", explore)
-        j = j.withColumn("w", F.when(F.col("is_exploration"), F.col("pick")).otherwise(F.col("first")))
+        F.max(F.when(F.col("_rn") == 2, F.col("bid_value"))).alias("second_bid"),
+        F.max("_explore").alias("_explore"))
+    if candidate_counts is None:
+        counts = scored.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_candidates"))
+        j = top2.join(counts, "request_id", "inner")
     else:
-        j = j.withColumn("is_exploration", F.lit(False)).withColumn("w", F.col("first"))
-    wf = lambda f: F.col("w")[f]
+        j = candidate_counts(top2)
+    n = F.col("n_candidates")
+    j = j.withColumn("is_exploration", F.col("_explore") & (n > 1))
+    wf = lambda f: F.col("first")[f]
     single = F.least(wf("floor_price"), wf("target_cpm"))
-    second_price = X.clearing_cpm(F.col("first.predicted_ctr"), F.col("second_bid"),
-                                  F.col("first.floor_price"), F.col("first.target_cpm"))
+    second_price = X.clearing_cpm(wf("predicted_ctr"), F.col("second_bid"), wf("floor_price"), wf("target_cpm"))
     price = (F.when(F.col("is_exploration"), single)
-             .when(F.col("second_bid").isNotNull(), second_price)
+             .when(F.col("second_bid").isNotNull() & ~F.col("_explore"), second_price)
              .otherwise(single))
     price = F.greatest(price, F.lit(0.0))
     out = j.select(
@@ -171,6 +180,37 @@ def auction(scored: DataFrame, epsilon: float = K.EXPLORATION_EPSILON, seed: int
     return out
 
 
+def device_day_counts(inventory: DataFrame, ledger: DataFrame | None) -> Callable[[DataFrame], DataFrame]:
+    """Candidate count per request without a second pass over candidates.
+
+    Valid when eligibility depends only on (device, day): no per-request
+    floor. n = servable ads for the device - ads of campaigns exhausted on
+    that day. Both tables are bounded by #devices x #ledger days (a proven
+    size), so they are broadcast.
+    """
+    inv = _inventory_by_device(inventory).filter(P.has_campaign(inventory) & (F.col("target_cpm") >= 0.0))
+    total = inv.groupBy("device_type").agg(F.count(F.lit(1)).alias("_total"))
+    if ledger is not None:
+        budgets = inv.select("campaign_id", "device_type", "daily_budget_usd")
+        exhausted = (budgets.join(ledger.select("campaign_id", "day", "spent_usd"), "campaign_id", "inner")
+                     .filter(F.col("spent_usd") >= F.col("daily_budget_usd"))
+                     .groupBy("device_type", "day").agg(F.count(F.lit(1)).alias("_gone")))
+    else:
+        exhausted = None
+
+    def attach(top2: DataFrame) -> DataFrame:
+        j = (top2.withColumn("device_type", F.col("first.device_type"))
+             .withColumn("day", X.utc_day(F.col("first.request_ts")))
+             .join(F.broadcast(total), "device_type", "left"))
+        gone = F.lit(0)
+        if exhausted is not None:
+            j = j.join(F.broadcast(exhausted), ["device_type", "day"], "left")
+            gone = F.coalesce(F.col("_gone"), F.lit(0))
+        return (j.withColumn("n_candidates", F.col("_total") - gone)
+                .drop("_total", "_gone", "device_type", "day"))
+    return attach
+
+
 # R1 -- the whole batch auction.
 def run_auctions(requests: DataFrame, inventory: DataFrame, stats: dict[str, DataFrame],
                  ledger: DataFrame | None = None, scorer=None,
@@ -186,7 +226,9 @@ def run_auctions(requests: DataFrame, inventory: DataFrame, stats: dict[str, Dat
     else:
         cands = cands.filter(P.has_campaign(cands))
     scored = score_candidates(cands, stats, scorer)
-    results = auction(scored, epsilon, seed)
+    per_request_floor = "floor_price" in requests.columns
+    counts = None if per_request_floor else device_day_counts(inv, ledger)
+    results = auction(scored, epsilon, seed, counts)
     return results, no_fill(ctx.select("request_id", "publisher_id"), results)
 
 

@@ -192,21 +192,33 @@ def ad_catalog(spark, d):
 
 
 def logged_features(spark, d):
+    """F9 for every logged impression: its own request context x the served
+    ad (broadcast catalogue) x priors x the ledger, from one events scan."""
     from ...functions.features import with_features
-    from ...operators import spend as P
 
-    ctx = AU.request_context(fx.requests(spark, d).withColumnRenamed("served_ad_id", "ad_id")
-                             .select("*")).join(
-        fx.requests(spark, d).select("request_id", F.col("served_ad_id").alias("ad_id")), "request_id")
-    cat = ad_catalog(spark, d).select(*AU.SCORING_COLUMNS)
-    j = ctx.join(cat, "ad_id", "inner")
+    ctx = _logged_context(fx.impressions(spark, d, with_request=True))
+    cat = ad_catalog(spark, d).select(*[c for c in AU.SCORING_COLUMNS if c != "campaign_id"], "campaign_id")
+    j = ctx.join(cat.drop("advertiser_id"), ["ad_id", "campaign_id"], "inner")
     led = fx.ledger(spark, d).select("campaign_id", "day", F.col("spent_usd").alias("spent_today_usd"))
     j = j.join(led, ["campaign_id", "day"], "left").withColumn(
         "spent_today_usd", F.coalesce("spent_today_usd", F.lit(0.0)))
-    del P
     return with_features(S.with_priors(j, _stats(spark, d)), keep_columns=True)
 
 
+def _logged_context(imp):
+    """Request context columns (as the auction normalises them) next to the
+    impression's own columns, without a join."""
+    from ...functions import expr as X
+
+    return imp.select(
+        F.col("impression_id").alias("request_id"), "impression_id", "ts", "publisher_id", "placement_id",
+        X.normalize_device("device_type").alias("device_type"),
+        X.normalize_keywords("page_keywords").alias("page_keywords"),
+        F.col("ts").alias("request_ts"), X.utc_day("ts").alias("day"),
+        "ad_id", "campaign_id", "advertiser_id", "win_price", "is_exploration", "serve_propensity",
+        "model_version", "user_id")
+
+
 register("logged_features_v", ("ctx_v", "ads_v", "campaigns_v", "ledger_v", "ad_counts_v",
                                "placement_counts_v", "pairs_v", "global_v"), f"""
     SELECT x.request_id, x.request_ts, x.placement_id, x.device_type, x.page_keywords,

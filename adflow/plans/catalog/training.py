@@ -19,9 +19,7 @@ TRAIN_CUTOFF = "2024-01-30 22:00:00"  # as_of - 2 hours
 
 def logged_impressions(spark, d):
     """The impression log with the feature vector that was scored at serve time."""
-    feats = logged_features(spark, d).select(F.col("request_id").alias("impression_id"), "features",
-                                             "feature_version")
-    return fx.impressions(spark, d).join(feats, "impression_id", "inner")
+    return logged_features(spark, d)
 
 
 def labelled(spark, d):

@@ -112,8 +112,11 @@ def _served_events(spark: SparkSession, sf_dir: str, events: DataFrame | None =
     return _events(spark, sf_dir, events).filter(F.col("event_type") != "click")
 
 
-def impressions(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
-    """Impression log rows (no feature vector; see ``logged_impressions``)."""
+def impressions(spark: SparkSession, sf_dir: str, events: DataFrame | None = None,
+                with_request: bool = False) -> DataFrame:
+    """Impression log rows (no feature vector). ``with_request`` adds the
+    request context of the same event (page keywords) from the same scan,
+    so logging features needs no id join between impressions and requests."""
     e = _served_events(spark, sf_dir, events)
     eid, uid = F.col("event_id"), F.col("user_id")
     ad_id = (eid * 7 + uid) % N_ADS
@@ -133,10 +136,17 @@ def impressions(spark: SparkSession, sf_dir: str, events: DataFrame | None = Non
         F.when(explore, F.lit(0.08) / n_cand)
          .otherwise(F.lit(0.92) + F.lit(0.08) / n_cand).alias("serve_propensity"),
         F.when(uid % 4 == 0, "baseline").otherwise("v20240101_000000").alias("model_version"),
+        *([F.get_json_object("props", "$.k").cast("bigint").alias("_kw_part")] if with_request else []),
     )
     camp = read_table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("campaign_id"), F.col("s_nationkey").alias("advertiser_id"))
-    return imp.join(camp, "campaign_id", "left")
+    out = imp.join(camp, "campaign_id", "left")
+    if with_request:
+        words = _part_words(spark, sf_dir).select(
+            F.col("p_partkey").alias("_kw_part"), F.col("words").alias("page_keywords"))
+        out = (out.join(words, "_kw_part", "left").drop("_kw_part")
+               .withColumn("request_id", F.col("impression_id")).withColumn("server_ts", F.col("ts")))
+    return out
 
 
 def requests(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
