@@ -1,15 +1,15 @@
 """Lineage cuts that survive executor loss, and size-checked broadcasts.
 
 ``checkpoint`` writes to the shared folder named by ``spark.checkpoint.dir``
-(set by the cluster; only tests fall back to a scratch folder), never to
-executor-local storage.
+(set by the cluster; only local sessions fall back to a scratch folder), never
+to executor-local storage. ``release`` removes what this session wrote.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -18,6 +18,9 @@ from ..session import ensure_checkpoint_dir
 BROADCAST_MAX_ROWS = 2_000_000
 
 
+_WRITTEN: list[str] = []
+
+
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write ``df`` once as parquet under the checkpoint folder and read it
     back: one job, lineage cut, and the planner sees real file sizes (so its
@@ -26,7 +29,20 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/adflow-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    _WRITTEN.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every intermediate that ``checkpoint`` wrote in this process and
+    return how many folders went. Call it once the results that read them have
+    been written out; DataFrames still built on them can no longer be run."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += bool(path.getFileSystem(hadoop).delete(path, True))
+    return gone
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, rows: int | None = None) -> DataFrame:

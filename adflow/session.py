@@ -27,7 +27,7 @@ def build_session(master: str = "local[8]", app: str = "adflow",
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("ADFLOW_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("ADFLOW_DRIVER_MEMORY", "8g"))
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
@@ -37,15 +37,23 @@ def build_session(master: str = "local[8]", app: str = "adflow",
     return spark
 
 
+def _in_one_jvm(master: str) -> bool:
+    """True for ``local`` / ``local[N]`` masters, where driver and executors share a disk."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint dir; create a scratch one only if unset."""
+    """Return the session's checkpoint dir. Where none is named, a ``local[N]``
+    session (tests, benches) gets a scratch folder; any other master is an
+    error, since a machine-local folder would split the data by executor."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not conf:
-        # Unset: local tests / benches only. A cluster always names a shared folder.
+        if not _in_one_jvm(sc.master):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="adflow-ckpt-", dir="/tmp")
         spark.conf.set(CHECKPOINT_CONF, conf)
     sc.setCheckpointDir(conf)
