@@ -27,3 +27,15 @@ def word_count(text: Column) -> Column:
     """Number of maximal runs of characters outside ``SPACE``; 0 for null."""
     trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]+", "x")
     return F.length(F.regexp_replace(trimmed, SPACE, "")).cast("long")
+
+
+def pieces(text: str | None, limit: int = 1 << 20):
+    """A text in pieces of about ``limit`` characters, cut at white space."""
+    text = text or ""
+    at = 0
+    while len(text) - at > limit:
+        cut = max(text.rfind(" ", at, at + limit), text.rfind("\n", at, at + limit))
+        cut = cut if cut > at else at + limit
+        yield text[at:cut]
+        at = cut
+    yield text[at:]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import chat, exact_dedup, langid, mixing, simhash, urlfilter
+from . import chat, decontam, exact_dedup, langid, mixing, secrets, simhash, toxicity, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -164,3 +164,30 @@ FROM m
 @_register("op9_mixing", OP9_SQL)
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
+
+
+@_register("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades 0 (not toxic), 1 (toxic) and 2 (toxic and of low quality) of the labels."""
+    grade = F.when(F.col("toxic") == 0, 0).otherwise(
+        F.col("toxic") + F.when(F.col("quality") == 0, 1).otherwise(0))
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), grade, sample_per_grade=6000)
+    return toxicity.score(docs, model)
+
+
+@_register("op6_secret_scans")
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first scan of the table: the ledger is empty, every blob is new."""
+    found, _ = secrets.scan_documents(read_table(spark, sf_dir, "documents"))
+    return found
+
+
+@_register("op10_warc_derivatives")
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(read_table(spark, sf_dir, "pages"))
+
+
+@_register("op3_decontamination")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
