@@ -2,12 +2,13 @@
 
 ``checkpoint`` writes to the shared folder named by ``spark.checkpoint.dir``
 (set by the cluster; only local sessions fall back to a scratch folder), never
-to executor-local storage. ``release`` removes what this session wrote.
+to executor-local storage. ``release`` and ``intermediates`` remove what was written.
 """
 
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,18 +34,34 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete every intermediate that ``checkpoint`` wrote in this process and
-    return how many folders went. Call it once the results that read them have
-    been written out; DataFrames still built on them can no longer be run."""
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     gone = 0
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        gone += bool(path.getFileSystem(hadoop).delete(path, True))
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(folder.getFileSystem(hadoop).delete(folder, True))
     return gone
 
 
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete the intermediates that ``checkpoint`` wrote in this process (from the
+    ``since``-th on) and return how many folders went. Call it once the results that
+    read them have been written out; DataFrames still built on them cannot run."""
+    paths = _WRITTEN[since:]
+    del _WRITTEN[since:]
+    return _delete(spark, paths)
+
+
+@contextmanager
+def intermediates(spark: SparkSession):
+    """Whatever ``checkpoint`` writes inside the block is deleted when it ends."""
+    since = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        release(spark, since)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, rows: int | None = None) -> DataFrame:
     """Hint a broadcast only after counting the (materialised) side; above the
     limit the DataFrame is returned unhinted and Spark plans a shuffle join."""
