@@ -37,8 +37,8 @@ SEED = "mix"
 def quality_weight(text: Column, words: Column) -> Column:
     """Weight of a document in the sample: 2 where its words have 3 to 10
     characters on average, as prose has, else 1."""
-    mean = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")) / words
-    return F.when((words > 0) & mean.between(3, 10), F.lit(2.0)).otherwise(F.lit(1.0))
+    mean = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")) / F.nullif(words, F.lit(0))
+    return F.when(mean.between(3, 10), F.lit(2.0)).otherwise(F.lit(1.0))
 
 
 def sample_key(doc_id: Column, quality: Column) -> Column:
@@ -98,7 +98,7 @@ def mixing_plan(measured: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     ranges = checkpoint(measured.groupBy("source", _bucket(F.col("key")).alias("bucket"))
                         .agg(F.sum("size").alias("words")))
     sizes = ranges.groupBy("source").agg(F.sum("words").alias("source_size"))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    epochs = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0))
     plan = checkpoint(source_targets(sizes, weights, share, max_epochs)
                       .withColumn("epochs", epochs.cast("int"))
                       .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
