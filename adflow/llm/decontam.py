@@ -16,10 +16,10 @@ r"""Benchmark decontamination by template canonicalisation, in DataFrame functio
 
 Items shorter than the window are matched by one window of their own length.
 
-Scale: documents are cut into windows where they are read; only (row, position,
-hash) meets the benchmark. The benchmark's windows are broadcast after their rows
-are counted; above ``BROADCAST_WINDOWS`` the join is shuffled on the hash. Slots
-are looked up only in the rows that had a matching window, one row per text.
+Scale: documents are cut into windows where they are read, each with the values of
+its placeholders; texts never move. The benchmark's windows are broadcast after
+their rows are counted; above ``BROADCAST_WINDOWS`` the join is shuffled on the
+hash. Only matching windows go further, grouped by document and item.
 
 Defined results: a null text counts as empty. A null item text, or one without a
 plain word, matches nothing. Rows are told apart by id and text hash, so repeated
@@ -38,6 +38,8 @@ from .common import as_row, text_or_empty
 
 #: Marks in front of a placeholder's value.
 NUMBER, UNIT, NAME = "\x01", "\x02", "\x03"
+#: Every placeholder, and no word, sorts before this.
+LAST_MARK = "\x04"
 #: Unit words, recognised after a number.
 UNITS = ("mm", "cm", "dm", "m", "km", "mg", "g", "kg", "t", "ml", "cl", "l", "s", "sec", "min", "h", "hr", "inch",
          "inches", "in", "ft", "feet", "yd", "mi", "mile", "miles", "oz", "lb", "lbs", "mph", "kmh", "hz", "w", "kw",
@@ -49,52 +51,68 @@ BROADCAST_WINDOWS = 1_000_000
 WINDOW, LEAST_WORDS, COVERAGE, RUN = 5, 3, 0.8, 13
 
 
-def tokens(text: Column, values: bool) -> Column:
-    """array<string>: words as they are, placeholders as a mark, with their value
-    behind it if ``values``. Both forms have the same number of tokens."""
-    kept = "$0" if values else ""
+def tokens(text: Column) -> Column:
+    """array<string>: words as they are, placeholders as a mark with their value behind it."""
     # A capitalised word is a name if it follows a letter, digit or comma, not a sentence end.
-    marked = F.regexp_replace(text, r"\p{Lu}(?<=[\p{L}\p{Nd},;][\x20\x09-\x0D]\p{Lu})\p{Ll}+(?!\p{L})", f" {NAME}{kept} ")
-    marked = F.regexp_replace(marked, r"\p{Nd}+", f" {NUMBER}{kept} ")
+    marked = F.regexp_replace(text, r"\p{Lu}(?<=[\p{L}\p{Nd},;][\x20\x09-\x0D]\p{Lu})\p{Ll}+(?!\p{L})", f" {NAME}$0 ")
+    marked = F.regexp_replace(marked, r"\p{Nd}+", f" {NUMBER}$0 ")
     # A unit follows its number directly, or after one space.
     unit = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
-    behind = f"{NUMBER}$1 {UNIT}$2" if values else f"{NUMBER} {UNIT}"
-    marked = F.regexp_replace(F.lower(marked), rf"{NUMBER}(\p{{Nd}}*)\x20{{1,2}}({unit})(?!\p{{L}})", behind)
+    marked = F.regexp_replace(F.lower(marked), rf"{NUMBER}(\p{{Nd}}*)\x20{{1,2}}({unit})(?!\p{{L}})", f"{NUMBER}$1 {UNIT}$2")
     plain = F.trim(F.regexp_replace(marked, rf"[^\p{{L}}\p{{Nd}}{NUMBER}{UNIT}{NAME}]+", " "))
     return F.array_remove(F.split(plain, " "), "")
 
 
-def _template(token: Column) -> Column:
-    first = F.substring(token, 1, 1)
-    return F.when(first.isin(NUMBER, UNIT, NAME), first).otherwise(token)
+def _is_slot(token: Column) -> Column:
+    return token < LAST_MARK
 
 
-def _windows(words: Column, size: int) -> Column:
-    """array<long>: the hash of every window of ``size`` tokens."""
-    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(
-        F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, F.lit(size))))
+def _templates(words: Column) -> Column:
+    """The tokens with placeholders cut to their mark."""
+    return F.transform(words, lambda x: F.when(_is_slot(x), F.substring(x, 1, 1)).otherwise(x))
+
+
+def _slots(words: Column) -> Column:
+    """The placeholders of a window at their places, null for words."""
+    return F.transform(words, lambda x: F.when(_is_slot(x), x))
+
+
+def _windows(text: Column, sizes: list[int]) -> Column:
+    """array<struct<size, at, hash, values>> of every window of a text; values is null
+    where the window has no placeholder. The tokens are bound as the one element of
+    an array, so that they are made once a text and not once a window."""
+
+    def of_size(words: Column, templates: Column, size: int) -> Column:
+        starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(
+            F.array().cast("array<int>"))
+
+        def window(i: Column) -> Column:
+            own = F.slice(words, i, F.lit(size))
+            return F.struct(F.lit(size).alias("size"), i.alias("at"),
+                            F.xxhash64(F.slice(templates, i, F.lit(size))).alias("hash"),
+                            F.when(_is_slot(F.array_min(own)), _slots(own)).alias("values"))
+
+        return F.transform(starts, window)
+
+    both = F.transform(F.array(tokens(text)), lambda w: F.struct(w.alias("w"), _templates(w).alias("t")))
+    return F.flatten(F.transform(both, lambda b: F.flatten(F.array(*[of_size(b["w"], b["t"], s) for s in sizes]))))
 
 
 def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW,
                       least_words: int = LEAST_WORDS) -> DataFrame:
     """item, n (tokens of the item), at (position), size, hash and slots (values of
     the window's placeholders, null for words) of every telling window."""
-    items = benchmark.select(F.col(f"`{item_id}`").alias("item"), tokens(text_or_empty(f"`{text}`"), True).alias("w"))
+    items = benchmark.select(F.col(f"`{item_id}`").alias("item"), tokens(text_or_empty(f"`{text}`")).alias("w"))
     items = items.filter(F.size("w") > 0).withColumn("n", F.size("w")).withColumn("size", F.least(F.lit(window), "n"))
     each = items.select("item", "n", "size", "w", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("size") + 1)).alias("at"))
     each = each.withColumn("w", F.slice("w", F.col("at"), F.col("size")))
-    template = F.transform("w", _template)
-    words = F.size(F.filter("w", lambda x: ~F.substring(x, 1, 1).isin(NUMBER, UNIT, NAME)))
+    template = _templates(F.col("w"))
+    words = F.size(F.filter("w", lambda x: ~_is_slot(x)))
     return each.withColumn("words", words).filter(
         F.col("words") >= F.least(F.lit(least_words), F.col("size"))).select(
         "item", "n", "at", "size", F.xxhash64(template).alias("hash"), _slots(F.col("w")).alias("slots"))
 
 
-def _slots(words: Column) -> Column:
-    return F.transform(words, lambda x: F.when(F.substring(x, 1, 1).isin(NUMBER, UNIT, NAME), x))
-
-
 def _row_hash(text: str) -> Column:
     return F.xxhash64(text_or_empty(f"`{text}`"))
 
@@ -112,24 +130,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, text: str = "text", do
     small = count <= BROADCAST_WINDOWS
     hint = F.broadcast if small else (lambda df: df)
     body = text_or_empty(f"`{text}`")
-    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), _row_hash(text).alias("row_hash"),
-                       tokens(body, False).alias("w"))
-    cut = rows.select("id", "row_hash", F.explode(F.array(*[
-        F.struct(F.lit(s).alias("size"), _windows(F.col("w"), s).alias("hashes")) for s in sizes])).alias("x"))
-    seen = cut.select("id", "row_hash", "x.size", F.posexplode("x.hashes").alias("at", "hash"))
-    met = checkpoint(seen.join(hint(keys), ["size", "hash"])
-                     .groupBy("id", "row_hash").agg(F.array_sort(F.collect_set(F.struct(
-                         "at", "size", "hash"))).alias("met")))
-    # Values of the matched windows, from the rows that have any.
-    wanted = met.select(F.col("id").alias("i"), F.col("row_hash").alias("h"), "met")
-    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), body.alias("text"), _row_hash(text).alias("row_hash"))
-    held = (texts.join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("row_hash") == F.col("h")))
-            .select("id", "row_hash", "met", tokens(F.col("text"), True).alias("w")))
-    found = held.select("id", "row_hash", F.explode(F.transform("met", lambda m: F.struct(
-        m["at"].alias("at"), m["size"].alias("size"), m["hash"].alias("hash"),
-        _slots(F.slice(F.col("w"), m["at"] + 1, m["size"])).alias("values")))).alias("m")).select("id", "row_hash", "m.*")
+    seen = docs.select(F.col(f"`{doc_id}`").alias("id"), _row_hash(text).alias("row_hash"),
+                       F.explode(_windows(body, sizes)).alias("window")).select("id", "row_hash", "window.*")
+    found = checkpoint(seen.join(hint(keys), ["size", "hash"]))
     pairs = (found.distinct().join(hint(windows.withColumnRenamed("at", "place")), ["size", "hash"])
-             .select("id", "row_hash", "item", "n", (F.col("at") + 1 - F.col("place")).alias("offset"), F.explode(
+             .select("id", "row_hash", "item", "n", (F.col("at") - F.col("place")).alias("offset"), F.explode(
                  F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda k: F.struct(
                      (F.col("place") + k).alias("p"), F.element_at("slots", k + 1).alias("theirs"),
                      F.element_at("values", k + 1).alias("ours")))).alias("c"))

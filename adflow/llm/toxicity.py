@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 from .common import pieces
 
 BUCKETS = 1 << 18
+#: A training sample of up to so many rows is sent to the documents, a larger one joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: Words whose weight a worker remembers.
 REMEMBERED = 1 << 19
 _WORD = re.compile(r"[^\W\d_]+")
@@ -133,6 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, text: str = "text",
     share = F.create_map(*[F.lit(x) for g, n in sorted(counts.items()) for x in (g, min(1.0, sample_per_grade / n))])
     unit = F.pmod(F.xxhash64(F.col("id"), F.lit("toxicity sample")), F.lit(1 << 30)) / F.lit(1 << 30)
     sample = graded.filter(unit < share[F.col("grade")])
+    if sum(min(n, sample_per_grade) for n in counts.values()) <= BROADCAST_ROWS:
+        sample = F.broadcast(sample)  # (id, grade) pairs, bounded by the sample
 
     def run(batches):
         import pyarrow as pa
