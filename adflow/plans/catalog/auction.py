@@ -191,9 +191,11 @@ def ad_catalog(spark, d):
     return good
 
 
-def logged_features(spark, d):
+def logged_features(spark, d, keep_columns=False):
     """F9 for every logged impression: its own request context x the served
-    ad (broadcast catalogue) x priors x the ledger, from one events scan."""
+    ad (catalogue) x priors x the ledger, from one events scan. With
+    ``keep_columns`` every feature is also a column of its own; leave it off where
+    the vector is enough, since the optimizer reasons about every alias."""
     from ...functions.features import with_features
 
     ctx = _logged_context(fx.impressions(spark, d, with_request=True))
@@ -202,7 +204,7 @@ def logged_features(spark, d):
     led = fx.ledger(spark, d).select("campaign_id", "day", F.col("spent_usd").alias("spent_today_usd"))
     j = j.join(led, ["campaign_id", "day"], "left").withColumn(
         "spent_today_usd", F.coalesce("spent_today_usd", F.lit(0.0)))
-    return with_features(S.with_priors(j, _stats(spark, d)), keep_columns=True)
+    return with_features(S.with_priors(j, _stats(spark, d)), keep_columns=keep_columns)
 
 
 def _logged_context(imp):
@@ -269,6 +271,6 @@ register("feature_rows_v", ("logged_features_v",), "SELECT request_id, ad_id, "
        with_views(("feature_rows_v",), "SELECT request_id, ad_id, "
                   + ", ".join(f"round({k}, 6) AS {k}" for k in K.FEATURE_NAMES) + " FROM feature_rows_v"))
 def feature_vectors(spark, d):
-    f = logged_features(spark, d)
+    f = logged_features(spark, d, keep_columns=True)
     cols = [round6("keyword_overlap_f" if n == "keyword_overlap" else n).alias(n) for n in K.FEATURE_NAMES]
     return f.select("request_id", "ad_id", *cols)

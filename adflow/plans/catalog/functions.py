@@ -184,7 +184,7 @@ def device_class(spark, d):
 def _tagged_pages(spark, d):
     p = fx.read_table(spark, d, "pages").select("page_id", "html")
     words = fx.read_table(spark, d, "part").select(F.col("p_partkey").alias("_k"), "p_name")
-    j = p.withColumn("_k", F.col("page_id") % 200).join(words, "_k", "left")
+    j = p.withColumn("_k", F.col("page_id") % fx._n_ads(spark, d)).join(words, "_k", "left")
     w = F.split("p_name", " ")
     extra = F.when(F.col("page_id") % 5 == 0, F.lit(",a,b,c,d,e,f,g,h,i,j")).otherwise(F.lit(""))
     content = F.concat(F.upper(F.element_at(w, 1)), F.lit(" , "), F.element_at(w, 2), F.lit(",, Extra"), extra)
@@ -202,7 +202,7 @@ def _tagged_pages(spark, d):
                       upper(split_part(t.p_name, ' ', 1)) || ' , ' || split_part(t.p_name, ' ', 2) || ',, Extra' ||
                       CASE WHEN p.page_id % 5 = 0 THEN ',a,b,c,d,e,f,g,h,i,j' ELSE '' END
                  ELSE '' END AS content
-          FROM pages p LEFT JOIN part t ON t.p_partkey = p.page_id % 200) x""")
+          FROM pages p LEFT JOIN part t ON t.p_partkey = p.page_id % (SELECT count(*) FROM part)) x""")
 def page_keywords(spark, d):
     return _tagged_pages(spark, d).select("page_id", F.concat_ws(",", X.page_keywords("html")).alias("keywords"))
 

@@ -62,7 +62,7 @@ def reconcile_drift(spark, d):
 
 
 register("legacy_ad_spend_v", ("impressions_v",), """
-    SELECT (impression_id * 7 + user_id) % 211 AS ad_id, CAST(ts AS DATE) AS day,
+    SELECT (impression_id * 7 + user_id) % (SELECT count(*) + 11 FROM part) AS ad_id, CAST(ts AS DATE) AS day,
            CAST(sum(CAST(round(win_price * 1000) AS BIGINT)) AS DOUBLE) / 1000000.0 AS spent_usd
     FROM impressions_v GROUP BY 1, 2""")
 

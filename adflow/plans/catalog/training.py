@@ -19,7 +19,8 @@ TRAIN_CUTOFF = "2024-01-30 22:00:00"  # as_of - 2 hours
 
 def logged_impressions(spark, d):
     """The impression log with the feature vector that was scored at serve time."""
-    return logged_features(spark, d)
+    return logged_features(spark, d).select(
+        "impression_id", "ts", "features", "feature_version", "serve_propensity", "model_version", "is_exploration")
 
 
 def labelled(spark, d):

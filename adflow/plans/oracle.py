@@ -8,13 +8,14 @@ from __future__ import annotations
 
 FIXTURE_CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "n_campaigns": ((), "SELECT count(*) AS c FROM supplier"),
-    "part_words": ((), "SELECT p_partkey, string_split(p_name, ' ') AS words FROM part WHERE p_partkey < 200"),
+    "n_ads": ((), "SELECT count(*) AS c FROM part"),
+    "part_words": ((), "SELECT p_partkey, string_split(p_name, ' ') AS words FROM part"),
     "advertisers_v": ((), """
         SELECT n_nationkey AS advertiser_id, n_name AS name,
                'ads@' || lower(n_name) || '.example' AS contact_email,
                n_nationkey <> 24 AS active
         FROM nation"""),
-    "campaigns_v": (("part_words",), """
+    "campaigns_v": (("part_words", "n_ads"), """
         SELECT s.s_suppkey AS campaign_id, s.s_nationkey AS advertiser_id,
                'campaign ' || CAST(s.s_suppkey AS VARCHAR) AS name,
                CAST(0.01 AS DOUBLE) * (1 + s.s_suppkey % 5) AS daily_budget_usd,
@@ -28,7 +29,7 @@ FIXTURE_CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN s.s_suppkey % 10 = 9 THEN 'paused' ELSE 'active' END AS status,
                TIMESTAMP '2023-12-01 00:00:00' + to_minutes(CAST(s.s_suppkey % 1440 AS BIGINT)) AS created_at
         FROM (SELECT *, 200 + CAST(round(abs(s_acctbal) * 100) AS BIGINT) % 1200 AS ct FROM supplier) s
-        LEFT JOIN part_words w ON w.p_partkey = s.s_suppkey % 200"""),
+        LEFT JOIN part_words w ON w.p_partkey = s.s_suppkey % (SELECT c FROM n_ads)"""),
     "ads_v": (("n_campaigns",), """
         SELECT p_partkey AS ad_id, p_partkey % (SELECT c FROM n_campaigns) AS campaign_id,
                p_name AS name,
@@ -37,13 +38,13 @@ FIXTURE_CTES: dict[str, tuple[tuple[str, ...], str]] = {
                    AS destination_url,
                CASE WHEN p_partkey % 13 = 12 THEN 'paused' ELSE 'active' END AS status,
                CAST(DATE '2024-01-01' - CAST(p_partkey % 90 AS INTEGER) AS TIMESTAMP) AS created_at
-        FROM part WHERE p_partkey < 200"""),
-    "impressions_v": (("n_campaigns",), """
+        FROM part"""),
+    "impressions_v": (("n_campaigns", "n_ads"), """
         SELECT e.event_id AS impression_id, e.ts,
                'pub_' || CAST(e.user_id % 3 AS VARCHAR) AS publisher_id,
                'plc_' || CAST(e.user_id % 6 + 1 AS VARCHAR) AS placement_id,
-               (e.event_id * 7 + e.user_id) % 200 AS ad_id,
-               ((e.event_id * 7 + e.user_id) % 200) % (SELECT c FROM n_campaigns) AS campaign_id,
+               (e.event_id * 7 + e.user_id) % (SELECT c FROM n_ads) AS ad_id,
+               ((e.event_id * 7 + e.user_id) % (SELECT c FROM n_ads)) % (SELECT c FROM n_campaigns) AS campaign_id,
                e.user_id,
                CASE WHEN e.event_id % 6 < 3 THEN 'mobile' WHEN e.event_id % 6 < 5 THEN 'desktop'
                     ELSE 'tablet' END AS device_type,
@@ -56,7 +57,7 @@ FIXTURE_CTES: dict[str, tuple[tuple[str, ...], str]] = {
                s.s_nationkey AS advertiser_id
         FROM events e
         LEFT JOIN supplier s
-          ON s.s_suppkey = ((e.event_id * 7 + e.user_id) % 200) % (SELECT c FROM n_campaigns)
+          ON s.s_suppkey = ((e.event_id * 7 + e.user_id) % (SELECT c FROM n_ads)) % (SELECT c FROM n_campaigns)
         WHERE e.event_type <> 'click'"""),
     "raw_clicks_v": ((), """
         SELECT event_id - 1 - (event_id * 7919) % 20 AS impression_id, ts, event_id AS click_event_id
@@ -68,7 +69,7 @@ FIXTURE_CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT event_id - 1 - event_id % 7 AS impression_id, user_id, 'purchase' AS conversion_type,
                value AS conversion_value, ts, event_id AS conversion_event_id
         FROM events WHERE event_type = 'purchase'"""),
-    "requests_v": (("part_words",), """
+    "requests_v": (("part_words", "n_ads"), """
         SELECT e.event_id AS request_id,
                'pub_' || CAST(e.user_id % 3 AS VARCHAR) AS publisher_id,
                'plc_' || CAST(e.user_id % 6 + 1 AS VARCHAR) AS placement_id,
@@ -81,7 +82,7 @@ FIXTURE_CTES: dict[str, tuple[tuple[str, ...], str]] = {
                epoch_us(e.ts) // 1000 AS timestamp_ms,
                e.ts AS server_ts,
                w.words AS page_keywords,
-               (e.event_id * 7 + e.user_id) % 200 AS served_ad_id
+               (e.event_id * 7 + e.user_id) % (SELECT c FROM n_ads) AS served_ad_id
         FROM events e
         LEFT JOIN part_words w ON w.p_partkey = CAST(json_extract_string(e.props, '$.k') AS BIGINT)
         WHERE e.event_type <> 'click'"""),

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from .tables import read_table
 
 INVENTORY_AS_OF = "2024-01-15"
-N_ADS = 200
 
 
 def _n_campaigns(spark: SparkSession, sf_dir: str) -> Column:
@@ -22,6 +21,11 @@ def _n_campaigns(spark: SparkSession, sf_dir: str) -> Column:
     return read_table(spark, sf_dir, "supplier").select(F.count(F.lit(1))).scalar()
 
 
+def _n_ads(spark: SparkSession, sf_dir: str) -> Column:
+    """Number of parts (every part is an ad) as a scalar subquery."""
+    return read_table(spark, sf_dir, "part").select(F.count(F.lit(1))).scalar()
+
+
 def _device_of(col: Column) -> Column:
     # event_id % 6: 0-2 mobile, 3-4 desktop, 5 tablet (simulator weights)
     m = col % 6
@@ -30,7 +34,6 @@ def _device_of(col: Column) -> Column:
 
 def _part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (read_table(spark, sf_dir, "part")
-            .filter(F.col("p_partkey") < N_ADS)
             .select("p_partkey", "p_name", F.split("p_name", " ").alias("words")))
 
 
@@ -64,7 +67,7 @@ def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 10 == 9, "paused").otherwise("active").alias("status"),
         (F.lit("2023-12-01 00:00:00").cast("timestamp_ntz")
          + F.make_dt_interval(F.lit(0), F.lit(0), (key % 1440).cast("int"))).alias("created_at"),
-        (key % N_ADS).alias("_kw_part"),
+        (key % _n_ads(spark, sf_dir)).alias("_kw_part"),
     )
     words = _part_words(spark, sf_dir).select(
         F.col("p_partkey").alias("_kw_part"), F.to_json("words").alias("target_keywords"))
@@ -75,7 +78,7 @@ def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read_table(spark, sf_dir, "part").filter(F.col("p_partkey") < N_ADS)
+    p = read_table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     return p.select(
         key.alias("ad_id"),
@@ -119,7 +122,7 @@ def impressions(spark: SparkSession, sf_dir: str, events: DataFrame | None = Non
     so logging features needs no id join between impressions and requests."""
     e = _served_events(spark, sf_dir, events)
     eid, uid = F.col("event_id"), F.col("user_id")
-    ad_id = (eid * 7 + uid) % N_ADS
+    ad_id = (eid * 7 + uid) % _n_ads(spark, sf_dir)
     n_cand = F.lit(2) + eid % 5
     explore = (eid % 13 == 0)
     imp = e.select(
@@ -165,7 +168,7 @@ def requests(spark: SparkSession, sf_dir: str, events: DataFrame | None = None)
         F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"),
         F.col("ts").alias("server_ts"),
         F.get_json_object("props", "$.k").cast("bigint").alias("_kw_part"),
-        ((eid * 7 + uid) % N_ADS).alias("served_ad_id"),
+        ((eid * 7 + uid) % _n_ads(spark, sf_dir)).alias("served_ad_id"),
     )
     words = _part_words(spark, sf_dir).select(
         F.col("p_partkey").alias("_kw_part"), F.col("words").alias("page_keywords"))
@@ -215,8 +218,8 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def legacy_ad_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Old ad-keyed spend counters; keys 200..210 name no existing ad."""
+    """Old ad-keyed spend counters; the last eleven keys name no existing ad."""
     imp = impressions(spark, sf_dir)
-    key = (F.col("impression_id") * 7 + F.col("user_id")) % 211
+    key = (F.col("impression_id") * 7 + F.col("user_id")) % (_n_ads(spark, sf_dir) + 11)
     return (imp.groupBy(key.alias("ad_id"), F.to_date("ts").alias("day"))
             .agg((F.sum(F.round(F.col("win_price") * 1000).cast("bigint")) / 1e6).alias("spent_usd")))
