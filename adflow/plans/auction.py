@@ -1,15 +1,20 @@
 """Set-oriented second-price auction over a whole request table (R1 and
 its parts J2, J3, J5, F9, M7, W1, W2, F13-F16, J11, R2).
 
-Plan shape (per request, no per-row Python):
-  requests --broadcast-hash-join(device)--> inventory      (J2, theta -> equi)
-           --broadcast left join (campaign, day)--> ledger  (J3)
-           --left joins on ad / placement / pair--> priors  (J5)
-  -> features + score (F9, F11 or a Spark ML model)
-  -> shuffle on request_id once:
-       row_number <= 2 (WindowGroupLimit: top-2 is taken map-side too)
-       count + exploration pick (partial aggregate map-side)
-  -> price and propensity (F14-F16)
+Two plans give the same winners:
+
+* Baseline scorer without a per-request floor. The score grows with the number of
+  shared keywords and with nothing else of the request, so winner and runner-up of
+  a request are among the two best ads of each *class*: the ads that hold a given
+  subset of its keywords, scored as if they shared just that subset. The class
+  leaders are one small table per (device, placement, day, subset); a request meets
+  at most two ads for each subset of its keywords. No request x ad pairs exist.
+* Model scorer or a floor in the request. Every eligible ad is scored:
+  requests -> join on device (J2) -> ledger (J3) -> priors (J5) -> score -> top two
+  per request (WindowGroupLimit also cuts map-side).
+
+Counts of candidates, requests without any, and exploration draws need no auction:
+they follow from one row per (device, day).
 """
 
 from __future__ import annotations
@@ -25,10 +30,12 @@ from ..functions.features import with_features
 from ..operators import spend as P
 from ..operators import stats as S
 
-# Above this many (ad, device) rows the inventory is not broadcast; the
-# device join is then salted so it still spreads over many tasks.
-INVENTORY_BROADCAST_MAX_ROWS = 2_000_000
+# An inventory of at most this size is left to the optimizer's own broadcast
+# decision; beyond it the device join is salted, so three device keys spread.
+SALT_ABOVE_ROWS = 2_000_000
 SALT_BUCKETS = 64
+# The keyword boost stops growing at this overlap, so larger subsets say no more.
+MOST_SHARED = 4
 
 SCORING_COLUMNS = ("ad_id", "campaign_id", "advertiser_id", "target_cpm", "floor_price",
                    "target_device", "target_keywords", "daily_budget_usd", "created_at")
@@ -61,16 +68,15 @@ def _inventory_by_device(inventory: DataFrame) -> DataFrame:
 def eligible_ads(ctx: DataFrame, inventory: DataFrame, inventory_rows: int | None = None) -> DataFrame:
     """Device targeting ('all' or equal) and inclusive floor, as an equi-join.
 
-    The inventory snapshot is broadcast after an explicit size check (it
-    grows with the number of ads, never with traffic). Beyond the limit
-    the join is salted: requests get one of ``SALT_BUCKETS`` salts and the
-    inventory is replicated per salt, so no device key lands in one task.
-    Keywords never filter (Q24).
+    The optimizer broadcasts the inventory if its size in bytes allows. A large
+    one is salted: requests get one of ``SALT_BUCKETS`` salts and the inventory is
+    replicated per salt, so no device key lands in one task. Keywords never
+    filter (Q24).
     """
     inv = _inventory_by_device(inventory)
     n = inventory_rows if inventory_rows is not None else inv.count()
-    if n <= INVENTORY_BROADCAST_MAX_ROWS:
-        j = ctx.join(F.broadcast(inv), "device_type", "inner")
+    if n <= SALT_ABOVE_ROWS:
+        j = ctx.join(inv, "device_type", "inner")
     else:
         salted_req = ctx.withColumn("_salt", F.pmod(F.xxhash64("request_id"), F.lit(SALT_BUCKETS)))
         salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALT_BUCKETS - 1).cast("bigint"))
@@ -110,11 +116,6 @@ def md5_uniform(*cols) -> "F.Column":
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint") / float(1 << 52)
 
 
-def md5_key(*cols) -> "F.Column":
-    h = F.md5(F.concat_ws(":", *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols]))
-    return F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint")
-
-
 CANDIDATE_FIELDS = ("ad_id", "campaign_id", "advertiser_id", "predicted_ctr", "bid_value", "target_cpm",
                     "floor_price", "model_version", "publisher_id", "placement_id", "device_type", "request_ts")
 # Inputs of the feature vector, carried with the winner so the vector is
@@ -123,92 +124,148 @@ FEATURE_INPUTS = ("page_keywords", "target_keywords", "created_at", "daily_budge
                   "ad_ctr_prior", "placement_ctr_prior", "pair_ctr_prior", "pair_impressions", "features")
 
 
+def _explores(epsilon: float, seed: int) -> "F.Column":
+    """Does a request explore? Decided from its id alone."""
+    return (md5_uniform("request_id", F.lit(seed)) < F.lit(float(epsilon))) if epsilon > 0 else F.lit(False)
+
+
+def _priced(chosen: DataFrame, fields: list[str], epsilon: float) -> DataFrame:
+    """``chosen`` has the winner's fields, second_bid, _explore and n_candidates."""
+    n = F.col("n_candidates")
+    explored = F.col("_explore") & (n > 1)
+    single = F.least("floor_price", "target_cpm")
+    second = X.clearing_cpm("predicted_ctr", F.col("second_bid"), F.col("floor_price"), F.col("target_cpm"))
+    price = F.greatest(F.when(F.col("second_bid").isNotNull() & ~F.col("_explore"), second).otherwise(single), F.lit(0.0))
+    out = chosen.select("request_id", *fields, price.alias("win_price"), X.cost_usd(price).alias("cost_usd"),
+                        explored.alias("is_exploration"),
+                        X.serve_propensity(n, explored, epsilon).alias("serve_propensity"), "n_candidates")
+    if "features" not in fields and all(c in fields for c in FEATURE_INPUTS[:-1]):
+        out = with_features(out).drop("keyword_overlap")
+    return out
+
+
 # W1 + W2 + F14-F16 -- winner, runner-up, exploration, price, propensity.
-def auction(scored: DataFrame, epsilon: float = K.EXPLORATION_EPSILON, seed: int = 7,
-            candidate_counts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """One pass over the candidates, one shuffle on ``request_id``.
-
-    Whether a request explores is decided from its id before ranking
-    (``u < epsilon``). Exploring requests rank their candidates by a seeded
-    hash (the top one is a uniform pick), the others by (bid desc, ad_id).
-    The window holds only ``row_number`` with a ``<= 2`` filter, so Catalyst
-    plans a WindowGroupLimit that keeps two rows per request map-side. The
-    candidate count comes from ``candidate_counts`` (small per-device/day
-    tables, no second pass) or else from a partial aggregate.
+def auction(scored: DataFrame, epsilon: float = K.EXPLORATION_EPSILON, seed: int = 7) -> DataFrame:
+    """Auction over scored request x ad pairs, one shuffle on ``request_id``.
+
+    Exploring requests take the ad at a drawn position of their candidates in
+    ad order, the others rank by (bid desc, ad_id). Without exploration the
+    window holds only ``row_number`` with a ``<= 2`` filter, so Catalyst plans a
+    WindowGroupLimit that keeps two rows per request map-side.
     """
     fields = [c for c in CANDIDATE_FIELDS + FEATURE_INPUTS if c in scored.columns]
     cand = F.struct(*[F.col(c) for c in fields])
+    sc = scored.select("request_id", *fields)
+    counts = sc.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_candidates"))
+    by_bid = Window.partitionBy("request_id").orderBy(F.col("bid_value").desc(), F.col("ad_id").asc())
+    top = sc.withColumn("_rn", F.row_number().over(by_bid)).filter(F.col("_rn") <= 2)
+    top2 = top.groupBy("request_id").agg(F.max(F.when(F.col("_rn") == 1, cand)).alias("first"),
+                                         F.max(F.when(F.col("_rn") == 2, F.col("bid_value"))).alias("second_bid"))
+    j = top2.join(counts, "request_id").withColumn("_explore", _explores(epsilon, seed))
     if epsilon > 0:
-        explore_pre = md5_uniform("request_id", F.lit(seed)) < F.lit(float(epsilon))
-        key = F.when(F.col("_explore"), md5_key("request_id", "ad_id", F.lit(seed)).cast("double")) \
-               .otherwise(-F.col("bid_value"))
-    else:
-        explore_pre = F.lit(False)
-        key = -F.col("bid_value")
-    sc = scored.select("request_id", *fields).withColumn("_explore", explore_pre)
-    w = Window.partitionBy("request_id").orderBy(key.asc(), F.col("ad_id").asc())
-    top = sc.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 2)
-    top2 = top.groupBy("request_id").agg(
-        F.max(F.when(F.col("_rn") == 1, cand)).alias("first"),
-        F.max(F.when(F.col("_rn") == 2, F.col("bid_value"))).alias("second_bid"),
-        F.max("_explore").alias("_explore"))
-    if candidate_counts is None:
-        counts = scored.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_candidates"))
-        j = top2.join(counts, "request_id", "inner")
-    else:
-        j = candidate_counts(top2)
-    n = F.col("n_candidates")
-    j = j.withColumn("is_exploration", F.col("_explore") & (n > 1))
-    wf = lambda f: F.col("first")[f]
-    single = F.least(wf("floor_price"), wf("target_cpm"))
-    second_price = X.clearing_cpm(wf("predicted_ctr"), F.col("second_bid"), wf("floor_price"), wf("target_cpm"))
-    price = (F.when(F.col("is_exploration"), single)
-             .when(F.col("second_bid").isNotNull() & ~F.col("_explore"), second_price)
-             .otherwise(single))
-    price = F.greatest(price, F.lit(0.0))
-    out = j.select(
-        "request_id",
-        *[wf(f).alias(f) for f in fields],
-        price.alias("win_price"),
-        X.cost_usd(price).alias("cost_usd"),
-        "is_exploration",
-        X.serve_propensity(n, F.col("is_exploration"), epsilon).alias("serve_propensity"),
-        "n_candidates",
-    )
-    if "features" not in fields and all(c in fields for c in FEATURE_INPUTS[:-1]):
-        out = with_features(out).drop("keyword_overlap")
-    return out
+        by_ad = Window.partitionBy("request_id").orderBy("ad_id")
+        drawn = (sc.filter(_explores(epsilon, seed)).withColumn("_pos", F.row_number().over(by_ad) - 1)
+                 .join(counts, "request_id").filter(F.col("_pos") == _drawn_position(seed))
+                 .select("request_id", cand.alias("drawn")))
+        j = j.join(drawn, "request_id", "left").withColumn("first", F.coalesce("drawn", "first"))
+    chosen = j.select("request_id", *[F.col("first")[f].alias(f) for f in fields], "second_bid", "_explore", "n_candidates")
+    return _priced(chosen, fields, epsilon)
+
+
+def _drawn_position(seed: int) -> "F.Column":
+    """Position of an exploring request's pick among its candidates in ad order."""
+    return F.floor(md5_uniform("request_id", F.lit("pick"), F.lit(seed)) * F.col("n_candidates")).cast("int")
+
+
+def _request_days(ctx: DataFrame) -> "F.Column":
+    """The days of the request table, as one array (a scalar subquery)."""
+    return ctx.select(F.sequence(F.min("day"), F.max("day"))).scalar()
+
+
+def _in_budget(inventory: DataFrame, ctx: DataFrame, ledger: DataFrame | None) -> DataFrame:
+    """Rows of ``inventory`` on each day on which their campaign may still spend."""
+    rows = inventory.filter(P.has_campaign(inventory)).withColumn("day", F.explode(_request_days(ctx)))
+    return P.filter_by_budget(rows, ledger) if ledger is not None else rows
+
+
+def eligibility(ctx: DataFrame, inventory: DataFrame, ledger: DataFrame | None) -> DataFrame:
+    """(device_type, day) -> n_candidates, n_campaigns, max_cpm for requests without
+    a floor. Ads are first summed by campaign, so days multiply campaigns only."""
+    inv = _inventory_by_device(inventory).filter(F.col("target_cpm") >= 0.0)
+    camp = inv.groupBy("campaign_id", "device_type", "daily_budget_usd").agg(
+        F.count(F.lit(1)).alias("_ads"), F.max("target_cpm").alias("_cpm"))
+    return _in_budget(camp, ctx, ledger).groupBy("device_type", "day").agg(
+        F.sum("_ads").alias("n_candidates"), F.count_distinct("campaign_id").alias("n_campaigns"),
+        F.max("_cpm").alias("max_cpm"))
 
 
-def device_day_counts(inventory: DataFrame, ledger: DataFrame | None) -> Callable[[DataFrame], DataFrame]:
-    """Candidate count per request without a second pass over candidates.
+def _subsets(keywords: "F.Column") -> "F.Column":
+    """All subsets of a sorted keyword list with up to MOST_SHARED members."""
+    none = F.array(F.array().cast("array<string>"))
+    return F.aggregate(F.coalesce(keywords, F.array().cast("array<string>")), none, lambda acc, k: F.concat(
+        acc, F.transform(F.filter(acc, lambda s: F.size(s) < MOST_SHARED), lambda s: F.concat(s, F.array(k)))))
 
-    Valid when eligibility depends only on (device, day): no per-request
-    floor. n = servable ads for the device - ads of campaigns exhausted on
-    that day. Both tables are bounded by #devices x #ledger days (a proven
-    size), so they are broadcast.
+
+def class_leaders(ctx: DataFrame, inventory: DataFrame, stats: dict[str, DataFrame],
+                  ledger: DataFrame | None) -> DataFrame:
+    """The two best ads of each (device, placement, day, keyword subset).
+
+    A campaign's budget admits all its ads or none, so its own two best ads are
+    picked before the days multiply the rows.
     """
-    inv = _inventory_by_device(inventory).filter(P.has_campaign(inventory) & (F.col("target_cpm") >= 0.0))
-    total = inv.groupBy("device_type").agg(F.count(F.lit(1)).alias("_total"))
+    placements = ctx.select(F.array_append(F.collect_set("placement_id"), F.lit(None))).scalar()
+    inv = _inventory_by_device(inventory).filter(F.col("target_cpm") >= 0.0)
+    ads = S.attach_pair_prior(inv.select(
+        "ad_id", "campaign_id", "device_type", "target_cpm", "daily_budget_usd",
+        F.array_sort("target_keywords").alias("_kw"), F.explode(placements).alias("placement_id")), stats)
+    rows = ads.select("ad_id", "campaign_id", "device_type", "target_cpm", "daily_budget_usd", "placement_id",
+                      "pair_ctr_prior", F.explode(_subsets(F.col("_kw"))).alias("shared"))
+    rows = rows.withColumn("bid", X.bid_value(X.baseline_ctr("pair_ctr_prior", F.size("shared")), "target_cpm"))
+    best = (F.col("bid").desc(), F.col("ad_id").asc())
+    own = Window.partitionBy("campaign_id", "device_type", "placement_id", "shared").orderBy(*best)
+    rows = rows.withColumn("_rn", F.row_number().over(own)).filter(F.col("_rn") <= 2)
+    whole = Window.partitionBy("device_type", "placement_id", "day", "shared").orderBy(*best)
+    return (_in_budget(rows, ctx, ledger).withColumn("_rn", F.row_number().over(whole)).filter(F.col("_rn") <= 2)
+            .select("device_type", "placement_id", "day", "shared", "ad_id", "bid"))
+
+
+def _baseline_auctions(ctx: DataFrame, inv: DataFrame, stats: dict[str, DataFrame], ledger: DataFrame | None,
+                       epsilon: float, seed: int) -> DataFrame:
+    """The auction by class leaders; see the module's first plan."""
+    from ..operators.materialize import checkpoint
+
+    leaders = checkpoint(class_leaders(ctx, inv, stats, ledger))
+    asked = ctx.select("request_id", "device_type", "day", "placement_id",
+                       F.explode(_subsets(F.col("page_keywords"))).alias("shared"))
+    met = asked.join(leaders.withColumnRenamed("placement_id", "_pl"),
+                     (asked.device_type == leaders.device_type) & (asked.day == leaders.day)
+                     & (asked.shared == leaders.shared) & asked.placement_id.eqNullSafe(F.col("_pl")))
+    # At most two ads for each subset of a request's keywords.
+    ranked = met.groupBy("request_id").agg(F.array_sort(F.collect_list(
+        F.struct((-F.col("bid")).alias("low"), F.col("ad_id")))).alias("r"))
+    first = F.col("r")[0]
+    second = F.get(F.filter("r", lambda x: x["ad_id"] != first["ad_id"]), F.lit(0))
+    won = ranked.select("request_id", first["ad_id"].alias("ad_id"), (-second["low"]).alias("second_bid"))
+    counted = ctx.join(eligibility(ctx, inv, ledger).select("device_type", "day", "n_candidates"), ["device_type", "day"])
+    j = counted.withColumn("_explore", _explores(epsilon, seed)).join(won, "request_id")
+    if epsilon > 0:
+        listed = _in_budget(_inventory_by_device(inv).select("ad_id", "campaign_id", "device_type", "daily_budget_usd",
+                                                             "target_cpm").filter(F.col("target_cpm") >= 0.0), ctx, ledger)
+        in_order = Window.partitionBy("device_type", "day").orderBy("ad_id")
+        listed = listed.select("device_type", "day", F.col("ad_id").alias("drawn"),
+                               (F.row_number().over(in_order) - 1).alias("_pos"))
+        j = j.withColumn("_pos", F.when(F.col("_explore"), _drawn_position(seed)))
+        j = (j.join(listed, ["device_type", "day", "_pos"], "left")
+             .withColumn("ad_id", F.coalesce("drawn", "ad_id")).drop("drawn", "_pos"))
+    spent = F.lit(0.0)
+    j = j.join(inv, "ad_id")
     if ledger is not None:
-        budgets = inv.select("campaign_id", "device_type", "daily_budget_usd")
-        exhausted = (budgets.join(ledger.select("campaign_id", "day", "spent_usd"), "campaign_id", "inner")
-                     .filter(F.col("spent_usd") >= F.col("daily_budget_usd"))
-                     .groupBy("device_type", "day").agg(F.count(F.lit(1)).alias("_gone")))
-    else:
-        exhausted = None
-
-    def attach(top2: DataFrame) -> DataFrame:
-        j = (top2.withColumn("device_type", F.col("first.device_type"))
-             .withColumn("day", X.utc_day(F.col("first.request_ts")))
-             .join(F.broadcast(total), "device_type", "left"))
-        gone = F.lit(0)
-        if exhausted is not None:
-            j = j.join(F.broadcast(exhausted), ["device_type", "day"], "left")
-            gone = F.coalesce(F.col("_gone"), F.lit(0))
-        return (j.withColumn("n_candidates", F.col("_total") - gone)
-                .drop("_total", "_gone", "device_type", "day"))
-    return attach
+        j = j.join(ledger.select("campaign_id", "day", "spent_usd"), ["campaign_id", "day"], "left")
+        spent = F.coalesce("spent_usd", F.lit(0.0))
+    j = j.withColumn("spent_today_usd", spent)
+    scored = score_candidates(j, stats)
+    fields = [c for c in CANDIDATE_FIELDS + FEATURE_INPUTS if c in scored.columns]
+    return _priced(scored.select("request_id", *fields, "second_bid", "_explore", "n_candidates"), fields, epsilon)
 
 
 # R1 -- the whole batch auction.
@@ -220,21 +277,26 @@ def run_auctions(requests: DataFrame, inventory: DataFrame, stats: dict[str, Dat
     ctx = S.attach_placement_prior(request_context(requests), stats)
     inv = S.attach_ad_prior(inventory.select(*SCORING_COLUMNS), stats) \
         .withColumn("target_keywords", X.ad_keyword_set("target_keywords"))  # once per ad, not per candidate
-    cands = eligible_ads(ctx, inv, inventory_rows)
-    if ledger is not None:
-        cands = P.filter_by_budget(cands, ledger)
+    if scorer is None and "floor_price" not in requests.columns:
+        results = _baseline_auctions(ctx, inv, stats, ledger, epsilon, seed)
     else:
-        cands = cands.filter(P.has_campaign(cands))
-    scored = score_candidates(cands, stats, scorer)
-    per_request_floor = "floor_price" in requests.columns
-    counts = None if per_request_floor else device_day_counts(inv, ledger)
-    results = auction(scored, epsilon, seed, counts)
-    return results, no_fill(ctx.select("request_id", "publisher_id"), results)
+        cands = eligible_ads(ctx, inv, inventory_rows)
+        cands = P.filter_by_budget(cands, ledger) if ledger is not None else cands.filter(P.has_campaign(cands))
+        results = auction(score_candidates(cands, stats, scorer), epsilon, seed)
+    return results, no_fill(ctx, inv, ledger)
 
 
 # J11 -- requests without any candidate.
-def no_fill(ctx: DataFrame, results: DataFrame) -> DataFrame:
-    return ctx.join(results.select("request_id"), "request_id", "left_anti")
+def with_fill(ctx: DataFrame, inventory: DataFrame, ledger: DataFrame | None) -> DataFrame:
+    """``ctx`` with filled: is there an in-budget ad for the device whose CPM reaches
+    the request's floor? One row per (device, day) answers it, without an auction."""
+    best = eligibility(ctx, inventory, ledger).select("device_type", "day", "max_cpm")
+    return (ctx.join(best, ["device_type", "day"], "left")
+            .withColumn("filled", F.coalesce(F.col("max_cpm") >= F.col("request_floor"), F.lit(False))).drop("max_cpm"))
+
+
+def no_fill(ctx: DataFrame, inventory: DataFrame, ledger: DataFrame | None) -> DataFrame:
+    return with_fill(ctx, inventory, ledger).filter(~F.col("filled")).select("request_id", "publisher_id")
 
 
 # R2 / P11 -- the impression event row for each filled request.
@@ -253,10 +315,9 @@ def impression_events(results: DataFrame) -> DataFrame:
 
 
 # A13 -- traffic summary per publisher.
-def fill_report(ctx: DataFrame, results: DataFrame, clicks: DataFrame | None = None,
-                by: str = "publisher_id") -> DataFrame:
-    filled = results.select("request_id", F.lit(1).alias("_filled"))
-    j = ctx.select("request_id", by).join(filled, "request_id", "left")
+def fill_report(fills: DataFrame, clicks: DataFrame | None = None, by: str = "publisher_id") -> DataFrame:
+    """``fills`` has request_id, ``by`` and filled, as ``with_fill`` gives them."""
+    j = fills.select("request_id", by, "filled")
     if clicks is not None:
         clicked = clicks.select(F.col("impression_id").alias("request_id")).distinct() \
             .withColumn("_clicked", F.lit(1))
@@ -265,7 +326,7 @@ def fill_report(ctx: DataFrame, results: DataFrame, clicks: DataFrame | None = N
         j = j.withColumn("_clicked", F.lit(None).cast("int"))
     rep = j.groupBy(by).agg(
         F.count(F.lit(1)).alias("requests"),
-        F.count_if(F.col("_filled").isNotNull()).alias("filled"),
-        F.count_if(F.col("_filled").isNull()).alias("no_fill"),
-        F.count_if(F.col("_filled").isNotNull() & F.col("_clicked").isNotNull()).alias("clicks"))
+        F.count_if(F.col("filled")).alias("filled"),
+        F.count_if(~F.col("filled")).alias("no_fill"),
+        F.count_if(F.col("filled") & F.col("_clicked").isNotNull()).alias("clicks"))
     return rep.withColumn("ctr", X.safe_ctr("clicks", "filled"))

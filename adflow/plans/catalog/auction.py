@@ -90,11 +90,9 @@ EXPLORATION_SQL = with_views(("ranked_v",), f"""
            f.n_candidates
     FROM ranked_v f
     LEFT JOIN ranked_v r ON r.request_id = f.request_id AND r.rn = 2
-    LEFT JOIN (SELECT request_id, arg_min(ad_id, h) AS ad_id, arg_min(predicted_ctr, h) AS predicted_ctr,
-                      arg_min(floor_price, h) AS floor_price, arg_min(target_cpm, h) AS target_cpm
-               FROM (SELECT *, CAST(('0x' || substr(md5(CAST(request_id AS VARCHAR) || ':' ||
-                                 CAST(ad_id AS VARCHAR) || ':{SEED}'), 1, 13)) AS BIGINT) AS h FROM ranked_v) z
-               GROUP BY request_id) p ON p.request_id = f.request_id
+    LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ad_id) - 1 AS pos FROM ranked_v) p
+      ON p.request_id = f.request_id AND p.pos = floor(f.n_candidates *
+         (CAST(('0x' || substr(md5(CAST(f.request_id AS VARCHAR) || ':pick:{SEED}'), 1, 13)) AS BIGINT) / {float(1 << 52)}))
     WHERE f.rn = 1""")
 
 
@@ -102,11 +100,15 @@ def _stats(spark, d):
     return S.ctr_stats_from_logs(fx.impressions(spark, d), fx.clicks(spark, d), STATS_AS_OF, materialize=True)
 
 
-def _run(spark, d, epsilon):
-    from ...operators.materialize import snapshot
+def _snapshots(spark, d):
+    """Inventory and ledger, written once each."""
+    from ...operators.materialize import checkpoint
+
+    return checkpoint(servable(spark, d).select(*AU.SCORING_COLUMNS)), checkpoint(fx.ledger(spark, d))
+
 
-    inventory = snapshot(servable(spark, d).select(*AU.SCORING_COLUMNS))
-    ledger = snapshot(fx.ledger(spark, d))
+def _run(spark, d, epsilon):
+    inventory, ledger = _snapshots(spark, d)
     return AU.run_auctions(fx.requests(spark, d), inventory, _stats(spark, d),
                            ledger=ledger, epsilon=epsilon, seed=SEED)
 
@@ -132,12 +134,23 @@ def auction_exploration(spark, d):
                       round6("serve_propensity").alias("serve_propensity"), "n_candidates")
 
 
-@query("no_fill", ("J11",), with_views(("ctx_v", "ranked_v"), """
-    SELECT request_id, publisher_id FROM ctx_v c
-    WHERE NOT EXISTS (SELECT 1 FROM ranked_v r WHERE r.request_id = c.request_id)"""))
+# Requests with a floor: some above every CPM, some that only the best ads reach.
+def _floored_context(spark, d):
+    k = F.col("request_id") % 17
+    floor = F.when(k == 3, 1000.0).when(k == 4, 13.0).when(k == 5, 13.9).otherwise(0.0)
+    return AU.request_context(fx.requests(spark, d).withColumn("floor_price", floor))
+
+
+register("floored_v", ("ctx_v", "budgeted_v"), """
+    SELECT c.request_id, c.publisher_id, coalesce(max(b.target_cpm) >= CASE c.request_id % 17
+             WHEN 3 THEN 1000.0 WHEN 4 THEN 13.0 WHEN 5 THEN 13.9 ELSE 0.0 END, false) AS filled
+    FROM ctx_v c LEFT JOIN budgeted_v b ON b.request_id = c.request_id GROUP BY c.request_id, c.publisher_id""")
+
+
+@query("no_fill", ("J11",), with_views(("floored_v",), """
+    SELECT request_id, publisher_id FROM floored_v WHERE NOT filled"""))
 def no_fill(spark, d):
-    _, nf = _run(spark, d, 0.0)
-    return nf.select("request_id", "publisher_id")
+    return AU.no_fill(_floored_context(spark, d), *_snapshots(spark, d))
 
 
 @query("eligible_counts", ("J2", "P2"), with_views(("ctx_v", "eligible_v"), """
@@ -145,41 +158,33 @@ def no_fill(spark, d):
     FROM ctx_v c LEFT JOIN eligible_v e ON e.request_id = c.request_id GROUP BY c.request_id"""))
 def eligible_counts(spark, d):
     ctx = AU.request_context(fx.requests(spark, d))
-    el = AU.eligible_ads(ctx, servable(spark, d).select(*AU.SCORING_COLUMNS))
-    counts = el.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_eligible"))
-    return (ctx.select("request_id").join(counts, "request_id", "left")
-            .select("request_id", F.coalesce("n_eligible", F.lit(0)).alias("n_eligible")))
+    counts = AU.eligibility(ctx, servable(spark, d).select(*AU.SCORING_COLUMNS), None)
+    return (ctx.select("request_id", "device_type", "day").join(counts, ["device_type", "day"], "left")
+            .select("request_id", F.coalesce("n_candidates", F.lit(0)).alias("n_eligible")))
 
 
 @query("budget_filtered", ("J3", "P3"), with_views(("budgeted_v",), """
     SELECT request_id, count(*) AS n_in_budget, count(DISTINCT campaign_id) AS n_campaigns
     FROM budgeted_v GROUP BY request_id"""))
 def budget_filtered(spark, d):
-    from ...operators import spend as P
-
     ctx = AU.request_context(fx.requests(spark, d))
-    el = P.filter_by_budget(AU.eligible_ads(ctx, servable(spark, d).select(*AU.SCORING_COLUMNS)),
-                            fx.ledger(spark, d))
-    return el.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_in_budget"),
-                                        F.count_distinct("campaign_id").alias("n_campaigns"))
-
-
-@query("fill_report", ("A13",), with_views(("ctx_v", "ranked_v", "first_click_v"), """
-    SELECT c.publisher_id, count(*) AS requests,
-           count(*) FILTER (WHERE f.request_id IS NOT NULL) AS filled,
-           count(*) FILTER (WHERE f.request_id IS NULL) AS no_fill,
-           count(*) FILTER (WHERE f.request_id IS NOT NULL AND k.impression_id IS NOT NULL) AS clicks,
-           CASE WHEN count(*) FILTER (WHERE f.request_id IS NOT NULL) > 0 THEN
-                round(count(*) FILTER (WHERE f.request_id IS NOT NULL AND k.impression_id IS NOT NULL)
-                      / count(*) FILTER (WHERE f.request_id IS NOT NULL), 6) ELSE 0.0 END AS ctr
-    FROM ctx_v c
-    LEFT JOIN (SELECT DISTINCT request_id FROM ranked_v) f ON f.request_id = c.request_id
-    LEFT JOIN first_click_v k ON k.impression_id = c.request_id
+    counts = AU.eligibility(ctx, servable(spark, d).select(*AU.SCORING_COLUMNS), fx.ledger(spark, d))
+    return (ctx.select("request_id", "device_type", "day").join(counts, ["device_type", "day"])
+            .select("request_id", F.col("n_candidates").alias("n_in_budget"), "n_campaigns"))
+
+
+@query("fill_report", ("A13",), with_views(("floored_v", "first_click_v"), """
+    SELECT c.publisher_id, count(*) AS requests, count(*) FILTER (WHERE filled) AS filled,
+           count(*) FILTER (WHERE NOT filled) AS no_fill,
+           count(*) FILTER (WHERE filled AND k.impression_id IS NOT NULL) AS clicks,
+           CASE WHEN count(*) FILTER (WHERE filled) > 0 THEN
+                round(count(*) FILTER (WHERE filled AND k.impression_id IS NOT NULL)
+                      / count(*) FILTER (WHERE filled), 6) ELSE 0.0 END AS ctr
+    FROM floored_v c LEFT JOIN first_click_v k ON k.impression_id = c.request_id
     GROUP BY c.publisher_id"""))
 def fill_report(spark, d):
-    res, _ = _run(spark, d, 0.0)
-    ctx = AU.request_context(fx.requests(spark, d))
-    return AU.fill_report(ctx, res, fx.clicks(spark, d))
+    fills = AU.with_fill(_floored_context(spark, d), *_snapshots(spark, d))
+    return AU.fill_report(fills, fx.clicks(spark, d))
 
 
 # Features of the logged (request, served ad) pairs against the whole ad catalogue.

@@ -108,7 +108,7 @@ def test_device_targeting(spark):
 def test_device_join_salted_fallback_matches_broadcast(spark):
     inv = _inventory(spark, [("all", "c", "v", 5.0, 1.0, "all", [], 1.0, T0),
                              ("mob", "c", "v", 5.0, 1.0, "mobile", [], 1.0, T0)])
-    big = AU.eligible_ads(_ctx(spark, "mobile"), inv, inventory_rows=AU.INVENTORY_BROADCAST_MAX_ROWS + 1)
+    big = AU.eligible_ads(_ctx(spark, "mobile"), inv, inventory_rows=AU.SALT_ABOVE_ROWS + 1)
     assert sorted(r.ad_id for r in big.collect()) == ["all", "mob"]
 
 
