@@ -60,7 +60,11 @@ def labelled_ctr(labelled: DataFrame, by=("ad_id", "placement_id")) -> DataFrame
 
 
 # J6 -- clicks take ad and placement from their impression (unknown ids drop).
-def enrich_clicks(raw_clicks: DataFrame, impressions: DataFrame) -> DataFrame:
+def enrich_clicks(raw_clicks: DataFrame, impressions: DataFrame, destination: str | None = None) -> DataFrame:
+    """With ``destination`` (a column of the clicks), clicks that do not lead to an
+    http(s) address are refused."""
+    if destination:
+        raw_clicks = raw_clicks.filter(F.coalesce(F.lower(destination).rlike("^https?://"), F.lit(False)))
     imp = impressions.select("impression_id", "ad_id", "placement_id", "publisher_id")
     return raw_clicks.join(imp, "impression_id", "inner")
 
@@ -105,7 +109,8 @@ def impression_facts(impressions: DataFrame, clicks: DataFrame, conversions: Dat
 # S12 -- idempotent insert: first row per impression id wins (deterministic).
 def dedup_impressions(df: DataFrame, key: str = "impression_id",
                       order_cols=("ts",)) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_last() for c in order_cols])
+    ties = [F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")])]
+    w = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_last() for c in order_cols], *ties)
     return (df.withColumn("_rn", F.row_number().over(w))
             .filter(F.col("_rn") == 1).drop("_rn"))
 

@@ -64,7 +64,8 @@ def load_inventory(servable: DataFrame) -> tuple[DataFrame, DataFrame]:
 # S13 -- insert rows whose key is absent (ON CONFLICT DO NOTHING).
 def insert_absent(dim: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:
     keys = [key] if isinstance(key, str) else list(key)
-    w = Window.partitionBy(*keys).orderBy(*keys)
+    # Of several new rows with one key, the choice depends on their content alone.
+    w = Window.partitionBy(*keys).orderBy(F.xxhash64(*new.columns), *[F.col(c).cast("string") for c in new.columns])
     fresh = (new.join(dim.select(*keys), keys, "left_anti")
              .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn"))
     return dim.unionByName(fresh.select(*dim.columns))
@@ -80,14 +81,17 @@ def owned_ads(ads: DataFrame, campaigns: DataFrame) -> DataFrame:
 def apply_status_changes(dim: DataFrame, changes: DataFrame, owners: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """``changes`` (key, advertiser_id, status, ts); ``owners`` (key, advertiser_id).
 
-    Returns (updated dimension, rejected changes). The latest accepted change
-    per key wins (``max_by`` on ts), applied with a left join + coalesce.
+    Returns (updated dimension, rejected changes). Every change is tagged accepted
+    or rejected by itself. The latest accepted change per key wins (``max_by`` on
+    ts), applied with a left join + coalesce.
     """
     from .. import constants as K
 
-    valid = changes.filter(F.col("status").isin(*K.STATUSES))
-    accepted = valid.join(owners.select(key, "advertiser_id"), [key, "advertiser_id"], "left_semi")
-    rejected = changes.join(accepted.select(key, "advertiser_id", "ts"), [key, "advertiser_id", "ts"], "left_anti")
+    owned = owners.select(key, "advertiser_id").distinct().withColumn("_owned", F.lit(True))
+    tagged = changes.join(owned, [key, "advertiser_id"], "left").withColumn(
+        "_ok", F.coalesce(F.col("_owned") & F.col("status").isin(*K.STATUSES), F.lit(False)))
+    accepted = tagged.filter("_ok")
+    rejected = tagged.filter("NOT _ok").select(*changes.columns)
     latest = accepted.groupBy(key).agg(F.max_by("status", F.struct("ts", "status")).alias("_new_status"))
     updated = (dim.join(latest, key, "left")
                .withColumn("status", F.coalesce(F.col("_new_status"), F.col("status")))

@@ -93,13 +93,13 @@ def decile_table(df: DataFrame, p: str = "p", y: str = "label", id_col: str = "i
 def promotion_gates(model: dict, baseline: dict) -> list[str]:
     failures = []
     if not (model["log_loss"] < baseline["log_loss"]):
-        failures.append(f"log loss {model['log_loss']:.6f} does not beat baseline {baseline['log_loss']:.6f}")
+        failures.append(f"log_loss: {model['log_loss']:.6f} is not under the baseline's {baseline['log_loss']:.6f}")
     ratio = model["calibration_ratio"]
     if not (K.GATE_CALIBRATION_LOW <= ratio <= K.GATE_CALIBRATION_HIGH):
-        failures.append(f"calibration ratio {ratio:.3f} outside [{K.GATE_CALIBRATION_LOW}, {K.GATE_CALIBRATION_HIGH}]")
+        failures.append(f"calibration_ratio: {ratio:.3f} leaves {K.GATE_CALIBRATION_LOW}..{K.GATE_CALIBRATION_HIGH}")
     a = model["auc"]
     if a is None or math.isnan(a) or not (a > K.GATE_MIN_AUC):
-        failures.append(f"AUC {a} below {K.GATE_MIN_AUC}")
+        failures.append(f"auc: {a} does not exceed {K.GATE_MIN_AUC}")
     return failures
 
 

@@ -88,24 +88,16 @@ def rekey_spend(ad_spend: DataFrame, ads: DataFrame, ledger: DataFrame) -> tuple
 def overspend(impressions: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Per (campaign, day): impressions served while spend-so-far >= budget.
 
-    Skew-safe: the running sum is windowed per (campaign, day, hour) and an
-    hour-level carry (at most 24 rows per campaign-day) adds the earlier
-    hours, so one hot campaign-day is spread over up to 24 tasks.
+    The running sum splits a hot campaign-day over as many tasks as it fills.
     """
+    from .ranking import running_before
+
     df = (impressions.filter(has_campaign(impressions))
-          .select("campaign_id", "impression_id", "ts",
-                  X.utc_day("ts").alias("day"), F.hour("ts").alias("_hr"),
+          .select("campaign_id", "impression_id", "ts", X.utc_day("ts").alias("day"),
                   F.round(F.col("win_price") * 1000).cast("bigint").alias("_micros")))
-    hourly = df.groupBy("campaign_id", "day", "_hr").agg(F.sum("_micros").alias("_h"))
-    wh = Window.partitionBy("campaign_id", "day").orderBy("_hr").rowsBetween(Window.unboundedPreceding, -1)
-    carry = hourly.select("campaign_id", "day", "_hr", F.coalesce(F.sum("_h").over(wh), F.lit(0)).alias("_carry"))
-    w = (Window.partitionBy("campaign_id", "day", "_hr").orderBy("ts", "impression_id")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    before = F.col("_carry") + F.coalesce(F.sum("_micros").over(w), F.lit(0))
+    run = running_before(df, ["campaign_id", "day"], ["ts", "impression_id"], {"_before": "_micros"})
     budgets = campaigns.select("campaign_id", F.col("daily_budget_usd").alias("budget_usd"))
-    rows = (df.join(carry, ["campaign_id", "day", "_hr"], "inner")
-            .withColumn("_before_usd", before / 1e6)
-            .join(budgets, "campaign_id", "left"))
+    rows = run.withColumn("_before_usd", F.col("_before") / 1e6).join(budgets, "campaign_id", "left")
     after = F.col("budget_usd").isNotNull() & (F.col("_before_usd") >= F.col("budget_usd"))
     return (rows.groupBy("campaign_id", "day")
             .agg(F.count(F.lit(1)).alias("impressions"),

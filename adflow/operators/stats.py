@@ -151,30 +151,28 @@ def materialize_stats(stats: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 # W5 -- running per-key counters strictly before each row (point-in-time prior).
+def _pit_ctr(prior_clicks: float, prior_imps: float):
+    return (F.col("clicks_before") + prior_clicks) / (F.col("seen_before") + prior_imps)
+
+
 def point_in_time_ctr(labelled: DataFrame, key: str = "ad_id", order=("ts", "impression_id"),
                       prior_clicks: float = 1.0, prior_imps: float = 100.0) -> DataFrame:
-    """(clicks_before + 1) / (seen_before + 100) per row, ordered by (ts, id).
+    """(clicks_before + 1) / (seen_before + 100) per row, ordered by (ts, id). A hot
+    key is split over as many tasks as its rows fill."""
+    from .ranking import running_before
 
-    A per-key window: each ad's rows are sorted once in its own task. A hot
-    key is the one skew risk; ``point_in_time_ctr_bucketed`` splits it.
-    """
-    w = (Window.partitionBy(key).orderBy(*order)
-         .rowsBetween(Window.unboundedPreceding, -1))
-    seen = F.coalesce(F.count(F.lit(1)).over(w), F.lit(0))
-    clicked = F.coalesce(F.sum("label").over(w), F.lit(0))
-    return (labelled
-            .withColumn("seen_before", seen.cast("bigint"))
-            .withColumn("clicks_before", clicked.cast("bigint"))
-            .withColumn("pit_ctr", (F.col("clicks_before") + prior_clicks) / (F.col("seen_before") + prior_imps)))
+    rows = labelled.withColumn("_one", F.lit(1))
+    out = running_before(rows, [key], list(order), {"seen_before": "_one", "clicks_before": "label"}).drop("_one")
+    return (out.withColumn("seen_before", F.col("seen_before").cast("bigint"))
+            .withColumn("clicks_before", F.col("clicks_before").cast("bigint"))
+            .withColumn("pit_ctr", _pit_ctr(prior_clicks, prior_imps)))
 
 
 def point_in_time_ctr_bucketed(labelled: DataFrame, key: str = "ad_id",
                                prior_clicks: float = 1.0, prior_imps: float = 100.0) -> DataFrame:
-    """Skew-safe W5: the window is per (key, day), and the counts of all
-    earlier days come from a small (key, day) pre-aggregate with a running
-    sum. A hot key is spread over its days instead of one task."""
-    day = F.to_date("ts")
-    base = labelled.withColumn("_day", day)
+    """The same numbers with pieces of one (key, day): needs no range partitioning,
+    and suits keys whose single days fit a task."""
+    base = labelled.withColumn("_day", F.to_date("ts"))
     daily = base.groupBy(key, "_day").agg(F.count(F.lit(1)).alias("_n"), F.sum("label").alias("_c"))
     wd = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     carry = daily.select(key, "_day",
@@ -185,5 +183,4 @@ def point_in_time_ctr_bucketed(labelled: DataFrame, key: str = "ad_id",
     out = (base.join(carry, [key, "_day"], "left")
            .withColumn("seen_before", (F.col("_n0") + F.coalesce(F.count(F.lit(1)).over(w), F.lit(0))).cast("bigint"))
            .withColumn("clicks_before", (F.col("_c0") + F.coalesce(F.sum("label").over(w), F.lit(0))).cast("bigint")))
-    return (out.withColumn("pit_ctr", (F.col("clicks_before") + prior_clicks) / (F.col("seen_before") + prior_imps))
-            .drop("_day", "_n0", "_c0"))
+    return out.withColumn("pit_ctr", _pit_ctr(prior_clicks, prior_imps)).drop("_day", "_n0", "_c0")

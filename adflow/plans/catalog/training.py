@@ -163,9 +163,8 @@ def downsampling_correction(spark, d):
                        round6(X.clip_prediction(X.undo_downsampling("baseline", 0.25))).alias("corrected"))
 
 
-def _train(spark, d, rounds=8):
-    cfg = T.TrainConfig(num_rounds=rounds, patience=3, max_depth=4)
-    return T.run_training(labelled(spark, d), cfg)
+def _train(spark, d):
+    return T.run_training(labelled(spark, d), T.TrainConfig())
 
 
 @query("model_report", ("M3", "M4", "M5", "M6", "M8", "M9", "A12"))
