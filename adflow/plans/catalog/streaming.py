@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ...operators.attribution import enrich_clicks
 from ...session import ensure_checkpoint_dir
 from ...streaming import jobs as J
 from ..registry import query
@@ -25,24 +24,69 @@ def _events(spark, d):
     return J.event_stream(spark, d, file_glob="events.parquet")
 
 
-def _partials(spark, d):
-    static_imps = fx.impressions(spark, d)
-
-    def to_partials(batch):
-        imps = fx.impressions(spark, d, events=batch)
-        clicks = enrich_clicks(fx.raw_clicks(spark, d, events=batch), static_imps)
-        return J.pair_partials(imps, clicks)
-    return to_partials
+def _click_topic(spark, d):
+    """The click events as they are published, with ad and placement, as a stream."""
+    path = f"{_scratch(spark, 'clicks')[0]}-topic"
+    clicks = fx.clicks(spark, d).select("impression_id", "ts", "ad_id", "placement_id")
+    clicks.write.parquet(path)
+    return J.event_stream(spark, path, clicks.schema)
 
 
 @query("stream_ctr_pair", ("X3", "A1"), with_views(("pair_daily_v",), """
     SELECT CAST(day AS VARCHAR) AS day, ad_id, placement_id, impressions, clicks FROM pair_daily_v"""))
 def stream_ctr_pair(spark, d):
     out, ck = _scratch(spark, "ctr")
-    J.run_available_now(lambda trig: J.stream_ctr_pair(_events(spark, d), _partials(spark, d), out, ck, trig))
+    both = J.pair_partials(fx.impressions(spark, d, events=_events(spark, d)), _click_topic(spark, d))
+    J.run_available_now(lambda trig: J.stream_ctr_pair(both, lambda batch: batch, out, ck, trig))
     return J.read_ctr_state(spark, out).withColumn("day", F.col("day").cast("string"))
 
 
+@query("stream_ingest", ("X1", "S7"), with_views(("impressions_v",), """
+    SELECT impression_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date FROM impressions_v"""))
+def stream_ingest(spark, d):
+    out, ck = _scratch(spark, "ingest")
+    imps = fx.impressions(spark, d, events=_events(spark, d)).withColumn("event_date", F.to_date("ts"))
+    J.run_available_now(lambda trig: J.start_ingest(imps, out, ck, trig))
+    return spark.read.parquet(out).select("impression_id", F.col("event_date").cast("string").alias("event_date"))
+
+
+@query("impression_log", ("S7",), with_views(("impressions_v",), """
+    SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, count(*) AS n_rows, min(ad_id) AS first_ad,
+           round(sum(win_price), 3) AS win_price FROM impressions_v GROUP BY 1"""))
+def impression_log(spark, d):
+    from ...sources.sinks import write_log
+
+    out, _ = _scratch(spark, "log")
+    write_log(fx.impressions(spark, d).withColumn("event_date", F.to_date("ts")), out)
+    log = spark.read.parquet(out)
+    return log.groupBy(F.col("event_date").cast("string").alias("event_date")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("ad_id").alias("first_ad"),
+        F.round(F.sum("win_price"), 3).alias("win_price"))
+
+
+# One event in fifty arrives two micro-batches after the bulk: a batch drops what is
+# behind the watermark that the batch before it ran with.
+@query("late_events", ("X7",), with_views(("impressions_v",), """
+    SELECT count(*) FILTER (WHERE impression_id % 50 = 7
+                            AND CAST(ts AS DATE) + 1 <= (SELECT max(ts) - INTERVAL 2 HOUR FROM impressions_v
+                                                         WHERE impression_id % 50 NOT IN (7, 8))) AS dropped
+    FROM impressions_v"""))
+def late_events(spark, d):
+    out, ck = _scratch(spark, "late")
+    topic = f"{out}-topic"
+    imps = J.with_event_time(fx.impressions(spark, d)).select(
+        "impression_id", "ts", "ad_id", "placement_id", F.lit(1).alias("i"), F.lit(0).alias("c"))
+    turn = F.col("impression_id") % 50
+    for part in (~turn.isin(7, 8), turn == 8, turn == 7):
+        imps.filter(part).coalesce(1).write.mode("append").parquet(topic)  # files are read in the order they were written
+    stream = J.event_stream(spark, topic, imps.schema, max_files_per_trigger=1)
+    # Each late row is its own (day, pair) entry, so the dropped rows are counted one by one.
+    counts = J.windowed_pair_counts(stream.withColumn("ad_id", F.col("impression_id")), "2 hours")
+    dropped = J.count_late_rows(spark, lambda: J.run_available_now(
+        lambda trig: J.start_latest_wins(counts, out, ck, trig)))
+    return spark.createDataFrame([(dropped,)], "dropped bigint")
+
+
 @query("stream_spend", ("X5", "A5"), with_views(("spend_v",), """
     SELECT campaign_id, CAST(day AS VARCHAR) AS day, spent_usd, impressions FROM spend_v"""))
 def stream_spend(spark, d):
@@ -70,8 +114,16 @@ def stream_dedup(spark, d):
     return spark.read.parquet(out).select("impression_id")
 
 
-@query("stream_labels", ("X4",))
+@query("stream_labels", ("X4",), with_views(("impressions_v", "raw_clicks_v"), """
+    SELECT i.impression_id, CAST(strftime(min(c.ts), '%Y-%m-%d %H:%M:%S') AS VARCHAR) AS click_ts,
+           CAST(count(c.ts) > 0 AS INTEGER) AS label
+    FROM impressions_v i LEFT JOIN raw_clicks_v c
+      ON c.impression_id = i.impression_id AND c.ts >= i.ts AND c.ts <= i.ts + INTERVAL 1 HOUR
+    GROUP BY i.impression_id, i.ts
+    HAVING count(c.ts) > 0 OR i.ts + INTERVAL 1 HOUR <
+      (SELECT least((SELECT max(ts) FROM impressions_v), (SELECT max(ts) FROM raw_clicks_v)) - INTERVAL 2 HOUR)"""))
 def stream_labels(spark, d):
+    """Labels of closed windows; what is still open at the end of input is not in it."""
     out, ck = _scratch(spark, "labels")
     ev = _events(spark, d)
     imps = J.with_event_time(fx.impressions(spark, d, events=ev))
@@ -82,27 +134,31 @@ def stream_labels(spark, d):
         return (labels.writeStream.format("parquet").outputMode("append").option("checkpointLocation", ck)
                 .trigger(**trig).start(out))
     J.run_available_now(start)
-    return spark.read.parquet(out)
+    return J.read_labels(spark, out).select(
+        "impression_id", F.date_format("click_ts", "yyyy-MM-dd HH:mm:ss").alias("click_ts"), "label")
+
+
+def auction_batches(spark, d):
+    """run_batch of X6: the snapshots are read anew for each micro-batch."""
+    from .. import auction as AU
+    from .auction import SEED, _snapshots, _stats
+
+    def run_batch(batch, spent):
+        inventory, ledger = _snapshots(spark, d)
+        res, _ = AU.run_auctions(fx.requests(spark, d, events=batch), inventory, _stats(spark, d),
+                                 ledger=J.add_spend(ledger, spent), epsilon=0.0, seed=SEED)
+        return res.withColumn("day", F.to_date("request_ts")).drop("features")
+
+    return run_batch
 
 
 @query("stream_auction_results", ("X6", "R1"), AUCTION_SQL)
 def stream_auction_results(spark, d):
-    from ...operators.materialize import snapshot
-    from .. import auction as AU
-    from .auction import SEED, _result_columns, _stats
-    from .inventory import servable
+    from .auction import _result_columns
 
     out, ck = _scratch(spark, "auction")
-    inventory = snapshot(servable(spark, d).select(*AU.SCORING_COLUMNS))
-    ledger = snapshot(fx.ledger(spark, d))
-    stats = _stats(spark, d)
-
-    def run_batch(batch):
-        reqs = fx.requests(spark, d, events=batch)
-        res, _ = AU.run_auctions(reqs, inventory, stats, ledger=ledger, epsilon=0.0, seed=SEED)
-        return _result_columns(res)
-    J.run_available_now(lambda trig: J.stream_auctions(_events(spark, d), run_batch, out, ck, trig))
-    return spark.read.parquet(out).drop("batch_id")
+    J.run_available_now(lambda trig: J.stream_auctions(_events(spark, d), auction_batches(spark, d), out, ck, trig))
+    return _result_columns(spark.read.parquet(out))
 
 
 del round6

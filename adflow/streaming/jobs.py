@@ -7,11 +7,12 @@ with overwrite, so a retried batch replaces its own output and nothing else.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from .. import constants as K
 from ..functions import expr as X
@@ -122,14 +123,17 @@ def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 
 
 # X4 -- labels once the attribution window has closed (stream-stream join).
+# A click inside the window labels its impression 1 as soon as both are there. An
+# impression without one is labelled 0 when the watermark has passed the end of
+# its window; until then it is open, stays in state, and is in no output.
 def stream_labels(imps: DataFrame, clicks: DataFrame, window_hours: int = K.ATTRIBUTION_WINDOW_HOURS,
                   delay: str = f"{K.LABEL_CUTOFF_HOURS} hours") -> DataFrame:
-    """First click per impression (first arrival wins, as published), then a
-    left outer interval join: an impression is emitted labelled 0 only when
-    the watermark has passed its window end."""
+    """Left outer interval join of impressions and clicks. An impression with
+    several clicks in its window has a row for each; ``read_labels`` keeps the
+    earliest, so the order of arrival does not matter."""
     i = imps.withWatermark("ts", delay).alias("i")
-    c = (dedup_stream(clicks.select(F.col("impression_id").alias("c_imp"), F.col("ts").alias("c_ts")),
-                      "c_imp", delay, "c_ts")).alias("c")
+    c = clicks.select(F.col("impression_id").alias("c_imp"), F.col("ts").alias("c_ts")).withWatermark(
+        "c_ts", delay).alias("c")
     cond = ((F.col("c_imp") == F.col("impression_id")) & (F.col("c_ts") >= F.col("ts"))
             & (F.col("c_ts") <= F.col("ts") + F.expr(f"INTERVAL {window_hours} HOURS")))
     j = i.join(c, cond, "leftOuter")
@@ -137,32 +141,98 @@ def stream_labels(imps: DataFrame, clicks: DataFrame, window_hours: int = K.ATTR
                     F.col("c_ts").isNotNull().cast("int").alias("label"))
 
 
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """One row per emitted impression, labelled by its earliest click in the window."""
+    return (spark.read.parquet(path).groupBy("impression_id", "ts", "ad_id", "placement_id")
+            .agg(F.min("click_ts").alias("click_ts"), F.max("label").alias("label")))
+
+
 # X6 -- streaming auctions against snapshots re-read for every micro-batch.
-def stream_auctions(requests: DataFrame, run_batch: Callable[[DataFrame], DataFrame], path: str,
-                    checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """``run_batch(batch)`` re-reads the current inventory / stats / ledger
-    snapshots and runs the batch auction (R1). Budgets are checked as of the
-    batch start: overspend is bounded by one batch and visible to W6."""
+def batch_spend(spark: SparkSession, path: str, before: int, schema: str) -> DataFrame:
+    """(campaign_id, day, spent_usd) of the results of the batches before ``before``.
+    A retried batch never counts itself. ``schema`` is that of the results."""
+    if before == 0:
+        return spark.createDataFrame([], "campaign_id bigint, day date, spent_usd double")
+    done = spark.read.schema(schema).parquet(*[f"{path.rstrip('/')}/batch_id={i}" for i in range(before)])
+    return (done.filter(F.col("campaign_id").isNotNull()).groupBy("campaign_id", "day")
+            .agg((F.sum(to_micros("cost_usd")) / 1e6).alias("spent_usd")))
+
+
+def add_spend(ledger: DataFrame, spend: DataFrame) -> DataFrame:
+    """The ledger with further spend added to its keys."""
+    both = ledger.select("campaign_id", "day", "spent_usd").unionByName(spend)
+    return both.groupBy("campaign_id", "day").agg((F.sum(to_micros("spent_usd")) / 1e6).alias("spent_usd"))
+
+
+def stream_auctions(requests: DataFrame, run_batch: Callable[[DataFrame, DataFrame], DataFrame], path: str,
+                    checkpoint: str, trigger: dict | None = None,
+                    schema: str = "campaign_id bigint, day date, cost_usd double") -> StreamingQuery:
+    """``run_batch(batch, spent)`` re-reads the current inventory, statistics and
+    ledger, adds ``spent`` (what the earlier batches of this stream have spent) and
+    runs the batch auction (R1). Its result has campaign_id, day and cost_usd.
+    Budgets are checked as of the batch start: overspend is bounded by one batch
+    and visible to W6."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        run_batch(batch).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+        spent = batch_spend(batch.sparkSession, path, batch_id, schema)
+        run_batch(batch, spent).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
     w = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
-# X7 -- late rows dropped by the watermark, from the query progress.
-def rows_dropped_by_watermark(query: StreamingQuery) -> int:
-    total = 0
-    for p in query.recentProgress:
-        for op in p.get("stateOperators", []) if isinstance(p, dict) else p.stateOperators:
-            total += int(op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict)
-                         else op.numRowsDroppedByWatermark)
-    return total
+# X7 -- late rows dropped by the watermark, summed over every micro-batch.
+class LateRows(StreamingQueryListener):
+    """Counts late rows of all queries of a session from the progress of each
+    micro-batch (``recentProgress`` keeps only the last ones)."""
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        late = sum(int(op.numRowsDroppedByWatermark) for op in event.progress.stateOperators)
+        self.dropped[run] = self.dropped.get(run, 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.runId))
+
+    def of(self, query: StreamingQuery, wait_s: float = 60.0) -> int:
+        """Late rows of a query that has ended. Events arrive a little later than
+        the end itself; a count that does not become complete is an error."""
+        until = time.monotonic() + wait_s
+        while str(query.runId) not in self.ended:
+            if time.monotonic() > until:
+                raise TimeoutError("the query's last progress has not arrived")
+            time.sleep(0.05)
+        return self.dropped.get(str(query.runId), 0)
+
+
+def count_late_rows(spark: SparkSession, run: Callable[[], StreamingQuery]) -> int:
+    """Run a stream to its end and return how many rows its watermarks dropped."""
+    listener = LateRows()
+    spark.streams.addListener(listener)
+    try:
+        return listener.of(run())
+    finally:
+        spark.streams.removeListener(listener)
 
 
-def run_available_now(start: Callable[[dict], StreamingQuery], timeout_s: int = 600) -> StreamingQuery:
-    """Start with ``availableNow`` (process everything present, then stop)."""
+def run_available_now(start: Callable[[dict], StreamingQuery], timeout_s: float | None = None) -> StreamingQuery:
+    """Start with ``availableNow`` and wait until everything present is processed.
+    With ``timeout_s`` a stream that is still running then is stopped and reported
+    as an error, never read half-written."""
     q = start({"availableNow": True})
-    q.awaitTermination(timeout_s)
+    if timeout_s is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout_s):
+        q.stop()
+        raise TimeoutError(f"stream still running after {timeout_s} s; its output is incomplete")
     return q
 
 

@@ -104,8 +104,9 @@ def test_late_rows_are_dropped_and_counted(spark):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(os.path.join(src, "*"))
     agg = J.windowed_pair_counts(stream, "2 hours")
     out, ck = os.path.join(_tmp(), "out"), os.path.join(_tmp(), "ck")
-    q = J.run_available_now(lambda trig: J.start_latest_wins(agg, out, ck, trig))
-    assert J.rows_dropped_by_watermark(q) == 1
+    late = J.count_late_rows(spark, lambda: J.run_available_now(
+        lambda trig: J.start_latest_wins(agg, out, ck, trig)))
+    assert late == 1
     latest = J.read_latest(spark, out, ["w", "ad_id", "placement_id"])
     day10 = latest.filter(F.to_date(F.col("w.start")) == F.lit("2024-01-10")).first()
     assert day10.impressions == 1
@@ -142,3 +143,52 @@ def test_model_training_registry_and_scoring(spark):
     rows = results.select("predicted_ctr", "model_version", F.size("features").alias("n")).collect()
     assert rows and all(K.MIN_CTR <= r.predicted_ctr <= K.MAX_CTR and r.n == K.N_FEATURES for r in rows)
     assert {r.model_version for r in rows} == {meta["model_version"]}
+
+
+def test_a_stream_that_does_not_end_is_an_error(spark):
+    rate = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    out, ck = os.path.join(_tmp(), "out"), os.path.join(_tmp(), "ck")
+
+    def start(trigger):  # ignores the trigger and goes on
+        return (rate.writeStream.format("parquet").option("checkpointLocation", ck)
+                .trigger(processingTime="1 second").start(out))
+    with pytest.raises(TimeoutError):
+        J.run_available_now(start, timeout_s=3)
+    assert not spark.streams.active
+
+
+def test_streamed_auctions_draw_budgets_down(spark):
+    """Two micro-batches of the same requests: what the first spent is in the second's ledger."""
+    from adflow.plans.catalog.streaming import auction_batches
+
+    d = SF_SMALL
+    src, out, ck = (os.path.join(_tmp(), x) for x in ("src", "out", "ck"))
+    events = spark.read.parquet(f"{d}/events.parquet").coalesce(1)
+    for _ in range(2):
+        events.write.mode("append").parquet(src)
+    stream = J.event_stream(spark, src, max_files_per_trigger=1)
+    J.run_available_now(lambda trig: J.stream_auctions(stream, auction_batches(spark, d), out, ck, trig))
+    res = spark.read.parquet(out)
+    first = res.filter("batch_id = 0").groupBy("campaign_id", "day").agg(F.sum("cost_usd").alias("s"))
+    budget = res.select("campaign_id", "daily_budget_usd").distinct()
+    over = first.join(budget, "campaign_id").filter("s >= daily_budget_usd")
+    again = res.filter("batch_id = 1").join(over, ["campaign_id", "day"], "left_semi")
+    assert over.count() > 0 and again.count() == 0
+
+
+def test_labels_do_not_depend_on_the_order_of_clicks(spark):
+    t0 = dt.datetime(2024, 1, 1, 12)
+    src_i, src_c, out, ck = (os.path.join(_tmp(), x) for x in ("i", "c", "out", "ck"))
+    imps = [("a", t0), ("b", t0), ("z", t0 + dt.timedelta(days=1))]
+    clicks = [("a", t0 + dt.timedelta(minutes=50)), ("a", t0 + dt.timedelta(minutes=5)),
+              ("b", t0 + dt.timedelta(hours=2)), ("q", t0 + dt.timedelta(days=1))]
+    spark.createDataFrame([(i, t, "ad", "pl") for i, t in imps],
+                          "impression_id string, ts timestamp, ad_id string, placement_id string").write.parquet(src_i)
+    spark.createDataFrame(clicks, "impression_id string, ts timestamp").write.parquet(src_c)
+    i = spark.readStream.schema(spark.read.parquet(src_i).schema).parquet(src_i)
+    c = spark.readStream.schema(spark.read.parquet(src_c).schema).parquet(src_c)
+    labels = J.stream_labels(i, c)
+    J.run_available_now(lambda trig: labels.writeStream.format("parquet").outputMode("append")
+                        .option("checkpointLocation", ck).trigger(**trig).start(out))
+    got = {r.impression_id: (r.label, r.click_ts) for r in J.read_labels(spark, out).collect()}
+    assert got == {"a": (1, t0 + dt.timedelta(minutes=5)), "b": (0, None)}  # z is still open
