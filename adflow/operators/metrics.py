@@ -99,7 +99,7 @@ def promotion_gates(model: dict, baseline: dict) -> list[str]:
         failures.append(f"calibration_ratio: {ratio:.3f} leaves {K.GATE_CALIBRATION_LOW}..{K.GATE_CALIBRATION_HIGH}")
     a = model["auc"]
     if a is None or math.isnan(a) or not (a > K.GATE_MIN_AUC):
-        failures.append(f"auc: {a} does not exceed {K.GATE_MIN_AUC}")
+        failures.append(f"AUC: {a} does not exceed {K.GATE_MIN_AUC}")
     return failures
 
 

@@ -376,3 +376,88 @@ def test_redaction_and_device_class(spark):
                                 ("Mozilla (Windows NT 10.0)",)], "ua string")
     assert [r.d for r in ua.select(X.device_class("ua").alias("d")).collect()] == \
         ["tablet", "mobile", "tablet", "desktop"]
+
+
+def test_rejected_change_with_an_accepted_twin(spark):
+    """Same campaign, owner and time: the valid status is applied, the other is rejected."""
+    from adflow.operators import inventory as I
+
+    dim = spark.createDataFrame([(1, "active"), (2, "active")], "campaign_id long, status string")
+    owners = spark.createDataFrame([(1, 10), (2, 20)], "campaign_id long, advertiser_id long")
+    changes = spark.createDataFrame([(1, 10, "paused", 5), (1, 10, "deleted", 5), (2, 10, "paused", 5)],
+                                    "campaign_id long, advertiser_id long, status string, ts long")
+    updated, rejected = I.apply_status_changes(dim, changes, owners, "campaign_id")
+    assert {(r.campaign_id, r.status) for r in updated.collect()} == {(1, "paused"), (2, "active")}
+    assert sorted((r.campaign_id, r.status) for r in rejected.collect()) == [(1, "deleted"), (2, "paused")]
+
+
+def test_picks_among_equal_keys_do_not_depend_on_row_order(spark):
+    from adflow.operators import attribution as A
+    from adflow.operators import inventory as I
+
+    rows = [("k", 1, f"v{i}") for i in range(20)]
+    dim = spark.createDataFrame([("x", 0, "old")], "id string, ts long, v string")
+    picks = set()
+    for n, order in ((1, rows), (5, rows[::-1]), (3, rows[7:] + rows[:7])):
+        new = spark.createDataFrame(order, "id string, ts long, v string").repartition(n)
+        picks.add(I.insert_absent(dim, new, "id").filter("id = 'k'").first().v)
+        picks.add("d" + A.dedup_impressions(new, "id").first().v)
+    assert len(picks) == 2
+
+
+def test_click_destination_must_be_http(spark):
+    from adflow.operators import attribution as A
+
+    imps = spark.createDataFrame([("i", "a", "p", "b")], "impression_id string, ad_id string, placement_id string, publisher_id string")
+    clicks = spark.createDataFrame([("i", u) for u in ("https://x", "HTTP://x", "javascript:alert(1)", "", None, "ftp://x")],
+                                   "impression_id string, to string")
+    assert A.enrich_clicks(clicks, imps, "to").count() == 2 and A.enrich_clicks(clicks, imps).count() == 6
+
+
+def test_running_totals_split_a_hot_key(spark):
+    from pyspark.sql import functions as F
+
+    from adflow.operators.ranking import running_before
+
+    df = spark.range(3000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(99).alias("k"),
+                                  F.col("id").alias("t"), (F.col("id") % 5).alias("v"))
+    got = running_before(df, ["k"], ["t"], {"s": "v"}).collect()
+    total = {}
+    for r in sorted(got, key=lambda r: r.t):
+        assert r.s == total.get(r.k, 0)
+        total[r.k] = r.s + r.v
+    assert len(got) == 3000
+
+
+def test_baseline_auction_equals_the_scored_pairs(spark):
+    """Class leaders give the winner, price and draw of the auction over all pairs."""
+    from adflow.plans import auction as AU
+    from adflow.plans.catalog import auction as CA
+    from adflow.sources import fixtures as fx
+    from conftest import SF_SMALL
+
+    inventory, ledger = CA._snapshots(spark, SF_SMALL)
+    stats = CA._stats(spark, SF_SMALL)
+    requests = fx.requests(spark, SF_SMALL)
+    columns = ["request_id", "ad_id", "bid_value", "win_price", "is_exploration", "n_candidates", "predicted_ctr"]
+    for epsilon in (0.0, 0.5):
+        fast, _ = AU.run_auctions(requests, inventory, stats, ledger=ledger, epsilon=epsilon)
+        slow, _ = AU.run_auctions(requests, inventory, stats, ledger=ledger, epsilon=epsilon, scorer=AU.baseline_scorer)
+        assert sorted(map(tuple, fast.select(columns).collect())) == sorted(map(tuple, slow.select(columns).collect()))
+
+
+def test_many_keywords_reach_the_cap_of_the_boost(spark):
+    """Ads that share five of six keywords score as those that share four."""
+    from adflow.plans import auction as AU
+    from pyspark.sql import functions as F
+
+    kws = spark.createDataFrame([(["a", "b", "c", "d", "e", "f"],)], "k array<string>")
+    subsets = kws.select(AU._subsets(F.col("k")).alias("s")).first().s
+    assert len(subsets) == 1 + 6 + 15 + 20 + 15 and len({tuple(x) for x in subsets}) == len(subsets)
+
+
+def test_early_stopping_rounds():
+    from adflow.plans.training import best_round
+
+    assert best_round([3.0, 2.0, 2.5, 2.4, 1.0], patience=2) == 1
+    assert best_round([3.0, 2.0, 2.5, 2.4, 1.0], patience=3) == 4
