@@ -39,3 +39,13 @@ def pieces(text: str | None, limit: int = 1 << 20):
         yield text[at:cut]
         at = cut
     yield text[at:]
+
+
+def slices(batch, limit: int = 4 << 20):
+    """An Arrow batch in slices of about ``limit`` bytes, so that a worker turns only
+    so much text into Python objects at a time."""
+    if not batch.num_rows:
+        return
+    rows = max(1, batch.num_rows * limit // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.materialize import checkpoint
-from .common import SPACE, as_row, shuffle_partitions, text_or_empty
+from .common import SPACE, as_row, shuffle_partitions, slices, text_or_empty
 
 #: Characters of the normalised text at the front of the range key.
 LEAD_CHARS = 16
@@ -104,9 +104,7 @@ def _mark_runs(schema_of):
         def border(side, text):
             return _table(schema, 1, pid=[pid], run=[max(run, 0)], side=[side], edge=[text])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in slices(whole)):
             new, first_text, last_text = _starts(batch, last)
             if last is None:
                 yield border("first", first_text)
@@ -139,9 +137,7 @@ def _mark_heads(schema_of):
         schema = schema_of()
         pid = TaskContext.get().partitionId()
         run, last = -1, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in slices(whole)):
             new, first_text, last_text = _starts(batch, last)
             if last is None:
                 yield _table(schema, 1, pid=[pid], run=[0], side=["first"], edge=[first_text])

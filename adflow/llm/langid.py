@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_row
+from .common import as_row, slices
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
@@ -251,7 +251,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             found = [bucket_counts(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([x for x, _ in found], pa.list_(pa.int32())),
@@ -282,7 +282,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
         import pyarrow as pa
 
         m = shared.value
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             summed, grams = _score_batch(b.column(1).to_pylist(), m.scores)
             known = (grams > 0) & bool(m.languages)
             best = np.zeros(len(grams), dtype=np.int64)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.materialize import checkpoint
-from .common import text_or_empty
+from .common import slices, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -94,7 +94,7 @@ def _scanner(rules: tuple[Rule, ...]):
         patterns = [r.compiled() for r in rules]
         places = {r.version: i for i, r in enumerate(rules)}
         kind = pa.list_(pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int64())]))
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             found = []
             for text, todo in zip(b.column("text").to_pylist(), b.column("todo").to_pylist()):
                 pick = [places[v] for v in todo]

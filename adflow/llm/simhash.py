@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.materialize import checkpoint
-from .common import shuffle_partitions, text_or_empty
+from .common import shuffle_partitions, slices, text_or_empty
 from .components import components
 
 SEED = 42
@@ -136,7 +136,7 @@ def fingerprints_of(texts: list[str | None], shingle: int):
         for part in shingle_hashes(text, shingle):
             hashes.extend(part)
             owner.append((d, len(part)))
-            if len(hashes) > 400_000:
+            if len(hashes) > 100_000:
                 flush()
     flush()
     bits = (2 * counts > total[:, None]).astype(np.uint8)
@@ -150,7 +150,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             fp = fingerprints_of(batch.column(1).to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view("int64"))], names=["id", "fp"])
 

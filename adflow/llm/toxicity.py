@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces
+from .common import pieces, slices
 
 BUCKETS = 1 << 18
 #: A training sample of up to so many rows is sent to the documents, a larger one joined by a shuffle.
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, text: str = "text",
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             found = [sorted({bucket(w) for w in distinct_words(t)}) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))],
                                              names=["key", "grade", "buckets"])
@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", doc_id: str
         m = shared.value
         grades, theta = np.array(m.grades), np.array(m.thresholds)
         memory: dict[str, float] = {}
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             scores = np.zeros(b.num_rows)
             for i, text in enumerate(b.column(1).to_pylist()):
                 words = distinct_words(text)

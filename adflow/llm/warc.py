@@ -34,6 +34,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 CRLF = "\r\n"
 #: Date of records whose page names none.
 NO_DATE = "1970-01-01T00:00:00Z"
@@ -111,7 +113,7 @@ def _mapper(made, schema: T.StructType):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(schema)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             yield pa.RecordBatch.from_pylist([x for r in b.to_pylist() for x in made(r)], schema=target)
 
     return run
