@@ -79,7 +79,6 @@ IMPRESSION_RETENTION_DAYS = 90
 CLICK_URL_TTL_SECONDS = 60 * 60 * 24
 CLICK_MAX_FUTURE_SLACK_SECONDS = 300
 SIGNATURE_BYTES = 16
-DEFAULT_PEPPER = "dev-only-insecure-pepper"
 DEFAULT_PUBLIC_BASE_URL = "http://localhost:8000"
 CLICK_MACRO = "{{CLICK_URL}}"
 API_KEY_PREFIX_LEN = 16

@@ -217,10 +217,11 @@ def device_class(ua) -> Column:
 META_KEYWORDS = r'(?is)<meta[^>]*name="keywords"[^>]*content="([^"]*)"'
 
 
-def page_keywords(html) -> Column:
+def page_keywords(html, most: int = K.PAGE_KEYWORDS_MAX) -> Column:
+    """The first ``most`` keywords of the page's meta tag, as the ad tag sends them."""
     content = F.regexp_extract(F.coalesce(_c(html), F.lit("")), META_KEYWORDS, 1)
     parts = F.filter(F.transform(F.split(content, ","), lambda k: F.lower(F.trim(k))), lambda k: k != "")
-    return F.when(content == "", F.array().cast("array<string>")).otherwise(F.slice(parts, 1, K.PAGE_KEYWORDS_MAX))
+    return F.when(content == "", F.array().cast("array<string>")).otherwise(F.slice(parts, 1, most))
 
 
 # F29 -- CTR with zero guard, rounded to 6 places.

@@ -31,7 +31,7 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def hmac_sha256_hex(message, key: str = K.DEFAULT_PEPPER) -> Column:
+def hmac_sha256_hex(message, key: str) -> Column:
     """Lower-case hex HMAC-SHA256 of a string column."""
     ipad, opad = _padded_keys(key)
     msg = F.encode(_c(message).cast("string"), "UTF-8")
@@ -44,15 +44,14 @@ def b64url_nopad(binary: Column) -> Column:
 
 
 # F22 -- click signature over "<impression_id>:<expires_at>".
-def click_signature(impression_id, expires_at, key: str = K.DEFAULT_PEPPER) -> Column:
+def click_signature(impression_id, expires_at, key: str) -> Column:
     msg = F.concat_ws(":", _c(impression_id).cast("string"), _c(expires_at).cast("bigint").cast("string"))
     digest = hmac_sha256_hex(msg, key)
     return b64url_nopad(F.unhex(F.substring(digest, 1, 2 * K.SIGNATURE_BYTES)))
 
 
 # F23 -- signed click URL and macro substitution.
-def click_url(impression_id, expires_at, base_url: str = K.DEFAULT_PUBLIC_BASE_URL,
-              key: str = K.DEFAULT_PEPPER) -> Column:
+def click_url(impression_id, expires_at, key: str, base_url: str = K.DEFAULT_PUBLIC_BASE_URL) -> Column:
     base = base_url.rstrip("/")
     return F.concat(
         F.lit(f"{base}/v1/click?id="), _c(impression_id).cast("string"),
@@ -66,7 +65,7 @@ def render_creative(creative_html, url) -> Column:
 
 
 # F25 -- API key hash (hex HMAC) and its safe-to-log prefix.
-def key_hash(api_key, key: str = K.DEFAULT_PEPPER) -> Column:
+def key_hash(api_key, key: str) -> Column:
     return hmac_sha256_hex(api_key, key)
 
 
@@ -82,8 +81,8 @@ VERDICT_MISMATCH = "signature_mismatch"
 VERDICT_OK = "ok"
 
 
-def click_verdict(impression_id, expires_at, signature, now_unix,
-                  ttl_seconds: int = K.CLICK_URL_TTL_SECONDS, key: str = K.DEFAULT_PEPPER) -> Column:
+def click_verdict(impression_id, expires_at, signature, now_unix, key: str,
+                  ttl_seconds: int = K.CLICK_URL_TTL_SECONDS) -> Column:
     exp = _c(expires_at).cast("bigint")
     now = _c(now_unix).cast("bigint") if not isinstance(now_unix, int) else F.lit(now_unix).cast("bigint")
     max_future = now + F.lit(ttl_seconds + K.CLICK_MAX_FUTURE_SLACK_SECONDS)

@@ -9,11 +9,11 @@ from .. import constants as K
 from ..functions import signing as G
 
 
-def audit_clicks(clicks: DataFrame, key: str = K.DEFAULT_PEPPER, ttl_seconds: int = K.CLICK_URL_TTL_SECONDS,
+def audit_clicks(clicks: DataFrame, key: str, ttl_seconds: int = K.CLICK_URL_TTL_SECONDS,
                  now_col: str = "now_unix") -> DataFrame:
     """``clicks`` carries impression_id, exp, sig and the verification time."""
     return clicks.withColumn(
-        "verdict", G.click_verdict("impression_id", "exp", "sig", F.col(now_col), ttl_seconds, key))
+        "verdict", G.click_verdict("impression_id", "exp", "sig", F.col(now_col), key, ttl_seconds))
 
 
 def audit_summary(audited: DataFrame, by: str = "publisher_id") -> DataFrame:

@@ -14,7 +14,7 @@ from ...operators.audit import audit_clicks, audit_summary
 from ..registry import query
 from .common import fx, register, with_views
 
-_IPAD, _OPAD = G._padded_keys(K.DEFAULT_PEPPER)
+_IPAD, _OPAD = G._padded_keys(fx.SIGNING_KEY)
 
 
 def hmac_hex_sql(msg_sql: str) -> str:
@@ -38,7 +38,7 @@ def _exp(ts_col="ts"):
     FROM impressions_v"""))
 def click_signatures(spark, d):
     imp = fx.impressions(spark, d).select("impression_id", _exp())
-    return imp.withColumn("sig", G.click_signature("impression_id", "exp"))
+    return imp.withColumn("sig", G.click_signature("impression_id", "exp", fx.SIGNING_KEY))
 
 
 register("signed_v", ("impressions_v", "ads_v"), f"""
@@ -54,7 +54,7 @@ def _signed(spark, d):
     imp = fx.impressions(spark, d).select("impression_id", "ts", "publisher_id", "ad_id", _exp())
     ads = fx.ads(spark, d).select("ad_id", "creative_html")
     return (imp.join(ads, "ad_id", "inner")
-            .withColumn("click_url", G.click_url("impression_id", "exp")))
+            .withColumn("click_url", G.click_url("impression_id", "exp", fx.SIGNING_KEY)))
 
 
 @query("signed_urls", ("F23",), with_views(("signed_v",), """
@@ -82,8 +82,8 @@ def _click_requests(spark, d):
     imp = fx.impressions(spark, d).select("impression_id", F.col("ts").alias("imp_ts"))
     k = F.col("click_event_id")
     base = c.join(imp, "impression_id").withColumn("exp", _exp("imp_ts"))
-    good_sig = G.click_signature("impression_id", "exp")
-    other_sig = G.click_signature(F.col("impression_id") + 1, F.col("exp"))
+    good_sig = G.click_signature("impression_id", "exp", fx.SIGNING_KEY)
+    other_sig = G.click_signature(F.col("impression_id") + 1, F.col("exp"), fx.SIGNING_KEY)
     return base.select(
         "click_event_id", "impression_id", "publisher_id",
         F.when(k % 7 == 0, F.col("exp") + 86400).otherwise(F.col("exp")).alias("exp"),
@@ -114,13 +114,13 @@ register("click_verdicts_v", ("click_requests_v",), f"""
 @query("click_verdicts", ("R4", "F22"), with_views(("click_verdicts_v",), """
     SELECT click_event_id, impression_id, verdict FROM click_verdicts_v"""))
 def click_verdicts(spark, d):
-    return audit_clicks(_click_requests(spark, d)).select("click_event_id", "impression_id", "verdict")
+    return audit_clicks(_click_requests(spark, d), fx.SIGNING_KEY).select("click_event_id", "impression_id", "verdict")
 
 
 @query("click_audit", ("R4",), with_views(("click_verdicts_v",), """
     SELECT publisher_id, verdict, count(*) AS n FROM click_verdicts_v GROUP BY 1, 2"""))
 def click_audit(spark, d):
-    return audit_summary(audit_clicks(_click_requests(spark, d)), "publisher_id")
+    return audit_summary(audit_clicks(_click_requests(spark, d), fx.SIGNING_KEY), "publisher_id")
 
 
 @query("key_hashes", ("F25",), f"""
@@ -129,7 +129,7 @@ def click_audit(spark, d):
 def key_hashes(spark, d):
     p = fx.read_table(spark, d, "pages")
     k = F.concat(F.lit("pk_test_"), F.substring(F.sha2(F.col("url"), 256), 1, 43))
-    return p.select("page_id", G.key_prefix(k).alias("key_prefix"), G.key_hash(k).alias("key_hash"))
+    return p.select("page_id", G.key_prefix(k).alias("key_prefix"), G.key_hash(k, fx.SIGNING_KEY).alias("key_hash"))
 
 
 # Connection URLs with credentials (page_id % 3 <> 0) built from page URLs.

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .tables import read_table
 
 INVENTORY_AS_OF = "2024-01-15"
+# Fixed value: the key of development set-ups. Production code is given its own.
+SIGNING_KEY = "dev-only-insecure-pepper"
 
 
 def _n_campaigns(spark: SparkSession, sf_dir: str) -> Column:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adflow import constants as K
+from adflow.sources.fixtures import SIGNING_KEY
 from adflow.functions import expr as X
 from adflow.functions import signing as G
 from adflow.operators import attribution as A
@@ -138,7 +139,7 @@ def test_json_keywords_decoded_and_bad_row_quarantined(spark):
 
 # --- signing (F22, R4) ------------------------------------------------------
 
-def _py_sig(imp, exp, key=K.DEFAULT_PEPPER):
+def _py_sig(imp, exp, key=SIGNING_KEY):
     import base64
     import hashlib
     import hmac
@@ -148,7 +149,7 @@ def _py_sig(imp, exp, key=K.DEFAULT_PEPPER):
 
 def test_native_signature_equals_python_hmac(spark):
     df = spark.createDataFrame([("ab", 1), ("a", 21), ("imp-123", 1_700_000_000)], "i string, e long")
-    got = [r.s for r in df.select(G.click_signature("i", "e").alias("s")).collect()]
+    got = [r.s for r in df.select(G.click_signature("i", "e", SIGNING_KEY).alias("s")).collect()]
     assert got == [_py_sig("ab", 1), _py_sig("a", 21), _py_sig("imp-123", 1_700_000_000)]
     assert got[0] != got[1]  # separator removes concatenation ambiguity
     for s in got:
@@ -159,8 +160,8 @@ def test_key_hash_equals_python(spark):
     import hashlib
     import hmac
     df = spark.createDataFrame([("pk_test_abc",)], "k string")
-    got = df.select(G.key_hash("k").alias("h"), G.key_prefix("k").alias("p")).first()
-    assert got.h == hmac.new(K.DEFAULT_PEPPER.encode(), b"pk_test_abc", hashlib.sha256).hexdigest()
+    got = df.select(G.key_hash("k", SIGNING_KEY).alias("h"), G.key_prefix("k").alias("p")).first()
+    assert got.h == hmac.new(SIGNING_KEY.encode(), b"pk_test_abc", hashlib.sha256).hexdigest()
     assert got.p == "pk_test_abc"[:16]
 
 
@@ -182,7 +183,7 @@ def test_signature_verdict_matrix(spark):
         ("IMP", now + 86_400 * 365, _py_sig("IMP", now + 86_400 * 365), "too_far_in_future"),
     ]
     df = spark.createDataFrame([r[:3] for r in rows], "impression_id string, exp long, sig string")
-    got = [r.v for r in df.select(G.click_verdict("impression_id", "exp", "sig", now).alias("v")).collect()]
+    got = [r.v for r in df.select(G.click_verdict("impression_id", "exp", "sig", now, SIGNING_KEY).alias("v")).collect()]
     assert got == [r[3] for r in rows]
 
 
