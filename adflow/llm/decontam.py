@@ -5,8 +5,9 @@ r"""Benchmark decontamination by template canonicalisation, in DataFrame functio
    word after a number is a unit, and a capitalised word inside a sentence is a
    name. "Anna has 5 kg" and "Anna has 7 lb" have the same template.
 2. Hash join. Windows of ``window`` tokens, placeholders without their values, are
-   hashed and joined with the windows of the benchmark on the hash. Windows with
-   fewer than ``least_words`` plain words say nothing and are left out.
+   hashed and joined with the windows of the benchmark on the hash. The template of
+   a window with fewer than ``least_words`` plain words says nothing. Every window is
+   therefore hashed with its values too: equal values need no minimum of words.
 3. Slot consistency. Matching windows of one document and item with one offset
    form a diagonal. Along it every benchmark value must stand for one value of the
    document: a question with other numbers or names fits, a chance meeting of
@@ -77,40 +78,50 @@ def _slots(words: Column) -> Column:
     return F.transform(words, lambda x: F.when(_is_slot(x), x))
 
 
+def _bare(words: Column) -> Column:
+    """The tokens without marks: what a window says word by word."""
+    return F.transform(words, lambda x: F.when(_is_slot(x), F.substring(x, 2, 1 << 30)).otherwise(x))
+
+
 def _windows(text: Column, sizes: list[int]) -> Column:
-    """array<struct<size, at, hash, values>> of every window of a text; values is null
-    where the window has no placeholder. The tokens are bound as the one element of
-    an array, so that they are made once a text and not once a window."""
+    """array<struct<size, at, hash, values>> of the windows of a text: one by its words
+    and values, with null values, and one by its template if it has a placeholder. The
+    tokens are bound as the one element of an array, so that they are made once a text
+    and not once a window."""
 
-    def of_size(words: Column, templates: Column, size: int) -> Column:
+    def of_size(words: Column, templates: Column, bare: Column, size: int) -> Column:
         starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(
             F.array().cast("array<int>"))
 
-        def window(i: Column) -> Column:
-            own = F.slice(words, i, F.lit(size))
+        def row(i: Column, key: Column, values: Column) -> Column:
             return F.struct(F.lit(size).alias("size"), i.alias("at"),
-                            F.xxhash64(F.slice(templates, i, F.lit(size))).alias("hash"),
-                            F.when(_is_slot(F.array_min(own)), _slots(own)).alias("values"))
+                            F.xxhash64(F.slice(key, i, F.lit(size))).alias("hash"), values.alias("values"))
 
-        return F.transform(starts, window)
+        typed = F.filter(starts, lambda i: _is_slot(F.array_min(F.slice(words, i, F.lit(size)))))
+        return F.concat(F.transform(starts, lambda i: row(i, bare, F.lit(None).cast("array<string>"))),
+                        F.transform(typed, lambda i: row(i, templates, _slots(F.slice(words, i, F.lit(size))))))
 
-    both = F.transform(F.array(tokens(text)), lambda w: F.struct(w.alias("w"), _templates(w).alias("t")))
-    return F.flatten(F.transform(both, lambda b: F.flatten(F.array(*[of_size(b["w"], b["t"], s) for s in sizes]))))
+    forms = F.transform(F.array(tokens(text)), lambda w: F.struct(w.alias("w"), _templates(w).alias("t"), _bare(w).alias("b")))
+    return F.flatten(F.transform(forms, lambda f: F.flatten(F.array(*[of_size(f["w"], f["t"], f["b"], s) for s in sizes]))))
 
 
 def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW,
                       least_words: int = LEAST_WORDS) -> DataFrame:
-    """item, n (tokens of the item), at (position), size, hash and slots (values of
-    the window's placeholders, null for words) of every telling window."""
+    """item, n (tokens of the item), at (position), size, hash, slots (values of the
+    window's placeholders, null for words) and exact (the hash covers the values) of
+    every window: one row by its words and values, one by its template if that has a
+    placeholder and enough words."""
     items = benchmark.select(F.col(f"`{item_id}`").alias("item"), tokens(text_or_empty(f"`{text}`")).alias("w"))
-    items = items.filter(F.size("w") > 0).withColumn("n", F.size("w")).withColumn("size", F.least(F.lit(window), "n"))
+    items = items.filter(F.exists("w", lambda x: ~_is_slot(x))).withColumn("n", F.size("w")).withColumn("size", F.least(F.lit(window), "n"))
     each = items.select("item", "n", "size", "w", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("size") + 1)).alias("at"))
     each = each.withColumn("w", F.slice("w", F.col("at"), F.col("size")))
-    template = _templates(F.col("w"))
     words = F.size(F.filter("w", lambda x: ~_is_slot(x)))
-    return each.withColumn("words", words).filter(
-        F.col("words") >= F.least(F.lit(least_words), F.col("size"))).select(
-        "item", "n", "at", "size", F.xxhash64(template).alias("hash"), _slots(F.col("w")).alias("slots"))
+    telling = (words < F.col("size")) & (words >= F.least(F.lit(least_words), F.col("size")))
+    exact = F.struct(F.lit(True).alias("exact"), F.xxhash64(_bare(F.col("w"))).alias("hash"))
+    typed = F.struct(F.lit(False).alias("exact"), F.xxhash64(_templates(F.col("w"))).alias("hash"))
+    keys = F.when(telling, F.array(exact, typed)).otherwise(F.array(exact))
+    return each.select("item", "n", "at", "size", _slots(F.col("w")).alias("slots"), F.explode(keys).alias("key")).select(
+        "item", "n", "at", "size", "key.hash", "slots", "key.exact")
 
 
 def _row_hash(text: str) -> Column:
@@ -137,7 +148,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, text: str = "text", do
              .select("id", "row_hash", "item", "n", (F.col("at") - F.col("place")).alias("offset"), F.explode(
                  F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda k: F.struct(
                      (F.col("place") + k).alias("p"), F.element_at("slots", k + 1).alias("theirs"),
-                     F.element_at("values", k + 1).alias("ours")))).alias("c"))
+                     F.when(F.col("exact"), F.element_at("slots", k + 1)).otherwise(F.element_at("values", k + 1)).alias("ours")))).alias("c"))
              .select("id", "row_hash", "item", "n", "offset", "c.*").distinct())
     diagonal = ["id", "row_hash", "item", "offset"]
     clash = (pairs.filter("theirs IS NOT NULL").groupBy(*diagonal, "theirs")
