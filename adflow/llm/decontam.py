@@ -11,7 +11,8 @@ r"""Benchmark decontamination by template canonicalisation, in DataFrame functio
 3. Slot consistency. Matching windows of one document and item with one offset
    form a diagonal. Along it every benchmark value must stand for one value of the
    document: a question with other numbers or names fits, a chance meeting of
-   templates does not. Diagonals with a conflict are dropped.
+   templates does not. Where a value stands for several, the windows that change it
+   are dropped; windows without it, or with it as it is, stay on the diagonal.
 4. A document holds an item if consistent windows cover at least ``coverage`` of the
    item's tokens, or ``run`` tokens in a row.
 
@@ -144,19 +145,22 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, text: str = "text", do
     seen = docs.select(F.col(f"`{doc_id}`").alias("id"), _row_hash(text).alias("row_hash"),
                        F.explode(_windows(body, sizes)).alias("window")).select("id", "row_hash", "window.*")
     found = checkpoint(seen.join(hint(keys), ["size", "hash"]))
-    pairs = (found.distinct().join(hint(windows.withColumnRenamed("at", "place")), ["size", "hash"])
-             .select("id", "row_hash", "item", "n", (F.col("at") - F.col("place")).alias("offset"), F.explode(
-                 F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda k: F.struct(
-                     (F.col("place") + k).alias("p"), F.element_at("slots", k + 1).alias("theirs"),
-                     F.when(F.col("exact"), F.element_at("slots", k + 1)).otherwise(F.element_at("values", k + 1)).alias("ours")))).alias("c"))
-             .select("id", "row_hash", "item", "n", "offset", "c.*").distinct())
     diagonal = ["id", "row_hash", "item", "offset"]
-    clash = (pairs.filter("theirs IS NOT NULL").groupBy(*diagonal, "theirs")
-             .agg(F.min("ours").alias("a"), F.max("ours").alias("b"))
-             .groupBy(*diagonal).agg(F.max(F.col("a") != F.col("b")).alias("clash")))
-    clash = clash.select(*[F.col(c).alias(f"{c}_") for c in diagonal], "clash")
+    slots = F.col("slots")
+    ours = F.when(F.col("exact"), slots).otherwise(F.col("values"))
+    met = (found.distinct().join(hint(windows.withColumnRenamed("at", "place")), ["size", "hash"])
+           .select("id", "row_hash", "item", "n", (F.col("at") - F.col("place")).alias("offset"), "place", F.transform(
+               F.arrays_zip(slots.alias("theirs"), ours.alias("ours")),
+               lambda x, k: F.struct((F.col("place") + k).alias("p"), x["theirs"].alias("theirs"), x["ours"].alias("ours"))).alias("cs")))
+    clash = (met.filter(F.exists("cs", lambda c: c["theirs"].isNotNull())).select(*diagonal, F.explode("cs").alias("c"))
+             .filter("c.theirs IS NOT NULL").groupBy(*diagonal, "c.theirs")
+             .agg(F.min("c.ours").alias("a"), F.max("c.ours").alias("b")).filter("a <> b")
+             .groupBy(*diagonal).agg(F.collect_set("theirs").alias("torn")))  # at most the item's placeholders
+    clash = clash.select(*[F.col(c).alias(f"{c}_") for c in diagonal], "torn")
     same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in diagonal]
-    good = pairs.join(clash, same, "left").filter(~F.coalesce("clash", F.lit(False)))
+    changes = F.exists("cs", lambda c: F.array_contains(F.col("torn"), c["theirs"]) & (c["theirs"] != c["ours"]))
+    good = (met.join(clash, same, "left").filter(~F.coalesce(changes, F.lit(False)))
+            .select(*diagonal, "n", F.explode("cs").alias("c")).select(*diagonal, "n", "c.*"))
     # Runs of covered places on one diagonal: place minus rank is constant in a run.
     places = good.groupBy(*diagonal, "n", "p").agg(
         F.max((F.col("theirs") != F.col("ours")).cast("int")).alias("changed"))

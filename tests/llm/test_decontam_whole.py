@@ -15,3 +15,14 @@ def test_verbatim_copies_of_number_heavy_items(spark):
     docs = [f"Some words before. {x} And some after." for x in items]
     assert held(spark, docs, items) == {(i, i) for i in range(len(items))}
     assert held(spark, ["What is 13 + 30 * 5 - 8?", "3 4 5 6 7 8"], items) == set()
+
+
+LONG = " ".join(f"word{chr(97 + i)} and" for i in range(13)) + " he buys 12 pens " + " ".join(
+    f"then{chr(97 + i)} so" for i in range(13)) + " he sells 12 pens"
+
+
+def test_one_changed_value_leaves_the_rest_of_the_copy(spark):
+    short = "Give 12 now or 12 later"
+    docs = [LONG[:-len("12 pens")] + "13 pens", LONG.replace("12", "9", 1).replace("12 pens", "8 pens"), LONG,
+            "give 13 now or 14 later"]
+    assert held(spark, docs, [LONG, short]) == {(0, 0), (1, 0), (2, 0)}
