@@ -1,13 +1,17 @@
 r"""Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 1. Canonical form. A text becomes a list of tokens: lower-cased runs of letters, and
-   typed placeholders with the value they stand for: digits are numbers, a unit
-   word after a number is a unit, and a capitalised word inside a sentence is a
-   name. "Anna has 5 kg" and "Anna has 7 lb" have the same template.
+   typed placeholders with the value they stand for: a number is one token with its
+   sign, separators and decimals, or a number word (English, German, French, Spanish;
+   "twenty-five" and "two hundred" are one); a unit word after a number is a unit, and
+   a capitalised word inside a sentence is a name, at a sentence start too if the text
+   has it as a name elsewhere. "Anna has 5 kg" and "Anna has 7 lb" have one template.
 2. Hash join. Windows of ``window`` tokens, placeholders without their values, are
    hashed and joined with the windows of the benchmark on the hash. The template of
    a window with fewer than ``least_words`` plain words says nothing. Every window is
-   therefore hashed with its values too: equal values need no minimum of words.
+   therefore hashed with its values too: equal values need no minimum of words. Case
+   decides what a name is, so windows are also hashed with the names at sentence
+   starts, and with all names, as words. The hash of values knows no case or sign.
 3. Slot consistency. Matching windows of one document and item with one offset
    form a diagonal. Along it every benchmark value must stand for one value of the
    document: a question with other numbers or names fits, a chance meeting of
@@ -40,8 +44,12 @@ from .common import as_row, text_or_empty
 
 #: Marks in front of a placeholder's value.
 NUMBER, UNIT, NAME = "\x01", "\x02", "\x03"
+#: The mark of a name at a sentence start.
+FIRST = "\x04"
 #: Every placeholder, and no word, sorts before this.
-LAST_MARK = "\x04"
+LAST_MARK = "\x05"
+#: Decimal point, or joint of number words, and minus sign inside a number.
+POINT, MINUS = "\x0e", "\x0f"
 #: Unit words, recognised after a number.
 UNITS = ("mm", "cm", "dm", "m", "km", "mg", "g", "kg", "t", "ml", "cl", "l", "s", "sec", "min", "h", "hr", "inch",
          "inches", "in", "ft", "feet", "yd", "mi", "mile", "miles", "oz", "lb", "lbs", "mph", "kmh", "hz", "w", "kw",
@@ -49,48 +57,121 @@ UNITS = ("mm", "cm", "dm", "m", "km", "mg", "g", "kg", "t", "ml", "cl", "l", "s"
          "year", "years", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "gram", "grams",
          "kilogram", "kilograms", "liter", "liters", "litre", "litres", "dollar", "dollars", "euro", "euros", "cent",
          "cents", "percent", "degree", "degrees")
+_SMALL = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
+          "eighteen nineteen", "null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn "
+          "fünfzehn sechzehn siebzehn achtzehn neunzehn", "zéro _ deux trois quatre cinq six sept huit neuf dix onze douze "
+          "treize quatorze quinze seize", "cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece "
+          "catorce quince dieciséis diecisiete dieciocho diecinueve")
+_TENS = ("twenty thirty forty fifty sixty seventy eighty ninety", "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig "
+         "neunzig", "vingt trente quarante cinquante soixante", "veinte treinta cuarenta cincuenta sesenta setenta ochenta "
+         "noventa")
+_SCALE = {"hundred": 100, "thousand": 1000, "million": 10**6, "billion": 10**9, "hundert": 100, "tausend": 1000, "mille": 1000,
+          "cien": 100, "ciento": 100, "mil": 1000}
+#: Number words and their values; articles ("ein", "un", "une") are words.
+SMALL = {w: i for words in _SMALL for i, w in enumerate(words.split()) if w != "_"}
+TENS = {w: 20 + 10 * i for words in _TENS for i, w in enumerate(words.split())}
+NUMBER_WORDS = SMALL | TENS | _SCALE | {
+    ("ein" if unit == "eins" else unit) + "und" + ten: TENS[ten] + SMALL[unit]
+    for ten in _TENS[1].split() for unit in _SMALL[1].split()[1:10]}
 BROADCAST_WINDOWS = 1_000_000
+#: How a window was hashed: with its values, or as a template.
+EXACT, ALL_NAMES, INNER_NAMES, NO_NAMES = range(4)
 WINDOW, LEAST_WORDS, COVERAGE, RUN = 5, 3, 0.8, 13
 
 
+def _any_of(words) -> str:
+    """A pattern of these words, branching letter by letter, the longest first."""
+    tails: dict[str, set[str]] = {}
+    for w in words:
+        if w:
+            tails.setdefault(w[0], set()).add(w[1:])
+    each = [c + _any_of(t) for c, t in sorted(tails.items())]
+    whole = f"(?:{'|'.join(each)})" if each else ""
+    return whole + "?" if whole and "" in words else whole
+
+
+def _numbers(text: Column) -> Column:
+    """The text with every number as one marked run without separators inside."""
+    # Thousands separators go; a point, or a comma outside a list, between digits is a decimal point.
+    out = F.regexp_replace(text, r",(?<=(?<!\p{Nd})\p{Nd}{1,3},)(?=\p{Nd}{3}(?!\p{Nd}))", "")
+    out = F.regexp_replace(out, r"\.(?<=\p{Nd}\.)(?=\p{Nd})|,(?<=(?<![\p{Nd},.])\p{Nd}{1,9},)(?=\p{Nd}{1,9}(?!\p{Nd}|,\p{Nd}))", POINT)
+    out = F.regexp_replace(out, r"[-\u2212](?<![\p{L}\p{Nd})\]][-\u2212])(?=\p{Nd})", MINUS)
+    word, scale, left = (_any_of(set(w)) for w in (NUMBER_WORDS, _SCALE, {**TENS, **_SCALE}))
+    gap = r"[\s-]{0,3}(?:(?:and|und|et|y)[\s-]{1,4})?"
+    out = F.regexp_replace(out, rf"(?iu)[\s-](?<=(?<!\p{{L}}){left}[\s-]){gap}(?={word}(?!\p{{L}}))"
+                                rf"|[\s-](?<=(?<!\p{{L}}){word}[\s-]){gap}(?={scale}(?!\p{{L}}))", POINT)
+    return F.regexp_replace(out, rf"(?iu)(?<!\p{{L}}){word}(?:{POINT}{word})*(?!\p{{L}})|{MINUS}?\p{{Nd}}+(?:{POINT}\p{{Nd}}+)*",
+                            f" {NUMBER}$0 ")
+
+
 def tokens(text: Column) -> Column:
     """array<string>: words as they are, placeholders as a mark with their value behind it."""
     # A capitalised word is a name if it follows a letter, digit or comma, not a sentence end.
-    marked = F.regexp_replace(text, r"\p{Lu}(?<=[\p{L}\p{Nd},;][\x20\x09-\x0D]\p{Lu})\p{Ll}+(?!\p{L})", f" {NAME}$0 ")
-    marked = F.regexp_replace(marked, r"\p{Nd}+", f" {NUMBER}$0 ")
+    marked = F.regexp_replace(_numbers(text), r"\p{Lu}(?<=[\p{L}\p{Nd},;][\x20\x09]{0,3}[\x20\x09-\x0D]\p{Lu})\p{Ll}+(?!\p{L})",
+                              f" {NAME}$0 ")
+    marked = F.regexp_replace(marked, rf"\p{{Lu}}(?<![\p{{L}}\p{{Nd}}{NUMBER}{NAME}{POINT}]\p{{Lu}})\p{{Ll}}+(?!\p{{L}})", f" {FIRST}$0 ")
     # A unit follows its number directly, or after one space.
     unit = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
-    marked = F.regexp_replace(F.lower(marked), rf"{NUMBER}(\p{{Nd}}*)\x20{{1,2}}({unit})(?!\p{{L}})", f"{NUMBER}$1 {UNIT}$2")
-    plain = F.trim(F.regexp_replace(marked, rf"[^\p{{L}}\p{{Nd}}{NUMBER}{UNIT}{NAME}]+", " "))
-    return F.array_remove(F.split(plain, " "), "")
+    value = rf"{MINUS}?[\p{{L}}\p{{Nd}}{POINT}]*"
+    marked = F.regexp_replace(F.lower(marked), rf"{NUMBER}({value})\x20{{1,2}}({unit})(?!\p{{L}})", f"{NUMBER}$1 {UNIT}$2")
+    plain = F.trim(F.regexp_replace(marked, rf"[^\p{{L}}\p{{Nd}}{NUMBER}{UNIT}{NAME}{FIRST}{POINT}{MINUS}]+", " "))
+    return F.transform(F.array(F.array_remove(F.split(plain, " "), "")), _settled)[0]
+
+
+def _settled(words: Column) -> Column:
+    """Sentence starts are names only if the text has them as names; number words get their value."""
+    def marked(mark: str) -> Column:
+        return F.transform(F.filter(words, lambda x: x.startswith(mark)), _said)
+
+    values = F.create_map(*[F.lit(x) for w, v in sorted(NUMBER_WORDS.items()) for x in (NUMBER + w, f"{NUMBER}{v}")])
+
+    def settle(names: Column) -> Column:
+        return F.transform(words, lambda x: F.when(~_is_slot(x), x)
+                           .when(x.startswith(FIRST), F.when(F.array_contains(names, _said(x)), x).otherwise(_said(x)))
+                           .when(x.startswith(NUMBER), F.coalesce(F.try_element_at(values, x), x)).otherwise(x))
+
+    return F.when(_is_slot(F.array_min(words)), F.transform(
+        F.array(F.array_intersect(marked(FIRST), marked(NAME))), settle)[0]).otherwise(words)
+
+
+def _said(token: Column) -> Column:
+    """A placeholder without its mark."""
+    return F.substring(token, 2, 1 << 30)
 
 
 def _is_slot(token: Column) -> Column:
     return token < LAST_MARK
 
 
-def _templates(words: Column) -> Column:
-    """The tokens with placeholders cut to their mark."""
-    return F.transform(words, lambda x: F.when(_is_slot(x), F.substring(x, 1, 1)).otherwise(x))
+def _is_open(token: Column, kind: int) -> Column:
+    """Is the token a placeholder in templates of this kind?"""
+    return token < {ALL_NAMES: LAST_MARK, INNER_NAMES: FIRST, NO_NAMES: NAME}[kind]
 
 
-def _slots(words: Column) -> Column:
-    """The placeholders of a window at their places, null for words."""
-    return F.transform(words, lambda x: F.when(_is_slot(x), x))
+def _template(words: Column, kind: int) -> Column:
+    """The tokens with placeholders cut to their mark, and names that are none here as words."""
+    mark = lambda x: F.when(x.startswith(FIRST), NAME).otherwise(F.substring(x, 1, 1))
+    return F.transform(words, lambda x: F.when(~_is_slot(x), x).when(_is_open(x, kind), mark(x)).otherwise(_said(x)))
+
+
+def _slot(token: Column) -> Column:
+    """A placeholder with one mark for all names, null for a word."""
+    return F.when(token.startswith(FIRST), F.concat(F.lit(NAME), _said(token))).when(_is_slot(token), token)
 
 
 def _bare(words: Column) -> Column:
-    """The tokens without marks: what a window says word by word."""
-    return F.transform(words, lambda x: F.when(_is_slot(x), F.substring(x, 2, 1 << 30)).otherwise(x))
+    """The tokens without marks and signs: what a window says word by word."""
+    return F.transform(words, lambda x: F.when(_is_slot(x), F.translate(_said(x), MINUS, "")).otherwise(x))
 
 
 def _windows(text: Column, sizes: list[int]) -> Column:
     """array<struct<size, at, hash, values>> of the windows of a text: one by its words
-    and values, with null values, and one by its template if it has a placeholder. The
+    and values, with null values, and one for every kind of template that differs. The
     tokens are bound as the one element of an array, so that they are made once a text
     and not once a window."""
 
-    def of_size(words: Column, templates: Column, bare: Column, size: int) -> Column:
+    def of_size(f: Column, size: int) -> Column:
+        words = f["w"]
         starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(
             F.array().cast("array<int>"))
 
@@ -98,31 +179,51 @@ def _windows(text: Column, sizes: list[int]) -> Column:
             return F.struct(F.lit(size).alias("size"), i.alias("at"),
                             F.xxhash64(F.slice(key, i, F.lit(size))).alias("hash"), values.alias("values"))
 
-        typed = F.filter(starts, lambda i: _is_slot(F.array_min(F.slice(words, i, F.lit(size)))))
-        return F.concat(F.transform(starts, lambda i: row(i, bare, F.lit(None).cast("array<string>"))),
-                        F.transform(typed, lambda i: row(i, templates, _slots(F.slice(words, i, F.lit(size))))))
+        def typed(at: Column, kind: int) -> Column:
+            return F.transform(at, lambda i: row(i, f[str(kind)], F.transform(F.slice(words, i, F.lit(size)), _slot)))
+
+        def holding(at: Column, test) -> Column:
+            return F.filter(at, lambda i: F.exists(F.slice(words, i, F.lit(size)), test))
+
+        def templates(at: Column) -> Column:
+            return F.concat(typed(at, ALL_NAMES), typed(holding(at, lambda x: x.startswith(FIRST)), INNER_NAMES),
+                            typed(holding(at, lambda x: _is_slot(x) & (x >= NAME)), NO_NAMES))
+
+        slots = F.filter(starts, lambda i: _is_slot(F.array_min(F.slice(words, i, F.lit(size)))))
+        return F.concat(F.transform(starts, lambda i: row(i, f["b"], F.lit(None).cast("array<string>"))),
+                        F.flatten(F.transform(F.array(slots), templates)))
 
-    forms = F.transform(F.array(tokens(text)), lambda w: F.struct(w.alias("w"), _templates(w).alias("t"), _bare(w).alias("b")))
-    return F.flatten(F.transform(forms, lambda f: F.flatten(F.array(*[of_size(f["w"], f["t"], f["b"], s) for s in sizes]))))
+    def forms(w: Column) -> Column:
+        some = _is_slot(F.array_min(w))
+        return F.struct(w.alias("w"), F.when(some, _bare(w)).otherwise(w).alias("b"),
+                        *[F.when(some, _template(w, k)).otherwise(w).alias(str(k)) for k in (ALL_NAMES, INNER_NAMES, NO_NAMES)])
+
+    return F.flatten(F.transform(F.transform(F.array(tokens(text)), forms),
+                                 lambda f: F.flatten(F.array(*[of_size(f, s) for s in sizes]))))
 
 
 def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW,
                       least_words: int = LEAST_WORDS) -> DataFrame:
-    """item, n (tokens of the item), at (position), size, hash, slots (values of the
-    window's placeholders, null for words) and exact (the hash covers the values) of
-    every window: one row by its words and values, one by its template if that has a
-    placeholder and enough words."""
+    """item, n (tokens of the item), at (position), size, hash, slots (the window's
+    placeholders, null for words) and kind (of the hash) of every window: one row by
+    its words and values, one for every kind of template with a placeholder and
+    enough words."""
     items = benchmark.select(F.col(f"`{item_id}`").alias("item"), tokens(text_or_empty(f"`{text}`")).alias("w"))
-    items = items.filter(F.exists("w", lambda x: ~_is_slot(x))).withColumn("n", F.size("w")).withColumn("size", F.least(F.lit(window), "n"))
+    # Numbers and units alone are no item.
+    items = items.filter(F.exists("w", lambda x: x >= NAME)).withColumn("n", F.size("w")).withColumn("size", F.least(F.lit(window), "n"))
     each = items.select("item", "n", "size", "w", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("size") + 1)).alias("at"))
     each = each.withColumn("w", F.slice("w", F.col("at"), F.col("size")))
-    words = F.size(F.filter("w", lambda x: ~_is_slot(x)))
-    telling = (words < F.col("size")) & (words >= F.least(F.lit(least_words), F.col("size")))
-    exact = F.struct(F.lit(True).alias("exact"), F.xxhash64(_bare(F.col("w"))).alias("hash"))
-    typed = F.struct(F.lit(False).alias("exact"), F.xxhash64(_templates(F.col("w"))).alias("hash"))
-    keys = F.when(telling, F.array(exact, typed)).otherwise(F.array(exact))
-    return each.select("item", "n", "at", "size", _slots(F.col("w")).alias("slots"), F.explode(keys).alias("key")).select(
-        "item", "n", "at", "size", "key.hash", "slots", "key.exact")
+
+    def key(kind: int) -> Column:
+        words = F.size(F.filter("w", lambda x: ~_is_open(x, kind)))
+        telling = (words < F.col("size")) & (words >= F.least(F.lit(least_words), F.col("size")))
+        return F.when(telling, F.struct(F.lit(kind).alias("kind"), F.xxhash64(_template(F.col("w"), kind)).alias("hash")))
+
+    keys = F.array(F.struct(F.lit(EXACT).alias("kind"), F.xxhash64(_bare(F.col("w"))).alias("hash")),
+                   *[key(k) for k in (ALL_NAMES, INNER_NAMES, NO_NAMES)])
+    return each.select("item", "n", "at", "size", F.transform("w", lambda x: F.when(_is_slot(x), x)).alias("slots"),
+                       F.explode(F.array_compact(keys)).alias("key")).select(
+        "item", "n", "at", "size", "key.hash", "slots", "key.kind")
 
 
 def _row_hash(text: str) -> Column:
@@ -146,12 +247,18 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, text: str = "text", do
                        F.explode(_windows(body, sizes)).alias("window")).select("id", "row_hash", "window.*")
     found = checkpoint(seen.join(hint(keys), ["size", "hash"]))
     diagonal = ["id", "row_hash", "item", "offset"]
-    slots = F.col("slots")
-    ours = F.when(F.col("exact"), slots).otherwise(F.col("values"))
+    kind = F.col("kind")
+
+    def cell(x: Column, k: Column) -> Column:
+        theirs = _slot(x["slots"])
+        fixed = ((kind == EXACT) | ((kind == INNER_NAMES) & ~_is_open(x["slots"], INNER_NAMES))
+                 | ((kind == NO_NAMES) & ~_is_open(x["slots"], NO_NAMES)))  # told by the hash itself
+        return F.struct((F.col("place") + k).alias("p"), theirs.alias("theirs"),
+                        F.when(fixed, theirs).otherwise(x["values"]).alias("ours"))
+
     met = (found.distinct().join(hint(windows.withColumnRenamed("at", "place")), ["size", "hash"])
-           .select("id", "row_hash", "item", "n", (F.col("at") - F.col("place")).alias("offset"), "place", F.transform(
-               F.arrays_zip(slots.alias("theirs"), ours.alias("ours")),
-               lambda x, k: F.struct((F.col("place") + k).alias("p"), x["theirs"].alias("theirs"), x["ours"].alias("ours"))).alias("cs")))
+           .select("id", "row_hash", "item", "n", (F.col("at") - F.col("place")).alias("offset"), "place",
+                   F.transform(F.arrays_zip("slots", F.coalesce("values", "slots").alias("values")), cell).alias("cs")))
     clash = (met.filter(F.exists("cs", lambda c: c["theirs"].isNotNull())).select(*diagonal, F.explode("cs").alias("c"))
              .filter("c.theirs IS NOT NULL").groupBy(*diagonal, "c.theirs")
              .agg(F.min("c.ours").alias("a"), F.max("c.ours").alias("b")).filter("a <> b")
