@@ -13,8 +13,9 @@ language, chosen by a hash of the id) is reduced to bucket counts on the
 executors and fitted on the driver, whose memory use is bounded by the sample
 and the number of buckets. A fourth of the sample is held back to calibrate: a
 temperature is fitted to the scores, and the rejection threshold is the lowest
-confidence at which the accepted rows reach ``target_accuracy``, but at least
-even odds. Prediction needs only the product of both matrices, one row of
+confidence at which the accepted rows reach ``target_accuracy``, at least even odds,
+but never so high that more than ``most_lost`` of the held-back rows whose label the
+model confirms would go: wrong labels must not cost clean documents. Prediction needs only the product of both matrices, one row of
 scores a bucket, which every task gets (buckets x languages floats).
 
 Defined results: a null text, or one without letters, is ``und`` with score 0 and
@@ -169,7 +170,8 @@ def _softmax(z):
 
 
 def fit(rows: list[tuple], dim: int = 16, epochs: int = 8, rate: float = 0.5, batch: int = 16,
-        seed: int = 7, target_accuracy: float = 0.98, least_odds: float = 0.5) -> LanguageModel:
+        seed: int = 7, target_accuracy: float = 0.98, least_odds: float = 0.5,
+        most_lost: float = 0.01) -> LanguageModel:
     """Fit on ``rows`` of (key, language, buckets, counts). The key orders the
     rows and picks the calibration fourth, so reruns agree."""
     import numpy as np
@@ -209,13 +211,14 @@ def fit(rows: list[tuple], dim: int = 16, epochs: int = 8, rate: float = 0.5, ba
                 # The average spreads a step over all n-grams of a text; scale it back up.
                 embed[b] -= speed * 20 * w[:, None] * g[None, :]
     scores = embed @ soft
-    temperature, threshold = _calibrate(held or train, scores, y_of, target_accuracy, least_odds)
+    temperature, threshold = _calibrate(held or train, scores, y_of, target_accuracy, least_odds, most_lost)
     return LanguageModel(languages, scores.astype(np.float32), temperature, threshold)
 
 
-def _calibrate(rows, scores, y_of, target: float, least: float) -> tuple[float, float]:
+def _calibrate(rows, scores, y_of, target: float, least: float, most_lost: float) -> tuple[float, float]:
     """Temperature of lowest log loss on the held-back rows, and the lowest
-    confidence, not under ``least``, from which accepted rows reach ``target``."""
+    confidence, not under ``least``, from which accepted rows reach ``target``, as far
+    as at most ``most_lost`` of the rightly told rows lie below it."""
     import numpy as np
 
     z = np.stack([(np.asarray(c) / np.sum(c)) @ scores[np.asarray(b)] for _, _, b, c in rows])
@@ -229,7 +232,9 @@ def _calibrate(rows, scores, y_of, target: float, least: float) -> tuple[float,
     accuracy = np.cumsum(right[order]) / np.arange(1, len(y) + 1)
     good = np.flatnonzero(accuracy >= target)
     reached = best[order][good[-1]] if len(good) else 1.0
-    return temperature, float(least if len(good) == len(y) or reached < least else reached)
+    wanted = least if len(good) == len(y) or reached < least else reached
+    sure = np.sort(best[right])
+    return temperature, float(min(wanted, sure[int(most_lost * len(sure))]) if len(sure) else least)
 
 
 def _hash_unit(column: Column) -> Column:
