@@ -44,12 +44,15 @@ RECORD = ("record_type string, record_id string, target_uri string, warc_date st
           "concurrent_to string, content_type string, content_length long, block_digest string, "
           "payload_digest string, source_block_digest string, source_payload_digest string, block string")
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TITLE = re.compile(r"<title\b[^<>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
-_LINK = re.compile(r"""<(?:a|area|link)\b[^<>]*?\bhref\s*=\s*(?:"([^"<>]*)"|'([^'<>]*)'|([^\s"'<>]+))""", re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|section|article|header|footer|nav|aside"
-                    r"|main|title|head|body|html|blockquote|pre|form|figure|hr)\b[^<>]*>", re.I)
-_TAG = re.compile(r"<[/!?a-zA-Z][^<>]*>")
+#: The rest of a tag; a quoted value is a unit, whatever it holds. Possessive: time is linear.
+_BODY = r"""(?:[^>=]|=\s*+(?:"[^"]*"|'[^']*')|=)*+(?:>|\Z)"""
+#: One piece of markup, taken from left to right: comment, hidden element, tag, declaration.
+_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<hidden>script|style|noscript|template)(?=[\s/>]){_BODY}.*?(?:</(?P=hidden)\s*>|\Z)"
+                     rf"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>{_BODY})|<[/!?][^>]*(?:>|\Z)", re.S | re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_BREAKS = frozenset("p div br li ul ol dl dt dd h1 h2 h3 h4 h5 h6 tr td th table section article header footer nav aside main "
+                    "title head body html blockquote pre form figure hr".split())
+_LINKS = frozenset(("a", "area", "link"))
 _GAP = re.compile(r"[ \t\r\f\v\xa0]+")
 
 
@@ -64,16 +67,37 @@ def name_id(*parts: str) -> str:
 def plain_text(page: str) -> str:
     """The text of a page: hidden elements and tags removed, block elements on lines
     of their own, entities decoded, white space collapsed."""
-    text = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page)))
+    def instead(m: re.Match) -> str:
+        name = (m["name"] or "").lower()
+        return "\n" if name in _BREAKS else "" if name else " " if m["hidden"] or m[0].startswith("<!--") else ""
+
+    text = _MARKUP.sub(instead, page)
     lines = (_GAP.sub(" ", line).strip() for line in html.unescape(text).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
+def _href(rest: str) -> str | None:
+    """The first attribute href of a tag, None without one."""
+    for name, a, b, c in _ATTRIBUTE.findall(rest):
+        if name.lower() == "href":
+            return html.unescape(a or b or c)
+    return None
+
+
 def title_and_links(page: str) -> tuple[str, list[str]]:
-    page = _HIDDEN.sub(" ", page)
-    found = _TITLE.search(page)
-    title = _GAP.sub(" ", html.unescape(_TAG.sub("", found[1])).replace("\n", " ")).strip() if found else ""
-    return title, [html.unescape(a or b or c) for a, b, c in _LINK.findall(page)]
+    titles, links, opened = [], [], None
+    for m in _MARKUP.finditer(page):
+        name = (m["name"] or "").lower()
+        if name == "title" and m["end"] and opened is not None:
+            titles.append(page[opened:m.start()])
+            opened = None
+        elif name == "title" and not m["end"] and opened is None:
+            opened = m.end()
+        elif name in _LINKS and not m["end"] and (href := _href(m["rest"])) is not None:
+            links.append(href)
+    found = titles[:1] or ([page[opened:]] if opened is not None else [])
+    title = _GAP.sub(" ", html.unescape(_MARKUP.sub("", found[0])).replace("\n", " ")).strip() if found else ""
+    return title, links
 
 
 def responses(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html",
