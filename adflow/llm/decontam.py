@@ -1,41 +1,54 @@
 r"""Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-1. Canonical form. A text becomes a list of tokens: lower-cased runs of letters, and
-   typed placeholders with the value they stand for: a number is one token with its
-   sign, separators and decimals, or a number word (English, German, French, Spanish;
-   "twenty-five" and "two hundred" are one); a unit word after a number is a unit, and
-   a capitalised word inside a sentence is a name, at a sentence start too if the text
-   has it as a name elsewhere. "Anna has 5 kg" and "Anna has 7 lb" have one template.
-2. Hash join. Windows of ``window`` tokens, placeholders without their values, are
-   hashed and joined with the windows of the benchmark on the hash. The template of
-   a window with fewer than ``least_words`` plain words says nothing. Every window is
-   therefore hashed with its values too: equal values need no minimum of words. Case
-   decides what a name is, so windows are also hashed with the names at sentence
-   starts, and with all names, as words. The hash of values knows no case or sign.
-3. Slot consistency. Matching windows of one document and item with one offset
-   form a diagonal. Along it every benchmark value must stand for one value of the
-   document: a question with other numbers or names fits, a chance meeting of
-   templates does not. Where a value stands for several, the windows that change it
-   are dropped; windows without it, or with it as it is, stay on the diagonal.
-4. A document holds an item if consistent windows cover at least ``coverage`` of the
+1. Canonical form. One pass of a pattern cuts a text into tokens: lower-cased runs of
+   letters, and typed placeholders with the value they stand for. A number is one token
+   with its sign, separators and decimals; a unit word after a number is a unit; a
+   capitalised word inside a sentence is a name, at a sentence start too if the text has
+   it as a name elsewhere. A number word ("twenty-five" and "two hundred" are one) counts
+   only if it belongs to the language of the text, which is the one of English, German,
+   French and Spanish with the most function words in it. "Anna has 5 kg" and "Anna has
+   7 lb" have one template.
+2. Hash join. Windows of ``window`` tokens are hashed by their words and values and, where
+   they hold placeholders, as templates without the values, and joined with the windows
+   of the benchmark on the hash. Templates need ``least_words`` plain words. Case decides
+   what a name is, so templates are also hashed with the names at sentence starts, and
+   with all names, as words. The hash of values knows no case or sign.
+3. Verbatim. Distinct windows that agree in words and values cover tokens of the item, and
+   a window that agrees over ``run`` tokens is a run of that length. An item that is
+   held by these alone is decided here, whatever the number of its occurrences.
+4. Slot consistency. Other items go on only if their windows of all kinds could reach the
+   limits. Matching windows of one document and item with one offset form a diagonal.
+   Along it every benchmark value must stand for one value of the document: a question
+   with other numbers or names fits, a chance meeting of templates does not. Where a
+   value stands for several, the windows that change it are dropped; windows without it,
+   or with it as it is, stay on the diagonal.
+5. A document holds an item if consistent windows cover at least ``coverage`` of the
    item's tokens, or ``run`` tokens in a row.
 
 Items shorter than the window are matched by one window of their own length.
 
-Scale: documents are cut into windows where they are read, each with the values of
-its placeholders; texts never move. The benchmark's windows are broadcast after
-their rows are counted; above ``BROADCAST_WINDOWS`` the join is shuffled on the
-hash. Only matching windows go further, grouped by document and item.
-
-Defined results: a null text counts as empty. A null item text, or one without a
-plain word, matches nothing. Rows are told apart by id and text hash, so repeated
-rows are judged alike and reported once, and rows of one id with different texts
-are judged each by its own. A null id is an id like any other. Empty tables give
-empty results; ``decontaminate`` returns exactly the columns it was given.
+Scale: documents are cut into windows where they are read; texts never move. The hashes
+of the benchmark (a fixed number of bytes each) are broadcast up to ``BROADCAST_WINDOWS``,
+beyond it the join is shuffled on the hash. Only matching windows go further, first as
+distinct windows of a document and item. Positions are looked up for documents and items
+that step 4 needs, so a text that repeats a line of the benchmark costs its occurrences
+once, not occurrences times occurrences.
+
+Defined results: a null text counts as empty. A null item text, or one of numbers and
+units alone, matches nothing. Rows are told apart by id and text hash, so repeated rows
+are judged alike and reported once, and rows of one id with different texts are judged
+each by its own. A null id is an id like any other. Ties between languages count for all
+of them; a text without function words has no number words. Very long texts are cut in
+time linear in their length (names at sentence starts: to the power 1.5 of the number of
+different ones at worst); one text's windows have to fit into a task. Empty tables give
+empty results; ``decontaminate`` returns exactly the columns it was given, and columns
+are taken by name into fresh ones, so that none can clash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,13 +63,17 @@ FIRST = "\x04"
 LAST_MARK = "\x05"
 #: Decimal point, or joint of number words, and minus sign inside a number.
 POINT, MINUS = "\x0e", "\x0f"
-#: Unit words, recognised after a number.
+WHITE = " \t\n\x0b\x0c\r"
+#: Unit words, recognised after a number.
 UNITS = ("mm", "cm", "dm", "m", "km", "mg", "g", "kg", "t", "ml", "cl", "l", "s", "sec", "min", "h", "hr", "inch",
          "inches", "in", "ft", "feet", "yd", "mi", "mile", "miles", "oz", "lb", "lbs", "mph", "kmh", "hz", "w", "kw",
          "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months",
          "year", "years", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "gram", "grams",
          "kilogram", "kilograms", "liter", "liters", "litre", "litres", "dollar", "dollars", "euro", "euros", "cent",
          "cents", "percent", "degree", "degrees")
+#: Units that are common words too: only where they follow the digits directly.
+ATTACHED_ONLY = ("in", "mi", "s", "t", "l")
+#: Fixed values by language (en, de, fr, es): number words and function words.
 _SMALL = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
           "eighteen nineteen", "null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn "
           "fünfzehn sechzehn siebzehn achtzehn neunzehn", "zéro _ deux trois quatre cinq six sept huit neuf dix onze douze "
@@ -67,13 +84,22 @@ _TENS = ("twenty thirty forty fifty sixty seventy eighty ninety", "zwanzig drei
          "noventa")
 _SCALE = {"hundred": 100, "thousand": 1000, "million": 10**6, "billion": 10**9, "hundert": 100, "tausend": 1000, "mille": 1000,
           "cien": 100, "ciento": 100, "mil": 1000}
-#: Number words and their values; articles ("ein", "un", "une") are words.
-SMALL = {w: i for words in _SMALL for i, w in enumerate(words.split()) if w != "_"}
-TENS = {w: 20 + 10 * i for words in _TENS for i, w in enumerate(words.split())}
-NUMBER_WORDS = SMALL | TENS | _SCALE | {
-    ("ein" if unit == "eins" else unit) + "und" + ten: TENS[ten] + SMALL[unit]
-    for ten in _TENS[1].split() for unit in _SMALL[1].split()[1:10]}
-BROADCAST_WINDOWS = 1_000_000
+#: Number words of each language and their values; articles ("ein", "un", "une") are words.
+_SCALES = [{w: v for w, v in _SCALE.items() if w in words} for words in (
+    ("hundred", "thousand", "million", "billion"), ("hundert", "tausend"), ("mille",), ("cien", "ciento", "mil"))]
+_TENS_OF = [{w: 20 + 10 * i for i, w in enumerate(words.split())} for words in _TENS]
+NUMBER_WORDS = [{w: i for i, w in enumerate(words.split()) if w != "_"} | tens | scale
+                for words, tens, scale in zip(_SMALL, _TENS_OF, _SCALES, strict=True)]
+NUMBER_WORDS[1] |= {("ein" if unit == "eins" else unit) + "und" + ten: value + k
+                    for ten, value in _TENS_OF[1].items() for k, unit in enumerate(_SMALL[1].split()[1:10], 1)}
+VALUES = {w: v for words in reversed(NUMBER_WORDS) for w, v in words.items()}
+FUNCTION_WORDS = tuple(words.split() for words in (
+    "the of and a to in is has have was for on that with it as by from or how many what which are at",
+    "der die das und ein eine ist hat von zu mit auf für den dem wie viele was nicht es im sich auch er sie",
+    "le la les des et un une est a de du que pour dans en qui combien il elle sur avec au par ne pas",
+    "el la los las de y un una es tiene que en por con para cuántos cuántas su del se al lo no más como"))
+#: Keys of the benchmark that are broadcast: twelve bytes each.
+BROADCAST_WINDOWS = 4_000_000
 #: How a window was hashed: with its values, or as a template.
 EXACT, ALL_NAMES, INNER_NAMES, NO_NAMES = range(4)
 WINDOW, LEAST_WORDS, COVERAGE, RUN = 5, 3, 0.8, 13
@@ -90,48 +116,121 @@ def _any_of(words) -> str:
     return whole + "?" if whole and "" in words else whole
 
 
-def _numbers(text: Column) -> Column:
-    """The text with every number as one marked run without separators inside."""
-    # Thousands separators go; a point, or a comma outside a list, between digits is a decimal point.
-    out = F.regexp_replace(text, r",(?<=(?<!\p{Nd})\p{Nd}{1,3},)(?=\p{Nd}{3}(?!\p{Nd}))", "")
-    out = F.regexp_replace(out, r"\.(?<=\p{Nd}\.)(?=\p{Nd})|,(?<=(?<![\p{Nd},.])\p{Nd}{1,9},)(?=\p{Nd}{1,9}(?!\p{Nd}|,\p{Nd}))", POINT)
-    out = F.regexp_replace(out, r"[-\u2212](?<![\p{L}\p{Nd})\]][-\u2212])(?=\p{Nd})", MINUS)
-    word, scale, left = (_any_of(set(w)) for w in (NUMBER_WORDS, _SCALE, {**TENS, **_SCALE}))
-    gap = r"[\s-]{0,3}(?:(?:and|und|et|y)[\s-]{1,4})?"
-    out = F.regexp_replace(out, rf"(?iu)[\s-](?<=(?<!\p{{L}}){left}[\s-]){gap}(?={word}(?!\p{{L}}))"
-                                rf"|[\s-](?<=(?<!\p{{L}}){word}[\s-]){gap}(?={scale}(?!\p{{L}}))", POINT)
-    return F.regexp_replace(out, rf"(?iu)(?<!\p{{L}}){word}(?:{POINT}{word})*(?!\p{{L}})|{MINUS}?\p{{Nd}}+(?:{POINT}\p{{Nd}}+)*",
-                            f" {NUMBER}$0 ")
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
 
-def tokens(text: Column) -> Column:
-    """array<string>: words as they are, placeholders as a mark with their value behind it."""
-    # A capitalised word is a name if it follows a letter, digit or comma, not a sentence end.
-    marked = F.regexp_replace(_numbers(text), r"\p{Lu}(?<=[\p{L}\p{Nd},;][\x20\x09]{0,3}[\x20\x09-\x0D]\p{Lu})\p{Ll}+(?!\p{L})",
-                              f" {NAME}$0 ")
-    marked = F.regexp_replace(marked, rf"\p{{Lu}}(?<![\p{{L}}\p{{Nd}}{NUMBER}{NAME}{POINT}]\p{{Lu}})\p{{Ll}}+(?!\p{{L}})", f" {FIRST}$0 ")
-    # A unit follows its number directly, or after one space.
-    unit = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
-    value = rf"{MINUS}?[\p{{L}}\p{{Nd}}{POINT}]*"
-    marked = F.regexp_replace(F.lower(marked), rf"{NUMBER}({value})\x20{{1,2}}({unit})(?!\p{{L}})", f"{NUMBER}$1 {UNIT}$2")
-    plain = F.trim(F.regexp_replace(marked, rf"[^\p{{L}}\p{{Nd}}{NUMBER}{UNIT}{NAME}{FIRST}{POINT}{MINUS}]+", " "))
-    return F.transform(F.array(F.array_remove(F.split(plain, " "), "")), _settled)[0]
+
+_UNIT_WORD = rf"(?i:{_any_of(UNITS)})(?!\p{{L}})"
+_FREE_UNIT = rf"(?i:{_any_of([u for u in UNITS if u not in ATTACHED_ONLY])})(?!\p{{L}})"
+_ANY_NUMBER_WORD = rf"(?iu)(?<!\p{{L}}){_any_of(set(VALUES))}(?!\p{{L}})"
+#: One number: thousands with separators, a decimal comma outside a list, or digits and
+#: points; with its sign, and with the MINUS or blanks behind it that lead to a unit.
+_NUMBER = (r"(?:(?<![\p{L}\p{Nd})\]])[-−])?(?:(?<!\p{Nd},)\p{Nd}{1,3}(?:,\p{Nd}{3})++(?!\p{Nd}|,\p{Nd})(?:\.\p{Nd}++)*+"
+           r"|(?<!\p{Nd}[.,])\p{Nd}++,\p{Nd}++(?!,\p{Nd})|\p{Nd}++(?:\.\p{Nd}++)*+)"
+           rf"(?:{MINUS}|\x20{{1,2}}(?={_FREE_UNIT}))?")
+#: A name with the white space before it, behind a letter, digit or comma; words; numbers.
+_TOKEN = (rf"(?<=[\p{{L}}\p{{Nd}},;])[\x20\x09-\x0D]++\p{{Lu}}\p{{Ll}}++(?![\p{{L}}{POINT}])"
+          rf"|\p{{L}}++(?:{POINT}\p{{L}}++)*+|{_NUMBER}")
+
+
+def _languages(text: Column) -> Column:
+    """array<boolean>: is it one of the languages that the text has most function words of?"""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}++"), F.lit(0))
+
+    def most(counts: Column) -> Column:
+        return F.transform(counts, lambda n: (n > 0) & (n == F.array_max(counts)))
+
+    return _let(words, lambda w: _let(F.array(*[
+        F.size(F.array_intersect(w, F.array(*[F.lit(x) for x in own]))) for own in FUNCTION_WORDS]), most))
+
+
+def _joined(text: Column, spoken: Column) -> Column:
+    """The text with a POINT between number words that are one number."""
+    for k, words in enumerate(NUMBER_WORDS):
+        word, scale, left = (_any_of(set(x)) for x in (words, _SCALES[k], {**_TENS_OF[k], **_SCALES[k]}))
+        gap = r"[\s-]++(?:(?:and|und|et|y)[\s-]++)?+"
+        joint = (rf"(?iu)(?<!\p{{L}})(?:({left})(?={gap}{word}(?!\p{{L}}))|({word})(?=[\s-]++{scale}(?!\p{{L}}))){gap}")
+        text = F.when(spoken[k], F.regexp_replace(text, joint, f"$1$2{POINT}")).otherwise(text)
+    return text
+
+
+def _member(words: Column) -> Column:
+    """Buckets of a set of words, as many as the root of their number, so that a lookup
+    reads one bucket."""
+    n = F.greatest(F.lit(1), F.when(F.size(words) > 64, F.ceil(F.sqrt(F.size(words)))).otherwise(1)).cast("long")
+    return _let(n, lambda m: F.transform(F.sequence(F.lit(0).cast("long"), m - 1), lambda b: F.filter(
+        words, lambda w: F.pmod(F.xxhash64(w), m) == b)))
+
+
+def _has(buckets: Column, word: Column) -> Column:
+    return F.array_contains(F.get(buckets, F.pmod(F.xxhash64(word), F.size(buckets).cast("long")).cast("int")), word)
 
 
-def _settled(words: Column) -> Column:
-    """Sentence starts are names only if the text has them as names; number words get their value."""
-    def marked(mark: str) -> Column:
-        return F.transform(F.filter(words, lambda x: x.startswith(mark)), _said)
+def _number_value(token: Column) -> Column:
+    """A number without separators; points and signs are marks, so that they stay in the token."""
+    plain = F.translate(token, f".-−{MINUS} ", POINT + MINUS + MINUS)  # what leads to a unit goes
+    thousands = plain.rlike(rf"^{MINUS}?\p{{Nd}}{{1,3}}(?:,\p{{Nd}}{{3}})+(?!\p{{Nd}})")
+    return F.when(~plain.contains(","), plain).when(thousands, F.replace(plain, F.lit(","), F.lit(""))).otherwise(
+        F.replace(plain, F.lit(","), F.lit(POINT)))
 
-    values = F.create_map(*[F.lit(x) for w, v in sorted(NUMBER_WORDS.items()) for x in (NUMBER + w, f"{NUMBER}{v}")])
 
-    def settle(names: Column) -> Column:
-        return F.transform(words, lambda x: F.when(~_is_slot(x), x)
-                           .when(x.startswith(FIRST), F.when(F.array_contains(names, _said(x)), x).otherwise(_said(x)))
-                           .when(x.startswith(NUMBER), F.coalesce(F.try_element_at(values, x), x)).otherwise(x))
+def _classed(raw: Column, starts: Column, digits: bool, spoken: Column | None) -> Column:
+    """Marked tokens of raw ones. ``starts`` are the buckets of the words that are names at
+    sentence starts too."""
 
-    return F.when(_is_slot(F.array_min(words)), F.transform(
-        F.array(F.array_intersect(marked(FIRST), marked(NAME))), settle)[0]).otherwise(words)
+    def said(x: Column) -> Column:
+        return F.when(x < "!", F.lower(F.ltrim(x, F.lit(WHITE)))).otherwise(F.lower(x))
+
+    def marked(x: Column, i: Column) -> Column:
+        plain = (x >= "a") & (x < "{")
+        capital = (((x >= "A") & (x < "[")) | (x >= "\x80")) & _has(starts, F.lower(x)) & x.rlike(r"^\p{Lu}\p{Ll}+$")
+        out = None
+
+        def when(test: Column, value: Column) -> None:
+            nonlocal out
+            out = F.when(test, value) if out is None else out.when(test, value)
+
+        if digits:
+            before = F.get(raw, i - 1)
+            when((i > 0) & (before.endswith(" ") | before.endswith(MINUS)), F.concat(F.lit(UNIT), said(x)))
+            number = ((x >= "-") & (x < ":")) | ((x >= "\x80") & x.rlike(r"^[−\p{Nd}]"))
+            when(number, F.concat(F.lit(NUMBER), _number_value(x)))
+        if spoken is not None:
+            joint = x.contains(POINT)
+            when(joint, F.concat(F.lit(NUMBER), F.lower(x)))
+            values = F.create_map(*[F.lit(v) for w, n in sorted(VALUES.items()) for v in (w, str(n))])
+            for k, words in enumerate(NUMBER_WORDS):
+                when(spoken[k] & said(x).isin(sorted(words)), F.concat(F.lit(NUMBER), F.try_element_at(values, said(x))))
+        when(plain, F.lower(x))
+        return out.when(x < "!", F.concat(F.lit(NAME), said(x))).when(capital, F.concat(F.lit(FIRST), F.lower(x))).otherwise(F.lower(x))
+
+    return F.transform(raw, marked)
+
+
+def _starts(raw: Column) -> Column:
+    """Buckets of the capitalised words that are names elsewhere in the text."""
+    names = F.transform(F.filter(raw, lambda x: x < "!"), lambda x: F.lower(F.ltrim(x, F.lit(WHITE))))
+    capitals = F.transform(F.filter(raw, lambda x: (((x >= "A") & (x < "[")) | (x >= "\x80")) & x.rlike(r"^\p{Lu}\p{Ll}+$")), F.lower)
+    none = F.array(F.array().cast("array<string>"))
+    return F.when(F.array_min(raw) < "!", _let(F.array_intersect(capitals, names), _member)).otherwise(none)
+
+
+def tokens(text: Column) -> Column:
+    """array<string>: words as they are, placeholders as a mark with their value behind it."""
+    clean = F.replace(F.replace(text, F.lit(POINT), F.lit(" ")), F.lit(MINUS), F.lit(" "))
+    digits, words = text.rlike(r"\p{Nd}"), text.rlike(_ANY_NUMBER_WORD)
+    clean = F.when(digits, F.regexp_replace(clean, rf"(?<=\p{{Nd}})(?={_UNIT_WORD})", MINUS)).otherwise(clean)
+
+    def cut(t: Column, has_digits: bool, spoken: Column | None) -> Column:
+        raw = F.regexp_extract_all(t, F.lit(_TOKEN), F.lit(0))
+        return _let(raw, lambda r: _let(_starts(r), lambda s: _classed(r, s, has_digits, spoken)))
+
+    def speaking(t: Column) -> Column:
+        return _let(_languages(t), lambda k: cut(_joined(t, k), True, k))
+
+    return _let(clean, lambda t: F.when(words, speaking(t)).when(digits, cut(t, True, None)).otherwise(cut(t, False, None)))
 
 
 def _said(token: Column) -> Column:
@@ -143,15 +242,11 @@ def _is_slot(token: Column) -> Column:
     return token < LAST_MARK
 
 
-def _is_open(token: Column, kind: int) -> Column:
-    """Is the token a placeholder in templates of this kind?"""
-    return token < {ALL_NAMES: LAST_MARK, INNER_NAMES: FIRST, NO_NAMES: NAME}[kind]
-
-
-def _template(words: Column, kind: int) -> Column:
-    """The tokens with placeholders cut to their mark, and names that are none here as words."""
-    mark = lambda x: F.when(x.startswith(FIRST), NAME).otherwise(F.substring(x, 1, 1))
-    return F.transform(words, lambda x: F.when(~_is_slot(x), x).when(_is_open(x, kind), mark(x)).otherwise(_said(x)))
+#: What sorts before this is a placeholder in templates of a kind.
+_OPEN_BELOW = {ALL_NAMES: LAST_MARK, INNER_NAMES: FIRST, NO_NAMES: NAME}
+#: The placeholders, by letter (see ``_forms``), that a template of a kind leaves open, and
+#: those without which it says what another kind says.
+_OPEN_LETTERS = {ALL_NAMES: "#unf", INNER_NAMES: "#un", NO_NAMES: "#u"}
 
 
 def _slot(token: Column) -> Column:
@@ -159,106 +254,159 @@ def _slot(token: Column) -> Column:
     return F.when(token.startswith(FIRST), F.concat(F.lit(NAME), _said(token))).when(_is_slot(token), token)
 
 
-def _bare(words: Column) -> Column:
-    """The tokens without marks and signs: what a window says word by word."""
-    return F.transform(words, lambda x: F.when(_is_slot(x), F.translate(_said(x), MINUS, "")).otherwise(x))
+def _forms(words: Column) -> Column:
+    """What windows are made of: w (tokens), h (hash of each by what it says, without marks
+    and signs), c (a letter for each: w, or # u n f for placeholders; null without any)
+    and t1 to t3 (hashes with the open placeholders of a kind as constants)."""
+    said = F.transform(words, lambda x: F.xxhash64(F.when(_is_slot(x), F.translate(_said(x), MINUS, "")).otherwise(x)))
+
+    def template(kind: int) -> Callable[[Column, Column], Column]:
+        return lambda x, y: F.when(~(x < _OPEN_BELOW[kind]), y).when(x < UNIT, 1).when(x < NAME, 2).otherwise(3)
 
+    def forms(h: Column) -> Column:
+        letter = F.array_join(F.transform(words, lambda x: F.when(~_is_slot(x), "w").when(x < UNIT, "#").when(x < NAME, "u")
+                                          .when(x < FIRST, "n").otherwise("f")), "")
+        some = F.coalesce(_is_slot(F.array_min(words)), F.lit(False))
+        kinds = [F.when(some, F.zip_with(words, h, template(k))).alias(f"t{k}") for k in _OPEN_BELOW]
+        return F.struct(words.alias("w"), h.alias("h"), F.when(some, letter).alias("c"), *kinds)
 
-def _windows(text: Column, sizes: list[int]) -> Column:
-    """array<struct<size, at, hash, values>> of the windows of a text: one by its words
-    and values, with null values, and one for every kind of template that differs. The
-    tokens are bound as the one element of an array, so that they are made once a text
-    and not once a window."""
+    return _let(said, forms)
 
-    def of_size(f: Column, size: int) -> Column:
-        words = f["w"]
-        starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(
-            F.array().cast("array<int>"))
 
-        def row(i: Column, key: Column, values: Column) -> Column:
-            return F.struct(F.lit(size).alias("size"), i.alias("at"),
-                            F.xxhash64(F.slice(key, i, F.lit(size))).alias("hash"), values.alias("values"))
+def _windows(forms: Column, size: Column, least_words: int, run: int) -> Column:
+    """array<struct<size, at, kind, hash, long, tokens>> of the windows of a text. ``long`` is
+    the hash of ``run`` tokens from there on, ``tokens`` those of a template."""
 
-        def typed(at: Column, kind: int) -> Column:
-            return F.transform(at, lambda i: row(i, f[str(kind)], F.transform(F.slice(words, i, F.lit(size)), _slot)))
+    def row(f: Column, i: Column, kind: int) -> Column:
+        exact = kind == EXACT
+        hashes = f["h"] if exact else f[f"t{kind}"]
+        long = F.when(i + (run - 1) <= F.size(f["h"]), F.xxhash64(F.slice(f["h"], i, F.lit(run)))) if exact else F.lit(None).cast("long")
+        held = F.lit(None).cast("array<string>") if exact else F.slice(f["w"], i, size)
+        return F.struct(size.alias("size"), i.alias("at"), F.lit(kind).alias("kind"),
+                        F.xxhash64(F.slice(hashes, i, size)).alias("hash"), long.alias("long"), held.alias("tokens"))
 
-        def holding(at: Column, test) -> Column:
-            return F.filter(at, lambda i: F.exists(F.slice(words, i, F.lit(size)), test))
+    def typed(f: Column, at: Column, kind: int) -> Column:
+        rest = "".join(c for c in "w#unf" if c not in _OPEN_LETTERS[kind])
+        closed = {INNER_NAMES: "w#un", NO_NAMES: "w#u"}.get(kind)
 
-        def templates(at: Column) -> Column:
-            return F.concat(typed(at, ALL_NAMES), typed(holding(at, lambda x: x.startswith(FIRST)), INNER_NAMES),
-                            typed(holding(at, lambda x: _is_slot(x) & (x >= NAME)), NO_NAMES))
+        def telling(i: Column) -> Column:
+            letters = F.substring(f["c"], i, size)
+            open_ = F.length(F.translate(letters, rest, ""))
+            test = (open_ > 0) & (open_ <= size - F.least(F.lit(least_words), size))
+            return test if closed is None else test & (F.length(F.translate(letters, closed, "")) > 0)
 
-        slots = F.filter(starts, lambda i: _is_slot(F.array_min(F.slice(words, i, F.lit(size)))))
-        return F.concat(F.transform(starts, lambda i: row(i, f["b"], F.lit(None).cast("array<string>"))),
-                        F.flatten(F.transform(F.array(slots), templates)))
+        return F.transform(F.filter(at, telling), lambda i: row(f, i, kind))
 
-    def forms(w: Column) -> Column:
-        some = _is_slot(F.array_min(w))
-        return F.struct(w.alias("w"), F.when(some, _bare(w)).otherwise(w).alias("b"),
-                        *[F.when(some, _template(w, k)).otherwise(w).alias(str(k)) for k in (ALL_NAMES, INNER_NAMES, NO_NAMES)])
+    def of(f: Column) -> Column:
+        n = F.size(f["w"])
+        at = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
+        exact = _let(at, lambda a: F.transform(a, lambda i: row(f, i, EXACT)))
+        some = F.filter(at, lambda i: F.length(F.translate(F.substring(f["c"], i, size), "w", "")) > 0)
+        kinds = _let(some, lambda a: F.concat(*[typed(f, a, k) for k in _OPEN_BELOW]))
+        return F.when(f["c"].isNull(), exact).otherwise(F.concat(exact, kinds))
 
-    return F.flatten(F.transform(F.transform(F.array(tokens(text)), forms),
-                                 lambda f: F.flatten(F.array(*[of_size(f, s) for s in sizes]))))
+    return of(forms)
 
 
 def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW,
-                      least_words: int = LEAST_WORDS) -> DataFrame:
-    """item, n (tokens of the item), at (position), size, hash, slots (the window's
-    placeholders, null for words) and kind (of the hash) of every window: one row by
-    its words and values, one for every kind of template with a placeholder and
-    enough words."""
+                      least_words: int = LEAST_WORDS, run: int = RUN) -> DataFrame:
+    """item, n (tokens of the item), place (position), size, kind, hash, long and slots (the
+    window's placeholders, null for words) of every window: one row by its words and
+    values, one for every kind of template that says something of its own."""
     items = benchmark.select(F.col(f"`{item_id}`").alias("item"), tokens(text_or_empty(f"`{text}`")).alias("w"))
     # Numbers and units alone are no item.
     items = items.filter(F.exists("w", lambda x: x >= NAME)).withColumn("n", F.size("w")).withColumn("size", F.least(F.lit(window), "n"))
-    each = items.select("item", "n", "size", "w", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("size") + 1)).alias("at"))
-    each = each.withColumn("w", F.slice("w", F.col("at"), F.col("size")))
-
-    def key(kind: int) -> Column:
-        words = F.size(F.filter("w", lambda x: ~_is_open(x, kind)))
-        telling = (words < F.col("size")) & (words >= F.least(F.lit(least_words), F.col("size")))
-        return F.when(telling, F.struct(F.lit(kind).alias("kind"), F.xxhash64(_template(F.col("w"), kind)).alias("hash")))
-
-    keys = F.array(F.struct(F.lit(EXACT).alias("kind"), F.xxhash64(_bare(F.col("w"))).alias("hash")),
-                   *[key(k) for k in (ALL_NAMES, INNER_NAMES, NO_NAMES)])
-    return each.select("item", "n", "at", "size", F.transform("w", lambda x: F.when(_is_slot(x), x)).alias("slots"),
-                       F.explode(F.array_compact(keys)).alias("key")).select(
-        "item", "n", "at", "size", "key.hash", "slots", "key.kind")
+    rows = items.select("item", "n", "w", F.explode(_let(
+        _forms(F.col("w")), lambda f: _windows(f, F.col("size"), least_words, run))).alias("x"))
+    return rows.select("item", "n", F.col("x.at").alias("place"), "x.size", "x.kind", "x.hash", "x.long",
+                       F.transform(F.slice("w", F.col("x.at"), F.col("x.size")), lambda x: F.when(_is_slot(x), x)).alias("slots"))
 
 
 def _row_hash(text: str) -> Column:
     return F.xxhash64(text_or_empty(f"`{text}`"))
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id",
-                   item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
-                   least_words: int = LEAST_WORDS, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
-    """One row per document text and benchmark item it holds: id, item id,
-    covered_tokens, item_tokens, coverage, longest_run, changed_slots (placeholders
-    whose value differs from the benchmark's) and row_hash."""
-    windows = checkpoint(benchmark_windows(benchmark, item_id, item_text, window, least_words))
+def _found_windows(docs: DataFrame, windows: DataFrame, text: str, doc_id: str, window: int, least_words: int,
+                   run: int) -> DataFrame:
+    """The windows of the documents that occur in the benchmark: id, row_hash, size, at, hash,
+    long, tokens."""
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect()) or [window]  # at most ``window`` numbers
     keys = windows.select("size", "hash").distinct()
-    count = windows.count()
-    small = count <= BROADCAST_WINDOWS
-    hint = F.broadcast if small else (lambda df: df)
-    body = text_or_empty(f"`{text}`")
-    seen = docs.select(F.col(f"`{doc_id}`").alias("id"), _row_hash(text).alias("row_hash"),
-                       F.explode(_windows(body, sizes)).alias("window")).select("id", "row_hash", "window.*")
-    found = checkpoint(seen.join(hint(keys), ["size", "hash"]))
+    hint = F.broadcast if keys.count() <= BROADCAST_WINDOWS else (lambda df: df)
+
+    def all_sizes(f: Column) -> Column:
+        return F.flatten(F.array(*[_windows(f, F.lit(s), least_words, run) for s in sizes]))
+
+    cut = _let(tokens(text_or_empty(f"`{text}`")), lambda w: _let(_forms(w), all_sizes))
+    seen = docs.select(F.col(f"`{doc_id}`").alias("id"), _row_hash(text).alias("row_hash"), F.explode(cut).alias("x"))
+    seen = seen.select("id", "row_hash", "x.size", "x.at", "x.hash", "x.long", "x.tokens")
+    return checkpoint(seen.join(hint(keys), ["size", "hash"]).distinct())
+
+
+_PAIR = ["id", "row_hash", "item", "n"]
+
+
+def _covered(starts: str, size: str) -> Column:
+    """The distinct places (sorted) of windows of one size at these starts."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(starts, lambda p: F.sequence(p, p + F.col(size) - 1)))))
+
+
+def _longest_run(places: Column) -> Column:
+    """The longest run of consecutive numbers in a sorted array (of an item's places)."""
+    first = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(a: Column, p: Column) -> Column:
+        run = F.when(p == a["last"] + 1, a["run"] + 1).otherwise(1)
+        return F.struct(p.alias("last"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
+
+    return F.aggregate(places, first, step, lambda a: a["best"])
+
+
+def _verbatim(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """id, row_hash, item, n, size, starts (places where windows agree in words and values)
+    and whole_run (does one agree over the run?)."""
+    ours = found.filter("tokens IS NULL").select("id", "row_hash", "size", "hash", "long").distinct()
+    theirs = windows.filter(F.col("kind") == EXACT).select("size", "hash", "item", "n", "place", F.col("long").alias("item_long"))
+    return (ours.join(theirs, ["size", "hash"]).groupBy(*_PAIR, "size")
+            .agg(F.collect_set("place").alias("starts"),  # at most the item's tokens
+                 F.max(F.coalesce(F.col("long") == F.col("item_long"), F.lit(False))).alias("whole_run")))
+
+
+def _reachable(found: DataFrame, windows: DataFrame, exact: DataFrame, coverage: float, run: int) -> DataFrame:
+    """id, row_hash, item of pairs that templates could still decide: all their windows
+    together reach the coverage or a run."""
+    ours = found.filter("tokens IS NOT NULL").select("id", "row_hash", "size", "hash").distinct()
+    theirs = windows.filter(F.col("kind") != EXACT).select("size", "hash", "item", "n", "place").distinct()
+    some = (ours.join(theirs, ["size", "hash"]).groupBy(*_PAIR, "size").agg(F.collect_set("place").alias("more")))
+    same = [some[c].eqNullSafe(exact[c]) for c in _PAIR]
+    both = some.join(exact, same[0] & same[1] & same[2] & same[3], "left").select(
+        *[some[c] for c in [*_PAIR, "size", "more"]], "starts", "held")
+    both = both.filter(~F.coalesce("held", F.lit(False))).withColumn(
+        "starts", F.array_union("more", F.coalesce("starts", F.array().cast("array<int>"))))
+    places = both.withColumn("places", _covered("starts", "size"))
+    return places.filter((F.size("places") >= F.lit(coverage) * F.col("n")) | (_longest_run(F.col("places")) >= run)).select(
+        "id", "row_hash", "item")
+
+
+def _consistent(found: DataFrame, windows: DataFrame, pairs: DataFrame, coverage: float, run: int) -> DataFrame:
+    """The pairs that consistent windows hold: id, row_hash, item, n, covered_tokens, changed_slots."""
     diagonal = ["id", "row_hash", "item", "offset"]
     kind = F.col("kind")
 
     def cell(x: Column, k: Column) -> Column:
         theirs = _slot(x["slots"])
-        fixed = ((kind == EXACT) | ((kind == INNER_NAMES) & ~_is_open(x["slots"], INNER_NAMES))
-                 | ((kind == NO_NAMES) & ~_is_open(x["slots"], NO_NAMES)))  # told by the hash itself
+        fixed = ((kind == EXACT) | ((kind == INNER_NAMES) & ~(x["slots"] < _OPEN_BELOW[INNER_NAMES]))
+                 | ((kind == NO_NAMES) & ~(x["slots"] < _OPEN_BELOW[NO_NAMES])))  # told by the hash itself
         return F.struct((F.col("place") + k).alias("p"), theirs.alias("theirs"),
-                        F.when(fixed, theirs).otherwise(x["values"]).alias("ours"))
+                        F.when(fixed, theirs).otherwise(_slot(x["tokens"])).alias("ours"))
 
-    met = (found.distinct().join(hint(windows.withColumnRenamed("at", "place")), ["size", "hash"])
+    asked = pairs.select(F.col("id").alias("_id"), F.col("row_hash").alias("_row"), F.col("item").alias("_item"))
+    ours = found.drop("long").join(asked, F.col("id").eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_row")))
+    theirs = windows.select("item", "n", "place", "size", "kind", "hash", "slots")
+    met = (ours.join(theirs, (ours["size"] == theirs["size"]) & (ours["hash"] == theirs["hash"])
+                     & F.col("_item").eqNullSafe(F.col("item")))
            .select("id", "row_hash", "item", "n", (F.col("at") - F.col("place")).alias("offset"), "place",
-                   F.transform(F.arrays_zip("slots", F.coalesce("values", "slots").alias("values")), cell).alias("cs")))
+                   F.transform(F.arrays_zip("slots", F.coalesce("tokens", "slots").alias("tokens")), cell).alias("cs")))
     clash = (met.filter(F.exists("cs", lambda c: c["theirs"].isNotNull())).select(*diagonal, F.explode("cs").alias("c"))
              .filter("c.theirs IS NOT NULL").groupBy(*diagonal, "c.theirs")
              .agg(F.min("c.ours").alias("a"), F.max("c.ours").alias("b")).filter("a <> b")
@@ -268,20 +416,36 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, text: str = "text", do
     changes = F.exists("cs", lambda c: F.array_contains(F.col("torn"), c["theirs"]) & (c["theirs"] != c["ours"]))
     good = (met.join(clash, same, "left").filter(~F.coalesce(changes, F.lit(False)))
             .select(*diagonal, "n", F.explode("cs").alias("c")).select(*diagonal, "n", "c.*"))
-    # Runs of covered places on one diagonal: place minus rank is constant in a run.
-    places = good.groupBy(*diagonal, "n", "p").agg(
-        F.max((F.col("theirs") != F.col("ours")).cast("int")).alias("changed"))
-    rank = F.row_number().over(Window.partitionBy(*diagonal).orderBy("p"))
-    runs = (places.withColumn("island", F.col("p") - rank).groupBy(*diagonal, "n", "island")
-            .agg(F.count(F.lit(1)).alias("run"), F.sum("changed").alias("changed"), F.collect_list("p").alias("ps")))
-    whole = (runs.groupBy("id", "row_hash", "item", "n")
-             .agg(F.max("run").alias("longest_run"), F.sum("changed").alias("changed_slots"),
-                  F.size(F.array_distinct(F.flatten(F.collect_set("ps")))).alias("covered_tokens")))
-    share = F.col("covered_tokens") / F.col("n")
-    return whole.filter((share >= coverage) | (F.col("longest_run") >= run)).select(
-        F.col("id").alias(doc_id), F.col("item").alias(item_id),
+    # A diagonal's places and changed places, at most the item's tokens; then the union over diagonals.
+    each = good.groupBy(*diagonal, "n").agg(
+        F.array_sort(F.collect_set("p")).alias("ps"),
+        F.collect_set(F.when(F.col("theirs") != F.col("ours"), F.col("p"))).alias("changed"))
+    each = each.select("id", "row_hash", "item", "n", F.explode("ps").alias("p"), _longest_run(F.col("ps")).alias("run"),
+                       F.size("changed").alias("changed"), F.col("ps")[0].alias("lead"))
+    whole = each.groupBy(*_PAIR).agg(
+        F.count_distinct("p").alias("covered_tokens"), F.max("run").alias("run"),
+        F.sum(F.when(F.col("p") == F.col("lead"), F.col("changed")).otherwise(0)).alias("changed_slots"))
+    return whole.filter((F.col("covered_tokens") >= F.lit(coverage) * F.col("n")) | (F.col("run") >= run)).drop("run")
+
+
+def contaminations(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id",
+                   item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
+                   least_words: int = LEAST_WORDS, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
+    """One row per document text and benchmark item it holds: id, item id, how (verbatim, or
+    template if values changed), covered_tokens, item_tokens, coverage, changed_slots
+    (placeholders whose value differs, over all diagonals) and row_hash."""
+    windows = checkpoint(benchmark_windows(benchmark, item_id, item_text, window, least_words, run))
+    found = _found_windows(docs, windows, text, doc_id, window, least_words, run)
+    exact = _verbatim(found, windows).withColumn("covered_tokens", F.size(_covered("starts", "size")))
+    exact = checkpoint(exact.withColumn("held", (F.col("covered_tokens") >= F.lit(coverage) * F.col("n")) | F.col("whole_run")))
+    pairs = checkpoint(_reachable(found, windows, exact, coverage, run))
+    held = exact.filter("held").select(*_PAIR, "covered_tokens", F.lit(0).alias("changed_slots"), F.lit("verbatim").alias("how"))
+    held = held.unionByName(_consistent(found, windows, pairs, coverage, run).select(
+        *_PAIR, F.col("covered_tokens").cast("int").alias("covered_tokens"), "changed_slots", F.lit("template").alias("how")))
+    return held.select(
+        F.col("id").alias(doc_id), F.col("item").alias(item_id), "how",
         F.col("covered_tokens").cast("long").alias("covered_tokens"), F.col("n").cast("long").alias("item_tokens"),
-        share.alias("coverage"), "longest_run", F.coalesce("changed_slots", F.lit(0)).cast("long").alias("changed_slots"),
+        (F.col("covered_tokens") / F.col("n")).alias("coverage"), F.col("changed_slots").cast("long").alias("changed_slots"),
         "row_hash")
 
 
