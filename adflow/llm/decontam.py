@@ -27,7 +27,8 @@ r"""Benchmark decontamination by template canonicalisation, in DataFrame functio
 
 Items shorter than the window are matched by one window of their own length.
 
-Scale: documents are cut into windows where they are read; texts never move. The hashes
+Scale: canonical texts are written once, about as large as the texts, and cut into windows
+where they are read; texts never move. The hashes
 of the benchmark (a fixed number of bytes each) are broadcast up to ``BROADCAST_WINDOWS``,
 beyond it the join is shuffled on the hash. Only matching windows go further, first as
 distinct windows of a document and item. Positions are looked up for documents and items
@@ -122,17 +123,22 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _listed(words) -> Column:
+    """A constant array of words (folded by the optimizer)."""
+    return F.split(F.lit(" ".join(sorted(words))), " ")
+
+
 _UNIT_WORD = rf"(?i:{_any_of(UNITS)})(?!\p{{L}})"
 _FREE_UNIT = rf"(?i:{_any_of([u for u in UNITS if u not in ATTACHED_ONLY])})(?!\p{{L}})"
-_ANY_NUMBER_WORD = rf"(?iu)(?<!\p{{L}}){_any_of(set(VALUES))}(?!\p{{L}})"
 #: One number: thousands with separators, a decimal comma outside a list, or digits and
 #: points; with its sign, and with the MINUS or blanks behind it that lead to a unit.
-_NUMBER = (r"(?:(?<![\p{L}\p{Nd})\]])[-−])?(?:(?<!\p{Nd},)\p{Nd}{1,3}(?:,\p{Nd}{3})++(?!\p{Nd}|,\p{Nd})(?:\.\p{Nd}++)*+"
+_NUMBER = (r"(?=[-−\p{Nd}])(?:(?<![\p{L}\p{Nd})\]])[-−])?(?:(?<!\p{Nd},)\p{Nd}{1,3}(?:,\p{Nd}{3})++(?!\p{Nd}|,\p{Nd})(?:\.\p{Nd}++)*+"
            r"|(?<!\p{Nd}[.,])\p{Nd}++,\p{Nd}++(?!,\p{Nd})|\p{Nd}++(?:\.\p{Nd}++)*+)"
            rf"(?:{MINUS}|\x20{{1,2}}(?={_FREE_UNIT}))?")
-#: A name with the white space before it, behind a letter, digit or comma; words; numbers.
-_TOKEN = (rf"(?<=[\p{{L}}\p{{Nd}},;])[\x20\x09-\x0D]++\p{{Lu}}\p{{Ll}}++(?![\p{{L}}{POINT}])"
-          rf"|\p{{L}}++(?:{POINT}\p{{L}}++)*+|{_NUMBER}")
+#: White space before a capital, behind a letter, digit or comma: a name follows.
+_INSIDE = r"(?=[\x20\x09-\x0D]++\p{Lu}\p{Ll})(?<=[\p{L}\p{Nd},;])[\x20\x09-\x0D]++"
+#: Words, names with the white space before them, numbers.
+_TOKEN = rf"\p{{L}}++(?:{POINT}\p{{L}}++)*+|{_INSIDE}\p{{Lu}}\p{{Ll}}++(?![\p{{L}}{POINT}])|{_NUMBER}"
 
 
 def _languages(text: Column) -> Column:
@@ -143,7 +149,7 @@ def _languages(text: Column) -> Column:
         return F.transform(counts, lambda n: (n > 0) & (n == F.array_max(counts)))
 
     return _let(words, lambda w: _let(F.array(*[
-        F.size(F.array_intersect(w, F.array(*[F.lit(x) for x in own]))) for own in FUNCTION_WORDS]), most))
+        F.size(F.array_intersect(w, _listed(own))) for own in FUNCTION_WORDS]), most))
 
 
 def _joined(text: Column, spoken: Column) -> Column:
@@ -200,9 +206,9 @@ def _classed(raw: Column, starts: Column, digits: bool, spoken: Column | None) -
         if spoken is not None:
             joint = x.contains(POINT)
             when(joint, F.concat(F.lit(NUMBER), F.lower(x)))
-            values = F.create_map(*[F.lit(v) for w, n in sorted(VALUES.items()) for v in (w, str(n))])
+            values = F.str_to_map(F.lit(" ".join(f"{w}={n}" for w, n in sorted(VALUES.items()))), F.lit(" "), F.lit("="))
             for k, words in enumerate(NUMBER_WORDS):
-                when(spoken[k] & said(x).isin(sorted(words)), F.concat(F.lit(NUMBER), F.try_element_at(values, said(x))))
+                when(spoken[k] & F.array_contains(_listed(words), said(x)), F.concat(F.lit(NUMBER), F.try_element_at(values, said(x))))
         when(plain, F.lower(x))
         return out.when(x < "!", F.concat(F.lit(NAME), said(x))).when(capital, F.concat(F.lit(FIRST), F.lower(x))).otherwise(F.lower(x))
 
@@ -217,20 +223,66 @@ def _starts(raw: Column) -> Column:
     return F.when(F.array_min(raw) < "!", _let(F.array_intersect(capitals, names), _member)).otherwise(none)
 
 
-def tokens(text: Column) -> Column:
-    """array<string>: words as they are, placeholders as a mark with their value behind it."""
+def _with_numbers(text: Column, spoken: Column | None) -> Column:
+    """The canonical form of a text with digits or number words, token by token."""
+    raw = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    return F.array_join(_let(raw, lambda r: _let(_starts(r), lambda s: _classed(r, s, True, spoken))), " ")
+
+
+def _plain(text: Column, kept: str) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), rf"[^\p{{L}}{kept}]++", " "))
+
+
+def _without_numbers(text: Column) -> Column:
+    """The canonical form of any other text: a few passes over it, and token by token only
+    where a name at a sentence start has to be told from a word."""
+
+    def settled(marked: Column) -> Column:
+        def words(mark: str) -> Callable[[Column], Column]:
+            return lambda w: F.transform(F.filter(w, lambda x: x.startswith(mark)), _said)
+
+        def some(w: Column) -> Column:
+            both = F.array_intersect(words(FIRST)(w), words(NAME)(w))
+            return _let(_let(both, _member), lambda m: F.array_join(F.transform(
+                w, lambda x: F.when(x.startswith(FIRST) & ~_has(m, _said(x)), _said(x)).otherwise(x)), " "))
+
+        return _let(F.split(marked, " "), some)
+
+    def named(t: Column) -> Column:
+        starts = F.regexp_replace(t, rf"(?<![\p{{L}}{NAME}])(\p{{Lu}}\p{{Ll}}++)(?!\p{{L}})", f" {FIRST}$1")
+        return _let(_plain(starts, NAME + FIRST), settled)
+
+    clean = F.replace(F.replace(text, F.lit(NAME), F.lit(" ")), F.lit(FIRST), F.lit(" "))
+    inside = F.regexp_replace(clean, rf"{_INSIDE}(\p{{Lu}}\p{{Ll}}++)(?!\p{{L}})", f" {NAME}$1")
+    return _let(inside, lambda t: F.when(t.contains(NAME), named(t)).otherwise(_plain(t, "")))
+
+
+def canonical(text: Column) -> Column:
+    """The tokens of a text between single blanks: words as they are, placeholders as a mark
+    with their value behind it."""
     clean = F.replace(F.replace(text, F.lit(POINT), F.lit(" ")), F.lit(MINUS), F.lit(" "))
-    digits, words = text.rlike(r"\p{Nd}"), text.rlike(_ANY_NUMBER_WORD)
-    clean = F.when(digits, F.regexp_replace(clean, rf"(?<=\p{{Nd}})(?={_UNIT_WORD})", MINUS)).otherwise(clean)
+    digits = text.rlike(r"\p{Nd}")
+
+    def attached(t: Column) -> Column:
+        return F.regexp_replace(t, rf"(?<=\p{{Nd}})(?={_UNIT_WORD})", MINUS)
 
-    def cut(t: Column, has_digits: bool, spoken: Column | None) -> Column:
-        raw = F.regexp_extract_all(t, F.lit(_TOKEN), F.lit(0))
-        return _let(raw, lambda r: _let(_starts(r), lambda s: _classed(r, s, has_digits, spoken)))
+    def spoken(t: Column) -> Column:
+        return _let(_languages(t), lambda k: _with_numbers(_joined(t, k), k))
 
-    def speaking(t: Column) -> Column:
-        return _let(_languages(t), lambda k: cut(_joined(t, k), True, k))
+    first = F.when(digits, _with_numbers(attached(clean), None)).otherwise(_without_numbers(text))
+    marks = f"{NAME}{FIRST}"
 
-    return _let(clean, lambda t: F.when(words, speaking(t)).when(digits, cut(t, True, None)).otherwise(cut(t, False, None)))
+    def checked(form: Column) -> Column:
+        bare = F.when(form.contains(NAME) | form.contains(FIRST), F.translate(form, marks, "")).otherwise(form)
+        words = F.arrays_overlap(F.split(bare, " "), _listed(VALUES))
+        return F.when(words, spoken(F.when(digits, attached(clean)).otherwise(clean))).otherwise(form)
+
+    return _let(first, checked)
+
+
+def tokens(text: Column) -> Column:
+    """array<string>: the tokens of the canonical form."""
+    return _let(canonical(text), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " ")))
 
 
 def _said(token: Column) -> Column:
@@ -244,9 +296,6 @@ def _is_slot(token: Column) -> Column:
 
 #: What sorts before this is a placeholder in templates of a kind.
 _OPEN_BELOW = {ALL_NAMES: LAST_MARK, INNER_NAMES: FIRST, NO_NAMES: NAME}
-#: The placeholders, by letter (see ``_forms``), that a template of a kind leaves open, and
-#: those without which it says what another kind says.
-_OPEN_LETTERS = {ALL_NAMES: "#unf", INNER_NAMES: "#un", NO_NAMES: "#u"}
 
 
 def _slot(token: Column) -> Column:
@@ -254,72 +303,91 @@ def _slot(token: Column) -> Column:
     return F.when(token.startswith(FIRST), F.concat(F.lit(NAME), _said(token))).when(_is_slot(token), token)
 
 
-def _forms(words: Column) -> Column:
-    """What windows are made of: w (tokens), h (hash of each by what it says, without marks
-    and signs), c (a letter for each: w, or # u n f for placeholders; null without any)
-    and t1 to t3 (hashes with the open placeholders of a kind as constants)."""
-    said = F.transform(words, lambda x: F.xxhash64(F.when(_is_slot(x), F.translate(_said(x), MINUS, "")).otherwise(x)))
+def _marked(text: Column) -> Column:
+    return text.contains(NUMBER) | text.contains(UNIT) | text.contains(NAME) | text.contains(FIRST)
+
+
+def _bare(token: Column) -> Column:
+    """What a token says, without mark and sign."""
+    return F.when(_is_slot(token), F.translate(_said(token), MINUS, "")).otherwise(token)
 
-    def template(kind: int) -> Callable[[Column, Column], Column]:
-        return lambda x, y: F.when(~(x < _OPEN_BELOW[kind]), y).when(x < UNIT, 1).when(x < NAME, 2).otherwise(3)
 
-    def forms(h: Column) -> Column:
-        letter = F.array_join(F.transform(words, lambda x: F.when(~_is_slot(x), "w").when(x < UNIT, "#").when(x < NAME, "u")
-                                          .when(x < FIRST, "n").otherwise("f")), "")
-        some = F.coalesce(_is_slot(F.array_min(words)), F.lit(False))
-        kinds = [F.when(some, F.zip_with(words, h, template(k))).alias(f"t{k}") for k in _OPEN_BELOW]
-        return F.struct(words.alias("w"), h.alias("h"), F.when(some, letter).alias("c"), *kinds)
+def _shifted(array: Column, offsets: list[int]) -> Column:
+    """array<struct<0, 1, ...>>: at each place, what stands there and at the offsets behind it;
+    null behind the end."""
+    return _let(array, lambda a: F.arrays_zip(*[F.slice(a, o + 1, 1 << 30) for o in offsets]))
 
-    return _let(said, forms)
 
+def _exact_windows(forms: DataFrame, keys: list[str], size: int, window: int, run: int) -> DataFrame:
+    """Every window of ``size`` tokens by its words and values: keys, at, size, kind, hash, long
+    (hash of ``run`` tokens from there on, made of those of its windows; null where the
+    text ends before, and for other sizes than ``window``) and held (null)."""
+    words = F.split("form", " ")
+    words = F.when(_marked(F.col("form")), F.transform(words, _bare)).otherwise(words)
+    grams = F.transform(_shifted(words, list(range(size))), lambda x: F.when(
+        x[str(size - 1)].isNotNull(), F.xxhash64(*[x[str(k)] for k in range(size)])))
+    offsets = [*range(0, max(run - window, 0), window), max(run - window, 0)] if size == window else [0]
+    # An outer generator: no filter is inferred from it that would make its input again.
+    rows = forms.select(*keys, F.posexplode_outer(_shifted(grams, offsets)).alias("pos", "x"))
+    parts = [F.col("x")[str(k)] for k in range(len(offsets))]
+    long = F.when(parts[-1].isNotNull(), F.xxhash64(*parts)) if size == window else F.lit(None).cast("long")
+    return rows.select(*keys, (F.col("pos") + 1).alias("at"), F.lit(size).alias("size"), F.lit(EXACT).alias("kind"),
+                       parts[0].alias("hash"), long.alias("long"), F.lit(None).cast("string").alias("held")).filter("hash IS NOT NULL")
 
-def _windows(forms: Column, size: Column, least_words: int, run: int) -> Column:
-    """array<struct<size, at, kind, hash, long, tokens>> of the windows of a text. ``long`` is
-    the hash of ``run`` tokens from there on, ``tokens`` those of a template."""
 
-    def row(f: Column, i: Column, kind: int) -> Column:
-        exact = kind == EXACT
-        hashes = f["h"] if exact else f[f"t{kind}"]
-        long = F.when(i + (run - 1) <= F.size(f["h"]), F.xxhash64(F.slice(f["h"], i, F.lit(run)))) if exact else F.lit(None).cast("long")
-        held = F.lit(None).cast("array<string>") if exact else F.slice(f["w"], i, size)
-        return F.struct(size.alias("size"), i.alias("at"), F.lit(kind).alias("kind"),
-                        F.xxhash64(F.slice(hashes, i, size)).alias("hash"), long.alias("long"), held.alias("tokens"))
+def _typed_windows(forms: DataFrame, keys: list[str], size: int, least_words: int) -> DataFrame:
+    """The windows with placeholders as templates of each kind that says something of its own;
+    held are their tokens. Only texts with placeholders are cut."""
+    words = _shifted(F.split("form", " "), list(range(size)))
+    rows = forms.filter(_marked(F.col("form"))).select(*keys, F.posexplode_outer(words).alias("pos", "x"))
+    tokens_ = [F.col("x")[str(k)] for k in range(size)]
+    some = tokens_[0] < LAST_MARK
+    for t in tokens_[1:]:
+        some = some | (t < LAST_MARK)
+    rows = rows.filter(tokens_[-1].isNotNull() & some)
 
-    def typed(f: Column, at: Column, kind: int) -> Column:
-        rest = "".join(c for c in "w#unf" if c not in _OPEN_LETTERS[kind])
-        closed = {INNER_NAMES: "w#un", NO_NAMES: "w#u"}.get(kind)
+    def count(test: Callable[[Column], Column]) -> Column:
+        return sum((F.when(test(t), 1).otherwise(0) for t in tokens_), F.lit(0))
 
-        def telling(i: Column) -> Column:
-            letters = F.substring(f["c"], i, size)
-            open_ = F.length(F.translate(letters, rest, ""))
-            test = (open_ > 0) & (open_ <= size - F.least(F.lit(least_words), size))
-            return test if closed is None else test & (F.length(F.translate(letters, closed, "")) > 0)
+    def template(kind: int) -> Column:
+        cells = [F.when(t < _OPEN_BELOW[kind], F.when(t < FIRST, F.substring(t, 1, 1)).otherwise(NAME))
+                 .when(_is_slot(t), _said(t)).otherwise(t) for t in tokens_]
+        test = count(lambda t: t < _OPEN_BELOW[kind]).between(1, size - min(least_words, size))
+        if kind != ALL_NAMES:  # else it says what another kind says
+            test = test & (count(lambda t: (t >= _OPEN_BELOW[kind]) & _is_slot(t)) > 0)
+        return F.when(test, F.struct(F.lit(kind).alias("kind"), F.xxhash64(*cells).alias("hash")))
 
-        return F.transform(F.filter(at, telling), lambda i: row(f, i, kind))
+    rows = rows.select(*keys, (F.col("pos") + 1).alias("at"), F.concat_ws(" ", *tokens_).alias("held"),
+                       F.explode_outer(F.array(*[template(k) for k in _OPEN_BELOW])).alias("t"))
+    return rows.filter("t IS NOT NULL").select(*keys, "at", F.lit(size).alias("size"), "t.kind", "t.hash",
+                                               F.lit(None).cast("long").alias("long"), "held")
 
-    def of(f: Column) -> Column:
-        n = F.size(f["w"])
-        at = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
-        exact = _let(at, lambda a: F.transform(a, lambda i: row(f, i, EXACT)))
-        some = F.filter(at, lambda i: F.length(F.translate(F.substring(f["c"], i, size), "w", "")) > 0)
-        kinds = _let(some, lambda a: F.concat(*[typed(f, a, k) for k in _OPEN_BELOW]))
-        return F.when(f["c"].isNull(), exact).otherwise(F.concat(exact, kinds))
 
-    return of(forms)
+def _cut_windows(forms: DataFrame, keys: list[str], sizes: list[int], window: int, least_words: int, run: int) -> DataFrame:
+    """Windows of ``forms`` (keys and ``form``, a canonical text that has been written)."""
+    parts = [_exact_windows(forms, keys, s, window, run) for s in sizes] + [_typed_windows(forms, keys, s, least_words) for s in sizes]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW,
                       least_words: int = LEAST_WORDS, run: int = RUN) -> DataFrame:
-    """item, n (tokens of the item), place (position), size, kind, hash, long and slots (the
-    window's placeholders, null for words) of every window: one row by its words and
-    values, one for every kind of template that says something of its own."""
-    items = benchmark.select(F.col(f"`{item_id}`").alias("item"), tokens(text_or_empty(f"`{text}`")).alias("w"))
+    """item, n (tokens of the item), place (position), size, kind, hash, long and tokens (of the
+    window) of every window: one row by its words and values, one for every kind of
+    template that says something of its own."""
+    items = checkpoint(benchmark.select(F.col(f"`{item_id}`").alias("item"), canonical(text_or_empty(f"`{text}`")).alias("form")))
     # Numbers and units alone are no item.
-    items = items.filter(F.exists("w", lambda x: x >= NAME)).withColumn("n", F.size("w")).withColumn("size", F.least(F.lit(window), "n"))
-    rows = items.select("item", "n", "w", F.explode(_let(
-        _forms(F.col("w")), lambda f: _windows(f, F.col("size"), least_words, run))).alias("x"))
-    return rows.select("item", "n", F.col("x.at").alias("place"), "x.size", "x.kind", "x.hash", "x.long",
-                       F.transform(F.slice("w", F.col("x.at"), F.col("x.size")), lambda x: F.when(_is_slot(x), x)).alias("slots"))
+    items = items.filter(F.exists(F.split("form", " "), lambda x: x >= NAME)).withColumn(
+        "n", F.length("form") - F.length(F.replace("form", F.lit(" "), F.lit(""))) + 1)
+    items = items.withColumn("whole", F.col("form"))
+    items = items.withColumn("size", F.least(F.lit(window), F.col("n")))
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect()) or [window]  # at most ``window`` numbers
+    rows = _cut_windows(items.drop("size"), ["item", "n", "whole"], sizes, window, least_words, run)
+    words = F.slice(F.split("whole", " "), F.col("at"), F.col("size"))
+    return rows.filter(F.col("size") == F.least(F.lit(window), F.col("n"))).select(
+        "item", "n", F.col("at").alias("place"), "size", "kind", "hash", "long", words.alias("tokens"))
 
 
 def _row_hash(text: str) -> Column:
@@ -329,18 +397,14 @@ def _row_hash(text: str) -> Column:
 def _found_windows(docs: DataFrame, windows: DataFrame, text: str, doc_id: str, window: int, least_words: int,
                    run: int) -> DataFrame:
     """The windows of the documents that occur in the benchmark: id, row_hash, size, at, hash,
-    long, tokens."""
+    long, held."""
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect()) or [window]  # at most ``window`` numbers
     keys = windows.select("size", "hash").distinct()
     hint = F.broadcast if keys.count() <= BROADCAST_WINDOWS else (lambda df: df)
-
-    def all_sizes(f: Column) -> Column:
-        return F.flatten(F.array(*[_windows(f, F.lit(s), least_words, run) for s in sizes]))
-
-    cut = _let(tokens(text_or_empty(f"`{text}`")), lambda w: _let(_forms(w), all_sizes))
-    seen = docs.select(F.col(f"`{doc_id}`").alias("id"), _row_hash(text).alias("row_hash"), F.explode(cut).alias("x"))
-    seen = seen.select("id", "row_hash", "x.size", "x.at", "x.hash", "x.long", "x.tokens")
-    return checkpoint(seen.join(hint(keys), ["size", "hash"]).distinct())
+    forms = checkpoint(docs.select(F.col(f"`{doc_id}`").alias("id"), _row_hash(text).alias("row_hash"),
+                                   canonical(text_or_empty(f"`{text}`")).alias("form")))
+    seen = _cut_windows(forms, ["id", "row_hash"], sizes, window, least_words, run).drop("kind")
+    return checkpoint(seen.join(hint(keys), ["size", "hash"]))
 
 
 _PAIR = ["id", "row_hash", "item", "n"]
@@ -365,7 +429,7 @@ def _longest_run(places: Column) -> Column:
 def _verbatim(found: DataFrame, windows: DataFrame) -> DataFrame:
     """id, row_hash, item, n, size, starts (places where windows agree in words and values)
     and whole_run (does one agree over the run?)."""
-    ours = found.filter("tokens IS NULL").select("id", "row_hash", "size", "hash", "long").distinct()
+    ours = found.filter("held IS NULL").select("id", "row_hash", "size", "hash", "long").distinct()
     theirs = windows.filter(F.col("kind") == EXACT).select("size", "hash", "item", "n", "place", F.col("long").alias("item_long"))
     return (ours.join(theirs, ["size", "hash"]).groupBy(*_PAIR, "size")
             .agg(F.collect_set("place").alias("starts"),  # at most the item's tokens
@@ -375,7 +439,7 @@ def _verbatim(found: DataFrame, windows: DataFrame) -> DataFrame:
 def _reachable(found: DataFrame, windows: DataFrame, exact: DataFrame, coverage: float, run: int) -> DataFrame:
     """id, row_hash, item of pairs that templates could still decide: all their windows
     together reach the coverage or a run."""
-    ours = found.filter("tokens IS NOT NULL").select("id", "row_hash", "size", "hash").distinct()
+    ours = found.filter("held IS NOT NULL").select("id", "row_hash", "size", "hash").distinct()
     theirs = windows.filter(F.col("kind") != EXACT).select("size", "hash", "item", "n", "place").distinct()
     some = (ours.join(theirs, ["size", "hash"]).groupBy(*_PAIR, "size").agg(F.collect_set("place").alias("more")))
     same = [some[c].eqNullSafe(exact[c]) for c in _PAIR]
@@ -394,19 +458,19 @@ def _consistent(found: DataFrame, windows: DataFrame, pairs: DataFrame, coverage
     kind = F.col("kind")
 
     def cell(x: Column, k: Column) -> Column:
-        theirs = _slot(x["slots"])
-        fixed = ((kind == EXACT) | ((kind == INNER_NAMES) & ~(x["slots"] < _OPEN_BELOW[INNER_NAMES]))
-                 | ((kind == NO_NAMES) & ~(x["slots"] < _OPEN_BELOW[NO_NAMES])))  # told by the hash itself
+        theirs = _slot(x["tokens"])
+        fixed = ((kind == EXACT) | ((kind == INNER_NAMES) & x["tokens"].startswith(FIRST))
+                 | ((kind == NO_NAMES) & (x["tokens"] >= NAME)))  # told by the hash itself
         return F.struct((F.col("place") + k).alias("p"), theirs.alias("theirs"),
-                        F.when(fixed, theirs).otherwise(_slot(x["tokens"])).alias("ours"))
+                        F.when(fixed, theirs).otherwise(_slot(x["held"])).alias("ours"))
 
     asked = pairs.select(F.col("id").alias("_id"), F.col("row_hash").alias("_row"), F.col("item").alias("_item"))
     ours = found.drop("long").join(asked, F.col("id").eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_row")))
-    theirs = windows.select("item", "n", "place", "size", "kind", "hash", "slots")
+    theirs = windows.select("item", "n", "place", "size", "kind", "hash", "tokens")
     met = (ours.join(theirs, (ours["size"] == theirs["size"]) & (ours["hash"] == theirs["hash"])
                      & F.col("_item").eqNullSafe(F.col("item")))
            .select("id", "row_hash", "item", "n", (F.col("at") - F.col("place")).alias("offset"), "place",
-                   F.transform(F.arrays_zip("slots", F.coalesce("tokens", "slots").alias("tokens")), cell).alias("cs")))
+                   F.transform(F.arrays_zip("tokens", F.coalesce(F.split("held", " "), "tokens").alias("held")), cell).alias("cs")))
     clash = (met.filter(F.exists("cs", lambda c: c["theirs"].isNotNull())).select(*diagonal, F.explode("cs").alias("c"))
              .filter("c.theirs IS NOT NULL").groupBy(*diagonal, "c.theirs")
              .agg(F.min("c.ours").alias("a"), F.max("c.ours").alias("b")).filter("a <> b")
