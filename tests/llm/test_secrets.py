@@ -75,3 +75,27 @@ def secrets_line(spans):
 def test_empty_table(spark):
     result, new = secrets.scan_documents(spark.createDataFrame([], "doc_id long, text string"))
     assert result.collect() == [] and new.collect() == []
+
+
+def test_long_runs_take_linear_time():
+    """Five megabytes of what every rule begins with."""
+    import time
+
+    patterns = [r.compiled() for r in secrets.RULES]
+    for unit in ("eyJ", "eyJa.", "eyJa.eyJ.", "AKIA", "token ", "ghp_", "-----BEGIN ", "abcdef01", "secret=\"", "a", "Zm9v/"):
+        text = unit * (5_000_000 // len(unit))
+        began = time.monotonic()
+        secrets.find_spans(text, secrets.RULES, patterns)
+        assert time.monotonic() - began < 10, unit
+
+
+def test_web_tokens_are_those_of_the_plain_pattern():
+    import random
+
+    rng = random.Random(5)
+    rule = next(r for r in secrets.RULES if r.kind == "jwt")
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+    for _ in range(20_000):
+        text = "".join(rng.choice(("eyJ", "eyJ", ".", ".", "a", "-", " ", "é")) for _ in range(rng.randrange(25)))
+        spans = [(s, e) for s, _, _, e in secrets.find_spans(text, [rule], [rule.compiled()])]
+        assert spans == [m.span() for m in plain.finditer(text)], text
