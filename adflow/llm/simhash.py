@@ -27,10 +27,15 @@ Search for all pairs of distinct fingerprints within ``max_bits``:
 * Each block returns a spanning forest (at most one edge a fingerprint), and the
   forests are joined by distributed connected components.
 
-Defined results: a null text counts as empty. Rows that share a doc_id are one
-document for the filter. A null id takes part in linking but is never the
-component id unless all ids of the component are null. Empty tables give empty
-results; other columns are passed through untouched by ``near_dedup``.
+Defined results: a null text counts as empty. A null id takes part in linking but is
+never the component id unless all ids of the component are null. Repeated rows are
+judged alike; rows of one id with different texts each by their own component. Ties
+between fingerprints go to the smallest id. Very long texts are hashed in pieces of
+``PIECE_BYTES``. Empty tables give empty results; other columns, whatever their names,
+are passed through untouched by ``near_dedup``.
+
+Size: the patterns kept for a fingerprint grow with the number of distinct ones (5, 15,
+35 or 70 for four bits), as r does.
 """
 
 from __future__ import annotations
@@ -43,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.materialize import checkpoint
-from .common import shuffle_partitions, slices, text_or_empty
+from .common import as_row, shuffle_partitions, slices, text_or_empty
 from .components import components
 
 SEED = 42
@@ -144,17 +149,20 @@ def fingerprints_of(texts: list[str | None], shingle: int):
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4) -> DataFrame:
-    """(id, fp): one row per row of ``docs``; fp is the fingerprint as a signed long."""
-    schema = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("fp", T.LongType())])
+    """(id, text_hash, fp): one row per row of ``docs``; fp is the fingerprint as a signed long."""
+    schema = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("text_hash", T.LongType()),
+                           T.StructField("fp", T.LongType())])
 
     def run(batches):
         import pyarrow as pa
 
         for batch in (part for whole in batches for part in slices(whole)):
-            fp = fingerprints_of(batch.column(1).to_pylist(), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view("int64"))], names=["id", "fp"])
+            fp = fingerprints_of(batch.column(2).to_pylist(), shingle)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view("int64"))],
+                                             names=["id", "text_hash", "fp"])
 
-    return docs.select(F.col(f"`{doc_id}`").alias("id"), text_or_empty(f"`{text}`").alias("text")).mapInArrow(run, schema)
+    body = text_or_empty(f"`{text}`")
+    return docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(body).alias("text_hash"), body.alias("text")).mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------- the index of a block
@@ -343,10 +351,8 @@ def links(distinct: DataFrame, max_bits: int) -> DataFrame:
             .mapInArrow(_link_blocks(max_bits), "a long, b long"))
 
 
-def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4,
-                   max_bits: int = 4) -> DataFrame:
-    """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id
-    (smallest id that links reach, itself included)."""
+def _reached(docs: DataFrame, text: str, doc_id: str, shingle: int, max_bits: int) -> DataFrame:
+    """id, text_hash, fp and component_id of every row of ``docs``."""
     prints = checkpoint(fingerprints(docs, text, doc_id, shingle))
     distinct = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("min_id")))
     found = checkpoint(components(links(distinct.select("fp"), max_bits)))
@@ -354,16 +360,24 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     linked = found.join(ids, "root").select(F.col("node").alias("fp"), "linked_id", F.lit(True).alias("linked"))
     reached = checkpoint(distinct.join(linked, "fp", "left").select(
         "fp", F.when(F.col("linked"), F.col("linked_id")).otherwise(F.col("min_id")).alias("component_id")))
-    return prints.join(reached, "fp").select(
+    return prints.join(reached, "fp")
+
+
+def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4,
+                   max_bits: int = 4) -> DataFrame:
+    """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id
+    (smallest id that links reach, itself included)."""
+    return _reached(docs, text, doc_id, shingle, max_bits).select(
         F.col("id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4,
                max_bits: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose document is the one that stays of its component
-    (the smallest id). Rows of one doc_id stay or go together; rows without an
-    id stay."""
-    gone = checkpoint(simhash_groups(docs, text, doc_id, shingle, max_bits)
-                      .filter(F.col(doc_id) != F.col("component_id"))
-                      .select(F.col(doc_id).alias("gone_id")).distinct())
-    return docs.join(gone, docs[doc_id] == gone["gone_id"], "left_anti")
+    """The rows of ``docs`` that bear the smallest id of their component, so that every
+    component keeps a row. A row is judged by its id and text: of two texts with one id
+    each is kept or not by its own component. Rows without an id stay."""
+    gone = checkpoint(_reached(docs, text, doc_id, shingle, max_bits).filter(F.col("id") != F.col("component_id"))
+                      .select(F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_text")).distinct())
+    rows = docs.select(as_row(docs)).withColumn("_hash", F.xxhash64(text_or_empty(f"row.`{text}`")))
+    same = (F.col(f"row.`{doc_id}`") == F.col("gone_id")) & (F.col("_hash") == F.col("gone_text"))
+    return rows.join(gone, same, "left_anti").select("row.*")

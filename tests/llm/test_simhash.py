@@ -126,3 +126,11 @@ def test_masks_cover_every_pair():
             for _ in range(200):
                 x = sum(1 << int(b) for b in rng.choice(64, bits, replace=False))
                 assert any(m & x == 0 for m in masks)
+
+
+def test_one_id_with_texts_of_two_groups(spark):
+    """Every component keeps a row, also if the id of its first row goes with another text."""
+    x, y = "one two three four five six", "nothing of that is in here at all"
+    rows = [(1, y), (2, x), (2, y), (3, x), (2, x)]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, gone_id string")
+    assert sorted((r.doc_id, r.text) for r in simhash.near_dedup(df).collect()) == [(1, y), (2, x), (2, x)]
