@@ -1,4 +1,4 @@
-"""Lineage cuts that survive executor loss, and size-checked broadcasts.
+"""Lineage cuts that survive executor loss.
 
 ``checkpoint`` writes to the shared folder named by ``spark.checkpoint.dir``
 (set by the cluster; only local sessions fall back to a scratch folder), never
@@ -11,13 +11,9 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-
-# A snapshot side is broadcast only below this many rows (checked, not assumed).
-BROADCAST_MAX_ROWS = 2_000_000
-
+from ..sources import files
 
 _WRITTEN: list[str] = []
 
@@ -31,16 +27,18 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     path = f"{base}/adflow-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
-def _delete(spark: SparkSession, paths: list[str]) -> int:
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    gone = 0
-    for path in paths:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        gone += bool(folder.getFileSystem(hadoop).delete(folder, True))
-    return gone
+def discard(df: DataFrame) -> None:
+    """Delete what one ``checkpoint`` call wrote; ``df`` is what it returned. For loops
+    that write a state anew: the state before it can go."""
+    path = getattr(df, "_written_to", None)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+        files.delete(df.sparkSession, [path])
 
 
 def release(spark: SparkSession, since: int = 0) -> int:
@@ -49,7 +47,7 @@ def release(spark: SparkSession, since: int = 0) -> int:
     read them have been written out; DataFrames still built on them cannot run."""
     paths = _WRITTEN[since:]
     del _WRITTEN[since:]
-    return _delete(spark, paths)
+    return files.delete(spark, paths)
 
 
 @contextmanager
@@ -62,14 +60,7 @@ def intermediates(spark: SparkSession):
         release(spark, since)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, rows: int | None = None) -> DataFrame:
-    """Hint a broadcast only after counting the (materialised) side; above the
-    limit the DataFrame is returned unhinted and Spark plans a shuffle join."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def snapshot(df: DataFrame, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Materialise a small dimension/snapshot once and broadcast it if its
-    checked size allows (inventory, CTR stats, spend ledger)."""
-    return broadcast_if_small(checkpoint(df), max_broadcast_rows)
+def snapshot(df: DataFrame) -> DataFrame:
+    """Materialise a dimension or snapshot once. Its files say how large it is, so joins
+    broadcast it by its size in bytes or shuffle it."""
+    return checkpoint(df)

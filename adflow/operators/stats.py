@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import expr as X
+from .materialize import checkpoint
 
 LEVEL_PAIR = "pair"
 LEVEL_AD = "ad"
@@ -67,26 +68,20 @@ def ctr_stats(pairs: DataFrame, materialize: bool = False) -> dict[str, DataFram
     row per pair, ad and placement) and the four tables are cheap filters.
     """
     r = ctr_rollup(pairs)
-    if materialize:
-        from .materialize import checkpoint
+    return rollup_tables(checkpoint(r) if materialize else r)
 
-        r = checkpoint(r)
+
+def rollup_tables(r: DataFrame) -> dict[str, DataFrame]:
+    """The lookup tables of a roll-up. Joins broadcast one if its written size in bytes allows."""
     glob = (r.filter(F.col("level") == LEVEL_GLOBAL)
             .select(global_ctr(F.coalesce("impressions", F.lit(0)), F.coalesce("clicks", F.lit(0)))
                     .alias("global_ctr")))
-    out = {
+    return {
         LEVEL_PAIR: r.filter(F.col("level") == LEVEL_PAIR).select("ad_id", "placement_id", "impressions", "clicks"),
         LEVEL_AD: r.filter(F.col("level") == LEVEL_AD).select("ad_id", "impressions", "clicks"),
         LEVEL_PLACEMENT: r.filter(F.col("level") == LEVEL_PLACEMENT).select("placement_id", "impressions", "clicks"),
         LEVEL_GLOBAL: glob,
     }
-    if materialize:
-        from .materialize import broadcast_if_small
-
-        counts = {row["level"]: row["n"] for row in r.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
-        for lvl in (LEVEL_PAIR, LEVEL_AD, LEVEL_PLACEMENT):
-            out[lvl] = broadcast_if_small(out[lvl], rows=counts.get(lvl, 0))
-    return out
 
 
 def ctr_stats_from_logs(impressions: DataFrame, clicks: DataFrame, as_of: str,
@@ -95,7 +90,7 @@ def ctr_stats_from_logs(impressions: DataFrame, clicks: DataFrame, as_of: str,
 
 
 # J5 -- attach smoothed priors to (ad, placement) rows; unseen keys get global CTR.
-def _global(stats: dict[str, DataFrame]):
+def global_prior(stats: dict[str, DataFrame]):
     g = stats[LEVEL_GLOBAL].select(F.first("global_ctr").alias("g")).scalar()
     return F.coalesce(g, F.lit(K.DEFAULT_GLOBAL_CTR))
 
@@ -103,7 +98,7 @@ def _global(stats: dict[str, DataFrame]):
 def attach_ad_prior(df: DataFrame, stats: dict[str, DataFrame], strength: float = K.PRIOR_STRENGTH) -> DataFrame:
     ad = stats[LEVEL_AD].select("ad_id", F.col("impressions").alias("_ai"), F.col("clicks").alias("_ac"))
     return (df.join(ad, "ad_id", "left")
-            .withColumn("ad_ctr_prior", X.smoothed_ctr("_ai", "_ac", _global(stats), strength))
+            .withColumn("ad_ctr_prior", X.smoothed_ctr("_ai", "_ac", global_prior(stats), strength))
             .drop("_ai", "_ac"))
 
 
@@ -112,7 +107,7 @@ def attach_placement_prior(df: DataFrame, stats: dict[str, DataFrame],
     pl = stats[LEVEL_PLACEMENT].select("placement_id", F.col("impressions").alias("_li"),
                                        F.col("clicks").alias("_lc"))
     return (df.join(pl, "placement_id", "left")
-            .withColumn("placement_ctr_prior", X.smoothed_ctr("_li", "_lc", _global(stats), strength))
+            .withColumn("placement_ctr_prior", X.smoothed_ctr("_li", "_lc", global_prior(stats), strength))
             .drop("_li", "_lc"))
 
 
@@ -120,7 +115,7 @@ def attach_pair_prior(df: DataFrame, stats: dict[str, DataFrame], strength: floa
     pr = stats[LEVEL_PAIR].select("ad_id", "placement_id", F.col("impressions").alias("_pi"),
                                   F.col("clicks").alias("_pc"))
     return (df.join(pr, ["ad_id", "placement_id"], "left")
-            .withColumn("pair_ctr_prior", X.smoothed_ctr("_pi", "_pc", _global(stats), strength))
+            .withColumn("pair_ctr_prior", X.smoothed_ctr("_pi", "_pc", global_prior(stats), strength))
             .withColumn("pair_impressions", F.coalesce(F.col("_pi"), F.lit(0)).cast("bigint"))
             .drop("_pi", "_pc"))
 
@@ -130,7 +125,7 @@ def with_priors(candidates: DataFrame, stats: dict[str, DataFrame],
     """Left joins against the three lookup tables of a stats snapshot.
 
     The lookup tables are bounded by inventory x placements, not traffic;
-    once the snapshot is materialised (``materialize_stats``) Spark knows
+    once the snapshot is materialised Spark knows
     their size and its size-checked auto-broadcast picks a broadcast hash
     join, falling back to a shuffle join beyond the threshold.
     The 1-row global table enters as a scalar subquery.
@@ -138,16 +133,7 @@ def with_priors(candidates: DataFrame, stats: dict[str, DataFrame],
     out = attach_ad_prior(candidates, stats, strength)
     out = attach_placement_prior(out, stats, strength)
     out = attach_pair_prior(out, stats, strength)
-    return out.withColumn("global_ctr", _global(stats))
-
-
-def materialize_stats(stats: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Cut the lineage of a stats snapshot once (reliable checkpoint), so
-    the four lookup tables are read from one small materialised rollup
-    instead of re-aggregating the logs for every lookup."""
-    from .materialize import checkpoint
-
-    return {k: checkpoint(v) for k, v in stats.items()}  # for snapshots built elsewhere
+    return out.withColumn("global_ctr", global_prior(stats))
 
 
 # W5 -- running per-key counters strictly before each row (point-in-time prior).

@@ -3,12 +3,10 @@ its parts J2, J3, J5, F9, M7, W1, W2, F13-F16, J11, R2).
 
 Two plans give the same winners:
 
-* Baseline scorer without a per-request floor. The score grows with the number of
-  shared keywords and with nothing else of the request, so winner and runner-up of
-  a request are among the two best ads of each *class*: the ads that hold a given
-  subset of its keywords, scored as if they shared just that subset. The class
-  leaders are one small table per (device, placement, day, subset); a request meets
-  at most two ads for each subset of its keywords. No request x ad pairs exist.
+* Baseline scorer without a per-request floor. An inverted index of the ads, sorted by
+  bid under the prior and by keyword, is read block by block until no unread ad can
+  change the winner or the runner-up's bid (``operators.postings``). No request x ad
+  pairs and no ad x placement pairs exist.
 * Model scorer or a floor in the request. Every eligible ad is scored:
   requests -> join on device (J2) -> ledger (J3) -> priors (J5) -> score -> top two
   per request (WindowGroupLimit also cuts map-side).
@@ -27,15 +25,16 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import expr as X
 from ..functions.features import with_features
+from ..operators import postings as PO
 from ..operators import spend as P
 from ..operators import stats as S
+from ..operators.materialize import checkpoint
+from ..operators.ranking import running_before
 
 # An inventory of at most this size is left to the optimizer's own broadcast
 # decision; beyond it the device join is salted, so three device keys spread.
 SALT_ABOVE_ROWS = 2_000_000
 SALT_BUCKETS = 64
-# The keyword boost stops growing at this overlap, so larger subsets say no more.
-MOST_SHARED = 4
 
 SCORING_COLUMNS = ("ad_id", "campaign_id", "advertiser_id", "target_cpm", "floor_price",
                    "target_device", "target_keywords", "daily_budget_usd", "created_at")
@@ -57,13 +56,6 @@ def request_context(requests: DataFrame, ts_col: str = "server_ts") -> DataFrame
     return requests.select(*cols)
 
 
-def _inventory_by_device(inventory: DataFrame) -> DataFrame:
-    inv = inventory
-    devices = F.when(F.col("target_device") == K.DEVICE_ALL, F.array(*[F.lit(d) for d in K.DEVICES])) \
-        .otherwise(F.array(F.col("target_device")))
-    return inv.withColumn("device_type", F.explode(devices))
-
-
 # J2 -- every request x every eligible ad.
 def eligible_ads(ctx: DataFrame, inventory: DataFrame, inventory_rows: int | None = None) -> DataFrame:
     """Device targeting ('all' or equal) and inclusive floor, as an equi-join.
@@ -73,7 +65,7 @@ def eligible_ads(ctx: DataFrame, inventory: DataFrame, inventory_rows: int | Non
     replicated per salt, so no device key lands in one task. Keywords never
     filter (Q24).
     """
-    inv = _inventory_by_device(inventory)
+    inv = PO.by_device(inventory)
     n = inventory_rows if inventory_rows is not None else inv.count()
     if n <= SALT_ABOVE_ROWS:
         j = ctx.join(inv, "device_type", "inner")
@@ -191,7 +183,7 @@ def _in_budget(inventory: DataFrame, ctx: DataFrame, ledger: DataFrame | None) -
 def eligibility(ctx: DataFrame, inventory: DataFrame, ledger: DataFrame | None) -> DataFrame:
     """(device_type, day) -> n_candidates, n_campaigns, max_cpm for requests without
     a floor. Ads are first summed by campaign, so days multiply campaigns only."""
-    inv = _inventory_by_device(inventory).filter(F.col("target_cpm") >= 0.0)
+    inv = PO.by_device(inventory).filter(F.col("target_cpm") >= 0.0)
     camp = inv.groupBy("campaign_id", "device_type", "daily_budget_usd").agg(
         F.count(F.lit(1)).alias("_ads"), F.max("target_cpm").alias("_cpm"))
     return _in_budget(camp, ctx, ledger).groupBy("device_type", "day").agg(
@@ -199,63 +191,25 @@ def eligibility(ctx: DataFrame, inventory: DataFrame, ledger: DataFrame | None)
         F.max("_cpm").alias("max_cpm"))
 
 
-def _subsets(keywords: "F.Column") -> "F.Column":
-    """All subsets of a sorted keyword list with up to MOST_SHARED members."""
-    none = F.array(F.array().cast("array<string>"))
-    return F.aggregate(F.coalesce(keywords, F.array().cast("array<string>")), none, lambda acc, k: F.concat(
-        acc, F.transform(F.filter(acc, lambda s: F.size(s) < MOST_SHARED), lambda s: F.concat(s, F.array(k)))))
-
-
-def class_leaders(ctx: DataFrame, inventory: DataFrame, stats: dict[str, DataFrame],
-                  ledger: DataFrame | None) -> DataFrame:
-    """The two best ads of each (device, placement, day, keyword subset).
-
-    A campaign's budget admits all its ads or none, so its own two best ads are
-    picked before the days multiply the rows.
-    """
-    placements = ctx.select(F.array_append(F.collect_set("placement_id"), F.lit(None))).scalar()
-    inv = _inventory_by_device(inventory).filter(F.col("target_cpm") >= 0.0)
-    ads = S.attach_pair_prior(inv.select(
-        "ad_id", "campaign_id", "device_type", "target_cpm", "daily_budget_usd",
-        F.array_sort("target_keywords").alias("_kw"), F.explode(placements).alias("placement_id")), stats)
-    rows = ads.select("ad_id", "campaign_id", "device_type", "target_cpm", "daily_budget_usd", "placement_id",
-                      "pair_ctr_prior", F.explode(_subsets(F.col("_kw"))).alias("shared"))
-    rows = rows.withColumn("bid", X.bid_value(X.baseline_ctr("pair_ctr_prior", F.size("shared")), "target_cpm"))
-    best = (F.col("bid").desc(), F.col("ad_id").asc())
-    own = Window.partitionBy("campaign_id", "device_type", "placement_id", "shared").orderBy(*best)
-    rows = rows.withColumn("_rn", F.row_number().over(own)).filter(F.col("_rn") <= 2)
-    whole = Window.partitionBy("device_type", "placement_id", "day", "shared").orderBy(*best)
-    return (_in_budget(rows, ctx, ledger).withColumn("_rn", F.row_number().over(whole)).filter(F.col("_rn") <= 2)
-            .select("device_type", "placement_id", "day", "shared", "ad_id", "bid"))
-
-
 def _baseline_auctions(ctx: DataFrame, inv: DataFrame, stats: dict[str, DataFrame], ledger: DataFrame | None,
                        epsilon: float, seed: int) -> DataFrame:
-    """The auction by class leaders; see the module's first plan."""
-    from ..operators.materialize import checkpoint
-
-    leaders = checkpoint(class_leaders(ctx, inv, stats, ledger))
-    asked = ctx.select("request_id", "device_type", "day", "placement_id",
-                       F.explode(_subsets(F.col("page_keywords"))).alias("shared"))
-    met = asked.join(leaders.withColumnRenamed("placement_id", "_pl"),
-                     (asked.device_type == leaders.device_type) & (asked.day == leaders.day)
-                     & (asked.shared == leaders.shared) & asked.placement_id.eqNullSafe(F.col("_pl")))
-    # At most two ads for each subset of a request's keywords.
-    ranked = met.groupBy("request_id").agg(F.array_sort(F.collect_list(
-        F.struct((-F.col("bid")).alias("low"), F.col("ad_id")))).alias("r"))
-    first = F.col("r")[0]
-    second = F.get(F.filter("r", lambda x: x["ad_id"] != first["ad_id"]), F.lit(0))
-    won = ranked.select("request_id", first["ad_id"].alias("ad_id"), (-second["low"]).alias("second_bid"))
+    """The auction by postings; see the module's first plan. Requests that agree in
+    everything the score reads are one context."""
+    contexts = checkpoint(ctx.select(*PO.CONTEXT).distinct().withColumn("cid", F.monotonically_increasing_id()))
+    index = PO.build(PO.by_device(inv), stats)
+    own = inv.select("ad_id", "campaign_id", "target_cpm", "target_keywords", "daily_budget_usd")
+    best = PO.best_two(contexts, index, own, stats, ledger)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PO.CONTEXT]
+    named = contexts.join(best, "cid").select(
+        *[F.col(c).alias(f"_{c}") for c in PO.CONTEXT], F.col("first.ad_id").alias("ad_id"), (-F.col("second.low")).alias("second_bid"))
     counted = ctx.join(eligibility(ctx, inv, ledger).select("device_type", "day", "n_candidates"), ["device_type", "day"])
-    j = counted.withColumn("_explore", _explores(epsilon, seed)).join(won, "request_id")
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    j = counted.join(named, cond).drop(*[f"_{c}" for c in PO.CONTEXT]).withColumn("_explore", _explores(epsilon, seed))
     if epsilon > 0:
-        listed = _in_budget(_inventory_by_device(inv).select("ad_id", "campaign_id", "device_type", "daily_budget_usd",
-                                                             "target_cpm").filter(F.col("target_cpm") >= 0.0), ctx, ledger)
-        in_order = Window.partitionBy("device_type", "day").orderBy("ad_id")
-        listed = listed.select("device_type", "day", F.col("ad_id").alias("drawn"),
-                               (F.row_number().over(in_order) - 1).alias("_pos"))
         j = j.withColumn("_pos", F.when(F.col("_explore"), _drawn_position(seed)))
-        j = (j.join(listed, ["device_type", "day", "_pos"], "left")
+        j = (j.join(listed_ads(ctx, inv, ledger).withColumnRenamed("ad_id", "drawn"), ["device_type", "day", "_pos"], "left")
              .withColumn("ad_id", F.coalesce("drawn", "ad_id")).drop("drawn", "_pos"))
     spent = F.lit(0.0)
     j = j.join(inv, "ad_id")
@@ -268,6 +222,18 @@ def _baseline_auctions(ctx: DataFrame, inv: DataFrame, stats: dict[str, DataFram
     return _priced(scored.select("request_id", *fields, "second_bid", "_explore", "n_candidates"), fields, epsilon)
 
 
+# W2 -- the ads that exploration draws from, by position.
+def listed_ads(ctx: DataFrame, inventory: DataFrame, ledger: DataFrame | None) -> DataFrame:
+    """device_type, day, ad_id and its 0-based position among the in-budget ads of that
+    device and day, in ad order. Positions come from range pieces with offsets, so a
+    large inventory is never numbered in one task."""
+    rows = _in_budget(PO.by_device(inventory).filter(F.col("target_cpm") >= 0.0).select(
+        "ad_id", "campaign_id", "device_type", "daily_budget_usd"), ctx, ledger)
+    rows = rows.select("device_type", "day", "ad_id", F.lit(1).alias("_one"))
+    return running_before(rows, ["device_type", "day"], ["ad_id"], {"_pos": "_one"}).select(
+        "device_type", "day", "ad_id", F.col("_pos").cast("int").alias("_pos"))
+
+
 # R1 -- the whole batch auction.
 def run_auctions(requests: DataFrame, inventory: DataFrame, stats: dict[str, DataFrame],
                  ledger: DataFrame | None = None, scorer=None,

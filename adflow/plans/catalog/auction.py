@@ -74,7 +74,25 @@ EPS = K.EXPLORATION_EPSILON
 SEED = 7
 _U = f"CAST(('0x' || substr(md5(CAST(f.request_id AS VARCHAR) || ':{SEED}'), 1, 13)) AS BIGINT) / {float(1 << 52)}"
 _EXPLORE = f"(f.n_candidates > 1 AND {_U} < {EPS})"
-EXPLORATION_SQL = with_views(("ranked_v",), f"""
+# The ads of a device and day are listed once, by position, not once for each request.
+register("listed_v", ("ctx_v", "servable_v", "ledger_v"), """
+    SELECT t.device_type, t.day, s.ad_id, s.target_cpm, s.floor_price, s.target_keywords,
+           row_number() OVER (PARTITION BY t.device_type, t.day ORDER BY s.ad_id) - 1 AS pos
+    FROM (SELECT DISTINCT device_type, day FROM ctx_v) t
+    JOIN servable_v s ON (s.target_device = 'all' OR s.target_device = t.device_type) AND s.target_cpm >= 0.0
+    LEFT JOIN ledger_v l ON l.campaign_id = s.campaign_id AND l.day = t.day
+    WHERE s.campaign_id IS NOT NULL AND coalesce(l.spent_usd, 0.0) < s.daily_budget_usd""")
+_PICK = f"CAST(('0x' || substr(md5(CAST(f.request_id AS VARCHAR) || ':pick:{SEED}'), 1, 13)) AS BIGINT) / {float(1 << 52)}"
+register("drawn_v", ("ranked_v", "listed_v", "pairs_v", "global_v"), f"""
+    SELECT f.request_id, p.ad_id, p.floor_price, p.target_cpm,
+           least(greatest({_smooth('q.impressions', 'q.clicks')}
+                 * (1.0 + least(0.6, 0.15 * len(list_intersect({AD_SET.replace('target_keywords', 'p.target_keywords')}, f.page_keywords)))),
+                 0.0001), 0.25) AS predicted_ctr
+    FROM ranked_v f CROSS JOIN global_v g
+    JOIN listed_v p ON p.device_type = f.device_type AND p.day = f.day AND p.pos = CAST(floor(f.n_candidates * ({_PICK})) AS BIGINT)
+    LEFT JOIN pairs_v q ON q.ad_id = p.ad_id AND q.placement_id = f.placement_id
+    WHERE f.rn = 1 AND {_EXPLORE}""")
+EXPLORATION_SQL = with_views(("ranked_v", "drawn_v"), f"""
     SELECT f.request_id,
            CASE WHEN {_EXPLORE} THEN p.ad_id ELSE f.ad_id END AS ad_id,
            round(CASE WHEN {_EXPLORE} THEN p.predicted_ctr ELSE f.predicted_ctr END, 6) AS predicted_ctr,
@@ -90,9 +108,7 @@ EXPLORATION_SQL = with_views(("ranked_v",), f"""
            f.n_candidates
     FROM ranked_v f
     LEFT JOIN ranked_v r ON r.request_id = f.request_id AND r.rn = 2
-    LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ad_id) - 1 AS pos FROM ranked_v) p
-      ON p.request_id = f.request_id AND p.pos = floor(f.n_candidates *
-         (CAST(('0x' || substr(md5(CAST(f.request_id AS VARCHAR) || ':pick:{SEED}'), 1, 13)) AS BIGINT) / {float(1 << 52)}))
+    LEFT JOIN drawn_v p ON p.request_id = f.request_id
     WHERE f.rn = 1""")
 
 

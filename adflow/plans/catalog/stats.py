@@ -8,6 +8,7 @@ from ... import constants as K
 from ...functions import expr as X
 from ...operators import attribution as A
 from ...operators import stats as S
+from ...operators.materialize import checkpoint
 from ..registry import query
 from .common import STATS_AS_OF, fx, register, round6, with_views
 
@@ -59,7 +60,7 @@ def _state(spark, d):
 
 
 def _stats(spark, d):
-    return S.ctr_stats(S.ctr_pair(_state(spark, d), STATS_AS_OF))
+    return S.ctr_stats(S.ctr_pair(_state(spark, d), STATS_AS_OF), materialize=True)
 
 
 @query("ctr_pair_daily", ("A1", "U1", "F21"), with_views(("pair_daily_v",), """
@@ -89,9 +90,8 @@ def ctr_pair_lookback(spark, d):
           FROM pairs_v GROUP BY GROUPING SETS ((ad_id, placement_id), (ad_id), (placement_id), ())) r
     CROSS JOIN global_v g"""))
 def ctr_rollup(spark, d):
-    pairs = S.ctr_pair(_state(spark, d), STATS_AS_OF)
-    r = S.ctr_rollup(pairs)
-    g = S.ctr_stats(pairs)[S.LEVEL_GLOBAL].select(F.first("global_ctr")).scalar()
+    r = checkpoint(S.ctr_rollup(S.ctr_pair(_state(spark, d), STATS_AS_OF)))
+    g = S.global_prior(S.rollup_tables(r))
     return r.select("level", F.coalesce("ad_id", F.lit(-1)).alias("ad_id"),
                     F.coalesce("placement_id", F.lit("*")).alias("placement_id"), "impressions", "clicks",
                     round6(X.smoothed_ctr("impressions", "clicks", g)).alias("prior"))

@@ -431,7 +431,7 @@ def test_running_totals_split_a_hot_key(spark):
 
 
 def test_baseline_auction_equals_the_scored_pairs(spark):
-    """Class leaders give the winner, price and draw of the auction over all pairs."""
+    """Postings give the winner, price and draw of the auction over all pairs."""
     from adflow.plans import auction as AU
     from adflow.plans.catalog import auction as CA
     from adflow.sources import fixtures as fx
@@ -447,16 +447,6 @@ def test_baseline_auction_equals_the_scored_pairs(spark):
         assert sorted(map(tuple, fast.select(columns).collect())) == sorted(map(tuple, slow.select(columns).collect()))
 
 
-def test_many_keywords_reach_the_cap_of_the_boost(spark):
-    """Ads that share five of six keywords score as those that share four."""
-    from adflow.plans import auction as AU
-    from pyspark.sql import functions as F
-
-    kws = spark.createDataFrame([(["a", "b", "c", "d", "e", "f"],)], "k array<string>")
-    subsets = kws.select(AU._subsets(F.col("k")).alias("s")).first().s
-    assert len(subsets) == 1 + 6 + 15 + 20 + 15 and len({tuple(x) for x in subsets}) == len(subsets)
-
-
 def test_early_stopping_rounds():
     from adflow.plans.training import best_round
 
