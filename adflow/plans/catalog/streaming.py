@@ -38,6 +38,8 @@ def stream_ctr_pair(spark, d):
     out, ck = _scratch(spark, "ctr")
     both = J.pair_partials(fx.impressions(spark, d, events=_events(spark, d)), _click_topic(spark, d))
     J.run_available_now(lambda trig: J.stream_ctr_pair(both, lambda batch: batch, out, ck, trig))
+    J.fold_ctr_state(spark, out)
+    J.clear_folded(spark, out)
     return J.read_ctr_state(spark, out).withColumn("day", F.col("day").cast("string"))
 
 
@@ -87,6 +89,60 @@ def late_events(spark, d):
     return spark.createDataFrame([(dropped,)], "dropped bigint")
 
 
+def _in_turns(spark, name, parts, start):
+    """Delivers ``parts`` one after another to a stream that goes on from its checkpoint:
+    ``start(topic rows, output, checkpoint)`` makes the stream of each turn."""
+    out, ck = _scratch(spark, name)
+    topic = f"{out}-topic"
+    for part in parts:
+        part.write.mode("append").parquet(topic)
+        J.run_available_now(lambda trig: start(J.event_stream(spark, topic, part.schema), out, ck, trig))
+    return out
+
+
+# The first half of the time, the second half, then one event in fifty of all days: what
+# is behind the watermark (48 h before the newest event) is not counted any more.
+@query("stream_spend", ("X5", "A5"), with_views(("impressions_v",), """
+    SELECT campaign_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day,
+           CAST(sum(CAST(round(win_price * 1000) AS BIGINT)) AS DOUBLE) / 1000000.0 AS spent_usd, count(*) AS impressions
+    FROM impressions_v
+    WHERE campaign_id IS NOT NULL
+      AND (impression_id % 50 <> 7 OR CAST(ts AS DATE) + 1 > (SELECT max(ts) - INTERVAL 48 HOUR FROM impressions_v
+                                                              WHERE impression_id % 50 <> 7))
+    GROUP BY campaign_id, CAST(ts AS DATE)"""))
+def stream_spend(spark, d):
+    imps = J.with_event_time(fx.impressions(spark, d)).select("impression_id", "campaign_id", "ts", "win_price")
+    late, early = F.col("impression_id") % 50 == 7, F.col("ts") < F.lit("2024-01-16 00:00:00").cast("timestamp")
+    parts = (imps.filter(~late & early), imps.filter(~late & ~early), imps.filter(late))
+    out = _in_turns(spark, "spend", parts, lambda rows, out, ck, trig: J.start_latest_wins(J.stream_spend(rows), out, ck, trig))
+    latest = J.read_latest(spark, out, ["w", "campaign_id"])
+    return latest.select("campaign_id", F.to_date(F.col("w.start")).cast("string").alias("day"),
+                         (F.col("micros") / 1e6).alias("spent_usd"), "impressions")
+
+
+# At-least-once delivery: a third of the events comes twice, and one in eleven again at
+# the end. What the state still knows is dropped; an event whose state has been let go
+# (its time plus the delay is behind the watermark) passes again.
+@query("stream_dedup", ("X2", "S12"), with_views(("impressions_v",), """
+    SELECT impression_id, 'first' AS delivery FROM impressions_v
+    UNION ALL
+    SELECT impression_id, 'again' FROM impressions_v
+    WHERE impression_id % 11 = 5 AND ts + INTERVAL 4 HOUR <= (SELECT max(ts) FROM impressions_v)"""))
+def stream_dedup(spark, d):
+    imps = J.with_event_time(fx.impressions(spark, d)).select("impression_id", "ts")
+    newest = imps.select(F.max("ts")).scalar()
+    first = imps.withColumn("delivery", F.lit("first"))
+    again = imps.filter(F.col("impression_id") % 11 == 5).select(
+        "impression_id", (newest + F.expr("INTERVAL 1 MINUTE")).alias("ts"), F.lit("again").alias("delivery"))
+    parts = (first.unionByName(first.filter(F.col("impression_id") % 3 == 0)), again)
+
+    def start(rows, out, ck, trig):
+        return (J.dedup_stream(rows, "impression_id", "2 hours").writeStream.format("parquet")
+                .option("checkpointLocation", ck).trigger(**trig).start(out))
+    out = _in_turns(spark, "dedup", parts, start)
+    return spark.read.parquet(out).select("impression_id", "delivery")
+
+
 @query("stream_labels", ("X4",), with_views(("impressions_v", "raw_clicks_v"), """
     SELECT i.impression_id, CAST(strftime(min(c.ts), '%Y-%m-%d %H:%M:%S') AS VARCHAR) AS click_ts,
            CAST(count(c.ts) > 0 AS INTEGER) AS label

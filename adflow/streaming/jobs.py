@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from .. import constants as K
 from ..functions import expr as X
 from ..operators.money import to_micros
+from ..sources import files
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -80,15 +81,87 @@ def stream_ctr_pair(events: DataFrame, to_partials: Callable[[DataFrame], DataFr
     def write(batch: DataFrame, batch_id: int) -> None:
         part = (to_partials(batch).groupBy("day", "ad_id", "placement_id")
                 .agg(F.sum("i").cast("bigint").alias("impressions"), F.sum("c").cast("bigint").alias("clicks")))
-        part.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+        part.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{FRESH}/batch_id={batch_id}")
     w = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"processingTime": "1 minute"})).start()
 
 
+# X3 -- compaction. Batches lie under FRESH, day partitions under FOLDED/upto=N, where N
+# is the last batch they hold. A run of the fold counts once its _SUCCESS mark is there;
+# each day is read from its newest run, and a batch only for days whose run ends before
+# it. So nothing is counted twice or lost wherever the job dies: before the mark the new
+# run does not exist, after it the old files are merely in the way.
+FRESH, FOLDED = "fresh", "folded"
+CTR_STATE = "day date, ad_id bigint, placement_id string, impressions bigint, clicks bigint"
+
+
+def _done(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """Numbers of the sub-folders ``prefix=N`` that were written to their end."""
+    found = []
+    for path in files.children(spark, folder):
+        name = path.rsplit("/", 1)[1]
+        if name.startswith(f"{prefix}=") and files.exists(spark, f"{path}/_SUCCESS"):
+            found.append(int(name.split("=", 1)[1]))
+    return sorted(found)
+
+
+def _numbered(spark: SparkSession, folder: str, prefix: str, numbers: list[int], schema: str) -> DataFrame:
+    """The rows of these sub-folders with their number as column ``prefix``."""
+    if not numbers:
+        return spark.createDataFrame([], f"{schema}, {prefix} int")
+    return (spark.read.schema(f"{schema}, {prefix} int").option("basePath", folder)
+            .parquet(*[f"{folder}/{prefix}={n}" for n in numbers]))
+
+
+def _ctr_parts(spark: SparkSession, path: str, schema: str = CTR_STATE) -> tuple[DataFrame, DataFrame, list[int]]:
+    """(rows of the newest fold of each day, rows of batches not folded yet, batch numbers)."""
+    fresh, folded = (f"{path.rstrip('/')}/{x}" for x in (FRESH, FOLDED))
+    batches = _done(spark, fresh, "batch_id")
+    runs = _numbered(spark, folded, "upto", _done(spark, folded, "upto"), schema)
+    newest = runs.groupBy("day").agg(F.max("upto").alias("last"))  # a row for each day
+    held = runs.join(newest, (runs["day"] == newest["day"]) & (F.col("upto") == F.col("last"))).select(runs["*"])
+    new = _numbered(spark, fresh, "batch_id", batches, schema)
+    new = new.join(newest, "day", "left").filter(F.col("batch_id") > F.coalesce("last", F.lit(-1))).drop("last")
+    return held, new, batches
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("day", "ad_id", "placement_id").agg(
+        F.sum("impressions").cast("bigint").alias("impressions"), F.sum("clicks").cast("bigint").alias("clicks"))
+
+
 def read_ctr_state(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.parquet(path).groupBy("day", "ad_id", "placement_id")
-            .agg(F.sum("impressions").cast("bigint").alias("impressions"),
-                 F.sum("clicks").cast("bigint").alias("clicks")))
+    held, new, _ = _ctr_parts(spark, path)
+    return _summed(held.drop("upto").unionByName(new.drop("batch_id")))
+
+
+def fold_ctr_state(spark: SparkSession, path: str) -> int | None:
+    """Write the days that new batches touch anew, with those batches; the other days stay
+    where they are. Returns the number of the last batch folded, None if there is none."""
+    held, new, batches = _ctr_parts(spark, path)
+    if not batches or new.isEmpty():
+        return None
+    touched = new.select("day").distinct()
+    rows = held.drop("upto").join(touched, "day", "left_semi").unionByName(new.drop("batch_id"))
+    (_summed(rows).hint("rebalance", F.col("day")).sortWithinPartitions("day", "ad_id")
+     .write.mode("overwrite").partitionBy("day").parquet(f"{path.rstrip('/')}/{FOLDED}/upto={batches[-1]}"))
+    return batches[-1]
+
+
+def clear_folded(spark: SparkSession, path: str) -> int:
+    """Delete what no reader looks at any more: batches that every day of theirs has folded
+    and days that a newer run holds. Can be repeated; returns the number of folders gone."""
+    fresh, folded = (f"{path.rstrip('/')}/{x}" for x in (FRESH, FOLDED))
+    runs = _done(spark, folded, "upto")
+    old = [f"{fresh}/batch_id={n}" for n in _done(spark, fresh, "batch_id") if runs and n <= runs[-1]]
+    seen: set[str] = set()
+    for n in reversed(runs):
+        for day in files.children(spark, f"{folded}/upto={n}"):
+            name = day.rsplit("/", 1)[1]
+            if name.startswith("day="):
+                old += [day] if name in seen else []
+                seen.add(name)
+    return files.delete(spark, old)
 
 
 # X3 (event-time form) / X7 -- windowed counts with a watermark; late rows
@@ -148,33 +221,52 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 # X6 -- streaming auctions against snapshots re-read for every micro-batch.
-def batch_spend(spark: SparkSession, path: str, before: int, schema: str) -> DataFrame:
-    """(campaign_id, day, spent_usd) of the results of the batches before ``before``.
-    A retried batch never counts itself. ``schema`` is that of the results."""
-    if before == 0:
-        return spark.createDataFrame([], "campaign_id bigint, day date, spent_usd double")
-    done = spark.read.schema(schema).parquet(*[f"{path.rstrip('/')}/batch_id={i}" for i in range(before)])
-    return (done.filter(F.col("campaign_id").isNotNull()).groupBy("campaign_id", "day")
-            .agg((F.sum(to_micros("cost_usd")) / 1e6).alias("spent_usd")))
+SPEND_STATE = "campaign_id bigint, day date, spent_usd double"
 
 
 def add_spend(ledger: DataFrame, spend: DataFrame) -> DataFrame:
     """The ledger with further spend added to its keys."""
-    both = ledger.select("campaign_id", "day", "spent_usd").unionByName(spend)
+    both = ledger.select("campaign_id", "day", "spent_usd").unionByName(spend.select("campaign_id", "day", "spent_usd"))
     return both.groupBy("campaign_id", "day").agg((F.sum(to_micros("spent_usd")) / 1e6).alias("spent_usd"))
 
 
+def batch_spend(results: DataFrame) -> DataFrame:
+    """(campaign_id, day, spent_usd) of auction results."""
+    return (results.filter(F.col("campaign_id").isNotNull()).groupBy("campaign_id", "day")
+            .agg((F.sum(to_micros("cost_usd")) / 1e6).alias("spent_usd")))
+
+
+def spend_before(spark: SparkSession, state: str, batch_id: int, schema: str = SPEND_STATE) -> DataFrame:
+    """What the batches before ``batch_id`` have spent: the state that the last one left."""
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{state}/batch_id={batch_id - 1}")
+
+
 def stream_auctions(requests: DataFrame, run_batch: Callable[[DataFrame, DataFrame], DataFrame], path: str,
-                    checkpoint: str, trigger: dict | None = None,
-                    schema: str = "campaign_id bigint, day date, cost_usd double") -> StreamingQuery:
+                    checkpoint: str, trigger: dict | None = None, state_schema: str = SPEND_STATE) -> StreamingQuery:
     """``run_batch(batch, spent)`` re-reads the current inventory, statistics and
     ledger, adds ``spent`` (what the earlier batches of this stream have spent) and
     runs the batch auction (R1). Its result has campaign_id, day and cost_usd.
     Budgets are checked as of the batch start: overspend is bounded by one batch
-    and visible to W6."""
+    and visible to W6.
+
+    Spend is a state table beside the results: state n is state n - 1 plus batch n,
+    in a folder named by n. A retried batch reads state n - 1 again and replaces its
+    own results and state. A micro-batch reads one state and its own rows, however
+    old the stream; states before n - 1 are deleted."""
+    state = f"{path.rstrip('/')}-spend"
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        spent = batch_spend(batch.sparkSession, path, batch_id, schema)
-        run_batch(batch, spent).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        own = f"{path.rstrip('/')}/batch_id={batch_id}"
+        spent = spend_before(spark, state, batch_id, state_schema)
+        results = run_batch(batch, spent)
+        results.write.mode("overwrite").parquet(own)
+        done = spark.read.schema(results.schema).parquet(own)
+        add_spend(spent, batch_spend(done)).write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+        files.delete(spark, [f"{state}/batch_id={batch_id - 2}"])
+
     w = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
@@ -235,9 +327,3 @@ def run_available_now(start: Callable[[dict], StreamingQuery], timeout_s: float
         raise TimeoutError(f"stream still running after {timeout_s} s; its output is incomplete")
     return q
 
-
-def micros_to_usd(col: str = "micros"):
-    return F.col(col) / 1e6
-
-
-__all__ = ["to_micros"]
