@@ -1,4 +1,4 @@
-"""Training-data operators: ten standalone Spark operators over text tables.
+"""Training-data operators: thirteen standalone Spark operators over text tables.
 
 Nothing else in the library imports this subpackage. Each module holds one
 operator with its own interface; ``queries.py`` registers the thin ``opN_``

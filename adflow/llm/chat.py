@@ -20,8 +20,9 @@ into their conversation, which has to be one string.
 
 Defined results: a null text or role counts as empty. Turns are ordered by turn
 number (null last), then role and text, so ties and repeated rows have one
-order. A null conversation id is a conversation of its own. Other columns are
-ignored; an empty table gives an empty result.
+order. A null conversation id is a conversation of its own. Very long texts and
+conversations are one string each, as the format wants. Columns are taken by name into
+fresh ones, so that other columns cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -19,8 +19,12 @@ partitions, not with the rows or the size of a group.
 
 Defined results: a null text counts as empty; empty texts equal each other. A
 null id sorts after every other id. Repeated rows (same id and text) are one
-group of which one row stays. An empty table gives an empty result. Columns of
-the input keep their names and values whatever they are called.
+group of which one row stays. Very long texts are hashed and compared whole. An empty
+table gives an empty result. Columns of the input keep their names and values whatever
+they are called.
+
+The range key is bounded, so equal texts become neighbours by their leading characters
+and digest; what decides is the comparison of the whole texts.
 """
 
 from __future__ import annotations

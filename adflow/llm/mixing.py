@@ -18,8 +18,9 @@ whole source, and only tables of one row per source (and range) are small.
 
 Defined results: sources are ordered by code point, null last; null is a source
 like any other. A null text has no words and is taken with none. Equal keys are
-ordered by id, a null id last; repeated rows have equal keys and are taken together. An
-empty table gives an empty result.
+ordered by id, a null id last; repeated rows have equal keys and are taken together.
+Very long texts are counted whole. An empty table gives an empty result. Columns are
+taken by name into fresh ones, so that other columns cannot clash.
 """
 
 from __future__ import annotations

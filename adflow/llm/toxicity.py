@@ -17,8 +17,15 @@ Prediction needs only the weight vector, which every task gets.
 Defined results: a null text counts as empty and is scored by the thresholds
 alone. Labels without an id, a grade or a document do not train; several labels
 of one id train as one row with the highest grade. With fewer than two grades
-among the labels every row has the one grade (0 without labels). An empty table
-gives an empty result.
+among the labels every row has the one grade (0 without labels). Repeated documents
+are scored alike; in the sample each of them trains. Rows that tie in the order of
+training are equal. Very long texts are read in pieces; what is kept of one are its
+distinct words. An empty table gives an empty result. Columns are taken by name into
+fresh ones, so that other columns cannot clash.
+
+Driver: the sample is bounded in rows; a row is one number for each bucket its text
+holds, so the worst case is ``sample_per_grade`` x grades x ``BUCKETS`` x 4 bytes, and a
+few kilobytes a row on ordinary texts.
 """
 
 from __future__ import annotations

@@ -13,8 +13,10 @@ is shuffled, and adaptive execution splits the partitions of hot suffixes.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path,
 which no rule fits. Without a rule the verdict is ``default``. Rules must have a
-host; a null path counts as empty. Repeated rows are judged alike; an empty table
-gives an empty result.
+host; a null path counts as empty. Repeated rows are judged alike, and a null id is an
+id like any other. Very long URLs are cut by the rules' lengths only. An empty table
+gives an empty result. Columns are taken by name into fresh ones, so that other columns
+cannot clash.
 """
 
 from __future__ import annotations

@@ -17,8 +17,10 @@ work is a map over rows without any shuffle.
 reading checks each record's length and block digest.
 
 Defined results: a null page has an empty payload, a null URL no target URI (a null
-column, no header). Repeated rows give repeated records with equal ids. Empty
-pages give an empty conversion text. An empty table gives no records.
+column, no header). Repeated rows give repeated records with equal ids; there is no
+order, so there are no ties. Empty pages give an empty conversion text. Very long pages
+are read whole, one in a task at a time. An empty table gives no records. Columns are
+taken by name into fresh ones, so that other columns cannot clash.
 """
 
 from __future__ import annotations
