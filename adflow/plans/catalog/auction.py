@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ... import constants as K
 from ...operators import stats as S
 from ...operators.inventory import load_inventory
+from ...session import ensure_checkpoint_dir
 from .. import auction as AU
 from ..registry import query
 from .common import STATS_AS_OF, fx, register, round6, with_views
@@ -150,6 +153,21 @@ def auction_exploration(spark, d):
                       round6("serve_propensity").alias("serve_propensity"), "n_candidates")
 
 
+@query("refused_model_auction", ("M8", "R1"), AUCTION_SQL)
+def refused_model_auction(spark, d):
+    """A promoted model of another feature contract is refused when it is loaded, so the
+    auction runs on the baseline."""
+    from .. import training as T
+
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+    T.write_metadata(spark, f"{out}/v1", {"model_version": "v1", "feature_version": K.FEATURE_VERSION - 1, "n_features": K.N_FEATURES})
+    T.promote(spark, out, f"{out}/v1")
+    scorer, _ = T.load_model(spark, out)
+    inventory, ledger = _snapshots(spark, d)
+    res, _ = AU.run_auctions(fx.requests(spark, d), inventory, _stats(spark, d), ledger=ledger, scorer=scorer, epsilon=0.0, seed=SEED)
+    return _result_columns(res)
+
+
 # Requests with a floor: some above every CPM, some that only the best ads reach.
 def _floored_context(spark, d):
     k = F.col("request_id") % 17

@@ -152,31 +152,38 @@ def redacted_urls(spark, d):
     return p.select("page_id", X.redact_url(u).alias("redacted"))
 
 
-# Fixed user-agent samples (desktop, phone, tablet shapes), chosen by page_id.
-USER_AGENTS = (
-    "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 Chrome/120.0 Safari/537.36",
-    "Mozilla/5.0 (iPhone; CPU iPhone OS 17_0 like Mac OS X) AppleWebKit/605.1.15 Mobile/15E148",
-    "Mozilla/5.0 (iPad; CPU OS 17_0 like Mac OS X) AppleWebKit/605.1.15 Mobile/15E148",
-    "Mozilla/5.0 (Linux; Android 14; Pixel 8) AppleWebKit/537.36 Chrome/120.0 Mobile Safari/537.36",
-    "Mozilla/5.0 (Linux; Android 13; SM-X710) AppleWebKit/537.36 Chrome/120.0 Safari/537.36",
-    "Mozilla/5.0 (Macintosh; Intel Mac OS X 14_0) AppleWebKit/605.1.15 Version/17.0 Safari/605.1.15",
-    "Mozilla/5.0 (Linux; U; en-us; KFAPWI Build/JDQ39) Silk/3.13 Tablet",
-)
-_UA_CASE = " ".join(f"WHEN {i} THEN '{ua}'" for i, ua in enumerate(USER_AGENTS))
+# Every event's user agent, put together from its columns: a platform of its device, the
+# value as the version, the id as the build and the event type.
+_PLATFORMS = {"mobile": ("iPhone; CPU iPhone OS 17_0 like Mac OS X", "Linux; Android 14; Pixel 8) Gecko (Mobile"),
+              "tablet": ("iPad; CPU OS 16_0 like Mac OS X", "Linux; Android 13; SM-X710", "Linux; U; KFAPWI) Silk (Tablet"),
+              "desktop": ("Windows NT 10.0; Win64; x64", "Macintosh; Intel Mac OS X 14_0", "X11; Linux x86_64")}
+_PLATFORM_SQL = " ".join(
+    f"WHEN {test} THEN CASE user_id % {len(_PLATFORMS[device])} "
+    + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PLATFORMS[device])) + " END"
+    for test, device in (("event_id % 6 < 3", "mobile"), ("event_id % 6 < 5", "desktop"), ("true", "tablet")))
+
+
+def _user_agents(spark, d):
+    e = fx.read_table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    pick = {device: F.element_at(F.array(*[F.lit(p) for p in ps]), (F.col("user_id") % len(ps) + 1).cast("int"))
+            for device, ps in _PLATFORMS.items()}
+    k = F.col("event_id") % 6
+    platform = F.when(k < 3, pick["mobile"]).when(k < 5, pick["desktop"]).otherwise(pick["tablet"])
+    return e.select("event_id", F.concat(F.lit("Mozilla/5.0 ("), platform, F.lit(") Version/"), F.floor("value").cast("bigint").cast("string"),
+                                         F.lit(" Build/"), F.col("event_id").cast("string"), F.lit(" "), F.col("event_type")).alias("ua"))
 
 
 @query("device_class", ("F27",), f"""
-    SELECT page_id,
+    SELECT event_id, length(ua) AS ua_chars,
            CASE WHEN regexp_matches(ua, '(?i)iPad|Tablet')
                      OR (regexp_matches(ua, '(?i)Android') AND NOT regexp_matches(ua, '(?i)Android.*Mobile'))
                 THEN 'tablet'
                 WHEN regexp_matches(ua, '(?i)Mobi|Android|iPhone') THEN 'mobile'
                 ELSE 'desktop' END AS device
-    FROM (SELECT page_id, CASE page_id % {len(USER_AGENTS)} {_UA_CASE} END AS ua FROM pages) x""")
+    FROM (SELECT event_id, 'Mozilla/5.0 (' || CASE {_PLATFORM_SQL} END || ') Version/' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)
+                 || ' Build/' || CAST(event_id AS VARCHAR) || ' ' || event_type AS ua FROM events) x""")
 def device_class(spark, d):
-    p = fx.read_table(spark, d, "pages")
-    ua = F.element_at(F.array(*[F.lit(u) for u in USER_AGENTS]), (F.col("page_id") % len(USER_AGENTS) + 1).cast("int"))
-    return p.select("page_id", X.device_class(ua).alias("device"))
+    return _user_agents(spark, d).select("event_id", F.length("ua").cast("bigint").alias("ua_chars"), X.device_class("ua").alias("device"))
 
 
 # Pages with a keywords meta tag injected (page_id % 4 <> 0); the content
