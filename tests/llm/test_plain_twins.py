@@ -129,7 +129,7 @@ def plain_grams(text):
         for n in (1, 2, 3, 4):
             for at in range(len(code) - n + 1):
                 part = code[at:at + n]
-                if any(part):
+                if part[0] or part[-1]:  # not a whole short word with both its borders
                     key = 0
                     for c in part:
                         key = (key * 0x9E3779B97F4A7C15 + c) % MOD
@@ -205,8 +205,8 @@ def plain_languages(docs, dim=16, epochs=8, rate=0.5, batch=16):
     told = [(scores(i), languages.index(lang)) for _, lang, i in (held or train)]
     best = None
     for t in [math.exp(math.log(0.25) + s * (math.log(20) - math.log(0.25)) / 120) for s in range(121)]:
-        loss = sum(-math.log(max(softmax([v / t for v in z])[y], 1e-12)) for z, y in told)
-        if best is None or loss < best[0] - 1e-12:
+        loss = sum(-math.log(max(softmax([v / t for v in z])[y], 1e-12)) for z, y in told) / len(told)
+        if best is None or loss < best[0]:
             best = (loss, t)
     out = {}
     for i, _, _ in docs:
@@ -223,7 +223,7 @@ def test_language_query_equals_its_plain_twin(spark):
     got = {r.doc_id: r for r in QUERIES["op8_language_id"](spark, SF).collect()}
     assert got.keys() == want.keys() and len({lang for lang, _ in want.values()}) >= 4
     for i, (lang, p) in want.items():
-        # The model keeps its table in single precision.
+        # The operator keeps its table, and adds it up over a text, in single precision.
         assert got[i].lang_pred == lang and abs(got[i].score - p) < 1e-5
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
 
