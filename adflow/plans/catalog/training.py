@@ -173,9 +173,10 @@ def model_report(spark, d):
     rows = []
     for variant, m in res.metadata["metrics"].items():
         rows.append((variant, *[float(m[c]) for c in M.METRIC_COLUMNS[:5]], int(m["n_rows"]),
-                     int(m["n_positives"]), int(res.best_iteration), ";".join(res.gate_failures)))
+                     int(m["n_positives"]), int(res.best_iteration), ";".join(res.gate_failures),
+                     res.metadata["feature_importance"]))
     schema = ("variant string, log_loss double, auc double, calibration_ratio double, mean_predicted double, "
-              "mean_actual double, n_rows long, n_positives long, best_iteration int, gate_failures string")
+              "mean_actual double, n_rows long, n_positives long, best_iteration int, gate_failures string, feature_importance map<string, double>")
     return spark.createDataFrame(rows, schema)
 
 
