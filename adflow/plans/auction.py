@@ -194,7 +194,9 @@ def eligibility(ctx: DataFrame, inventory: DataFrame, ledger: DataFrame | None)
 def _baseline_auctions(ctx: DataFrame, inv: DataFrame, stats: dict[str, DataFrame], ledger: DataFrame | None,
                        epsilon: float, seed: int) -> DataFrame:
     """The auction by postings; see the module's first plan. Requests that agree in
-    everything the score reads are one context."""
+    everything the score reads are one context. The inventory is written once, since the
+    index and every round of reading use it."""
+    inv = checkpoint(inv)
     contexts = checkpoint(ctx.select(*PO.CONTEXT).distinct().withColumn("cid", F.monotonically_increasing_id()))
     index = PO.build(PO.by_device(inv), stats)
     own = inv.select("ad_id", "campaign_id", "target_cpm", "target_keywords", "daily_budget_usd")
