@@ -110,3 +110,28 @@ def test_keyword_of_half_the_ads_is_split(spark):
     index = PO.build(PO.by_device(inventory), stats)
     ranks = index.postings.filter((F.col("keyword") == "hot") & ~F.col("exception")).groupBy("block").agg(F.count(F.lit(1)).alias("n")).orderBy("block").collect()
     assert [r.n for r in ranks[:-1]] == [4 * 2**k for k in range(len(ranks) - 1)] and sum(r.n for r in ranks) == 2000
+
+
+def test_rounds_broadcast_nothing_that_grows(spark, monkeypatch):
+    """Tables whose files are small are shuffled too: contexts, ads, ledger, statistics and lists."""
+    requests, inventory, stats, ledger = _tables(spark, *_random_case(6))
+    plans = []
+    written = PO.checkpoint
+    monkeypatch.setattr(PO, "checkpoint", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df))
+    stats = {k: v if k == S.LEVEL_GLOBAL else written(v) for k, v in stats.items()}
+    contexts = written(AU.request_context(requests).select(*PO.CONTEXT).distinct().withColumn("cid", F.monotonically_increasing_id()))
+    ads = written(inventory.select("ad_id", "campaign_id", "target_cpm", "target_keywords", "daily_budget_usd"))
+    index = PO.build(PO.by_device(inventory), stats)
+    del plans[:]
+    assert PO.best_two(contexts, index, ads, stats, written(ledger)).count()
+    assert len(plans) > 4 and not [p for p in plans if "BroadcastExchange" in p]
+
+
+def test_lists_of_every_ad_are_read_in_parts(spark):
+    """Each context reads every ad of its lists once, whichever part it belongs to."""
+    lists = spark.createDataFrame([("mobile", False, "", True, "", 1), ("mobile", False, "", False, "k", 2)],
+                                  "device_type string, exception boolean, list_placement string, every boolean, keyword string, ad long")
+    contexts = spark.range(40).withColumnRenamed("id", "cid").crossJoin(lists.drop("ad"))
+    read = PO._reading(contexts).join(PO._read(lists), [*PO.LIST, "salt"])
+    assert sorted((r.cid, r.ad) for r in read.collect()) == [(i, a) for i in range(40) for a in (1, 2)]
+    assert read.filter("every").select("salt").distinct().count() == PO.SALTS
