@@ -211,19 +211,21 @@ def losses(blocks: RDD, trees: list[Tree], rates: list[float]) -> list[float]:
 
 def ml_tree(spark, tree: Tree, borders: list[np.ndarray]):
     """The Spark ML regression tree with these nodes."""
-    ml, gateway = spark._jvm.org.apache.spark.ml, spark.sparkContext._gateway
-    variance = spark._jvm.org.apache.spark.mllib.tree.impurity.VarianceCalculator
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    ml, number = jvm.org.apache.spark.ml, jvm.double
+    leaf, inner, border = ml.tree.LeafNode, ml.tree.InternalNode, ml.tree.ContinuousSplit  # each look-up is a call
+    variance = jvm.org.apache.spark.mllib.tree.impurity.VarianceCalculator
 
     def build(node):
         count, weight, total, squares = tree.stats[node].tolist()
-        stats = gateway.new_array(spark._jvm.double, 3)
+        stats = new_array(number, 3)
         stats[0], stats[1], stats[2] = weight, total, squares
         calculator = variance(stats, int(count))
         impurity = max((squares - total * total / weight) / weight, 0.0)
         value, feature = float(tree.value[node]), int(tree.feature[node])
         if feature < 0:
-            return ml.tree.LeafNode(value, impurity, calculator)
-        split = ml.tree.ContinuousSplit(feature, float(borders[feature][tree.split[node]]))
-        return ml.tree.InternalNode(value, impurity, float(tree.gain[node]), build(2 * node), build(2 * node + 1), split, calculator)
+            return leaf(value, impurity, calculator)
+        split = border(feature, float(borders[feature][tree.split[node]]))
+        return inner(value, impurity, float(tree.gain[node]), build(2 * node), build(2 * node + 1), split, calculator)
 
     return ml.regression.DecisionTreeRegressionModel(build(1), len(borders))
