@@ -120,9 +120,14 @@ class TreeFit:
     min_instances: int
     first: bool
     seed: int
+    #: Bins in use of each feature; ``n_bins`` of every feature where it is not given.
+    widths: tuple[int, ...] | None = None
+    #: False where every weight is 1, so that the rows are the weight.
+    weighted: bool = True
 
     def _level_sums(self, index: int, blocks, tree: Tree, level: int):
-        """(node, feature, bin) -> rows, weight, sum and sum of squares of the target."""
+        """(node, feature, bin) -> rows (where rows have weights), weight, sum and sum of squares
+        of the target. Only bins in use are counted and sent."""
         total, size = None, 1 << level
         for number, b in enumerate(blocks):
             drawn = slice(None)
@@ -131,19 +136,32 @@ class TreeFit:
                 drawn = np.flatnonzero(rng.random(len(b.sign)) < self.subsampling_rate)
             bins, sign, weight = b.bins[drawn], b.sign[drawn], b.weight[drawn]
             target = sign if self.first else sign * 4.0 / (1.0 + np.exp(sign * b.margin[drawn] * 2.0))
-            at = tree.nodes(bins, level) - size
+            at = tree.nodes(bins, level).astype(np.intp) - size
             live = at >= 0
             if not live.all():
                 bins, weight, target, at = bins[live], weight[live], target[live], at[live]
+            widths = self.widths or (self.n_bins,) * bins.shape[1]
+            parts = (None, weight, weight * target, weight * target * target) if self.weighted else (None, target, target * target)
             if total is None:
-                total = np.zeros((4, bins.shape[1], size * self.n_bins))
-            parts = (None, weight, weight * target, weight * target * target)
-            for f in range(bins.shape[1]):
-                cell = at * self.n_bins + bins[:, f]
+                total = np.zeros((len(parts), size, sum(widths)))
+            end = 0
+            for f, width in enumerate(widths):
+                cell, end = at * width + bins[:, f], end + width
                 for k, part in enumerate(parts):
-                    total[k, f] += np.bincount(cell, part, size * self.n_bins)
+                    total[k, :, end - width:end] += np.bincount(cell, part, size * width).reshape(size, width)
         return [] if total is None else [total]
 
+    def _spread(self, sums: np.ndarray) -> np.ndarray:
+        """The sums of a level as (rows, weight, ... of the target) x feature x node x bin."""
+        widths = self.widths or (self.n_bins,) * (sums.shape[2] // self.n_bins)
+        out, end = np.zeros((4, len(widths), sums.shape[1], self.n_bins)), 0
+        for f, width in enumerate(widths):
+            end += width
+            out[4 - len(sums):, f, :, :width] = sums[:, :, end - width:end]
+        if not self.weighted:
+            out[0] = out[1]
+        return out
+
     def _features(self, n: int, node: int) -> np.ndarray:
         if self.feature_subset == "all":
             return np.arange(n)
@@ -177,8 +195,7 @@ class TreeFit:
         depth = 1 if blocks.getNumPartitions() <= DIRECT_SUMS else 2
         for level in range(self.max_depth):
             parts = blocks.mapPartitionsWithIndex(lambda i, b, level=level: self._level_sums(i, b, tree, level))
-            sums = parts.treeReduce(np.add, depth)
-            sums = sums.reshape(4, sums.shape[1], -1, self.n_bins)
+            sums = self._spread(parts.treeReduce(np.add, depth))
             grown = [n for n in range(1 << level, 2 << level) if n == 1 or tree.feature[n // 2] >= 0]
             for node in grown:
                 self._split(tree, node, sums[:, :, node - (1 << level)])
@@ -211,16 +228,16 @@ def losses(blocks: RDD, trees: list[Tree], rates: list[float]) -> list[float]:
 
 def ml_tree(spark, tree: Tree, borders: list[np.ndarray]):
     """The Spark ML regression tree with these nodes."""
-    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
-    ml, number = jvm.org.apache.spark.ml, jvm.double
+    jvm = spark._jvm
+    ml, part = jvm.org.apache.spark.ml, jvm.java.util.Arrays.copyOfRange
     leaf, inner, border = ml.tree.LeafNode, ml.tree.InternalNode, ml.tree.ContinuousSplit  # each look-up is a call
     variance = jvm.org.apache.spark.mllib.tree.impurity.VarianceCalculator
 
+    all_stats = jvm.org.apache.spark.mllib.linalg.Vectors.parse(str(tree.stats[:, 1:].ravel().tolist())).toArray()  # one call for all nodes
+
     def build(node):
         count, weight, total, squares = tree.stats[node].tolist()
-        stats = new_array(number, 3)
-        stats[0], stats[1], stats[2] = weight, total, squares
-        calculator = variance(stats, int(count))
+        calculator = variance(part(all_stats, 3 * node, 3 * node + 3), int(count))
         impurity = max((squares - total * total / weight) / weight, 0.0)
         value, feature = float(tree.value[node]), int(tree.feature[node])
         if feature < 0:
@@ -229,3 +246,29 @@ def ml_tree(spark, tree: Tree, borders: list[np.ndarray]):
         return inner(value, impurity, float(tree.gain[node]), build(2 * node), build(2 * node + 1), split, calculator)
 
     return ml.regression.DecisionTreeRegressionModel(build(1), len(borders))
+
+
+#: A node as Spark ML's saved models hold it.
+NODE = ("treeID int, nodeData struct<id int, prediction double, impurity double, impurityStats array<double>, rawCount bigint, "
+        "gain double, leftChild int, rightChild int, split struct<featureIndex int, leftCategoriesOrThreshold array<double>, "
+        "numCategories int>>")
+
+
+def saved_nodes(number: int, tree: Tree, borders: list[np.ndarray]) -> list[tuple]:
+    """The nodes of tree ``number`` as rows of ``NODE``, numbered in prefix order."""
+    rows = []
+
+    def add(node) -> int:
+        at = len(rows)
+        rows.append(None)
+        count, weight, total, squares = tree.stats[node].tolist()
+        feature, gain, left, right, split = int(tree.feature[node]), -1.0, -1, -1, (-1, [], -1)
+        if feature >= 0:
+            gain, split = float(tree.gain[node]), (feature, [float(borders[feature][tree.split[node]])], -1)
+            left, right = add(2 * node), add(2 * node + 1)
+        impurity = max((squares - total * total / weight) / weight, 0.0)
+        rows[at] = (number, (at, float(tree.value[node]), impurity, [weight, total, squares], int(count), gain, left, right, split))
+        return at
+
+    add(1)
+    return rows

@@ -67,3 +67,33 @@ def test_null_and_nan_features_are_errors(spark):
         rows = spark.createDataFrame([([1.0, bad], 1), ([1.0, 2.0], 0)], "features array<float>, label int")
         with pytest.raises(ValueError):
             B.find_thresholds(T._boost_rows(rows, T.TrainConfig()), 2, 32, 7)
+
+
+def test_the_model_is_loaded_not_built_node_by_node(spark, monkeypatch):
+    built, ml_tree = [], B.ml_tree
+    monkeypatch.setattr(T.B, "ml_tree", lambda s, tree, borders: built.append(tree) or ml_tree(s, tree, borders))
+    rows = _clicks(spark, 500, 9, 3)
+    df = T._boost_rows(rows, T.TrainConfig())
+    borders = B.find_thresholds(df, 500, 32, 7)
+    kept, trees, rates = B.to_blocks(df, borders), [], [1.0, 0.5, 0.5, 0.5]
+    for i, rate in enumerate(rates):
+        trees.append(B.TreeFit(3, 32, 0.8, "0.8", 5, i == 0, 7 + i).fit(kept))
+        kept = B.add_tree(kept, trees[-1], rate)
+    model, _ = T.train_ctr(rows, rows, T.TrainConfig(num_rounds=6, max_depth=3, min_instances_per_node=5))
+    assert len(built) == 1 and len(model.trees) >= 1
+    loaded = T._model(spark, trees, rates, borders)
+    whole = T._ensemble(spark, [ml_tree(spark, t, borders) for t in trees], rates)
+    assert loaded.toDebugString.split("\n", 1)[1] == whole.toDebugString.split("\n", 1)[1]
+    assert loaded.treeWeights == whole.treeWeights and loaded.featureImportances == whole.featureImportances
+    assert T.raw_scores(loaded, rows).collect() == T.raw_scores(whole, rows).collect()
+
+
+def test_level_sums_hold_only_bins_in_use(spark):
+    rows = T._boost_rows(_clicks(spark, 500, 9, 1), T.TrainConfig())
+    borders = B.find_thresholds(rows, 500, 32, 7)
+    blocks, widths = B.to_blocks(rows, borders).collect(), tuple(len(b) + 1 for b in borders)
+    few = B.TreeFit(3, 32, 0.8, "all", 5, True, 7, widths, False)
+    many = B.TreeFit(3, 32, 0.8, "all", 5, True, 7)
+    a, b = few._level_sums(0, blocks, B.Tree(3), 0)[0], many._level_sums(0, blocks, B.Tree(3), 0)[0]
+    assert a.shape == (3, 1, sum(widths)) and sum(widths) < 4 * 32
+    assert np.array_equal(few._spread(a), many._spread(b))
